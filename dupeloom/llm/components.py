@@ -1,0 +1,35 @@
+"""Connected components by hooking and contraction, with the lineage cut in every round."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut
+
+
+def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
+    """node, root of every node that has an edge; all nodes of a component have the same root.
+
+    In each round every node hooks to the smallest of itself and its neighbours, and edges move to what their
+    ends hooked to; loops and repeats go.  Keys must be spread at random (hashes): then a round leaves about
+    half of the nodes at most.  Minima are taken before rows meet, so a hub's edges are never in one place.
+    Edges with a null end are ignored; no edges give no rows.
+    """
+    ordered = lambda d, a, b: d.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    now = cut(ordered(edges, left, right))
+    hooks: list[DataFrame] = []
+    while not now.isEmpty():
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hook = cut(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")))
+        hooks.append(hook)
+        moved = now.join(hook.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(hook.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+        now = cut(ordered(moved, "ra", "rb"))
+    if not hooks:
+        return edges.select(F.col(left).alias("node"), F.col(right).alias("root")).where(F.lit(False))
+    out = hooks.pop()
+    while hooks:
+        later = out.select(F.col("node").alias("root"), F.col("root").alias("last"))
+        out = hooks.pop().join(later, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
+        out = cut(out)
+    return out

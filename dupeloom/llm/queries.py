@@ -2,35 +2,81 @@
 
 from __future__ import annotations
 
-import importlib
-from collections.abc import Callable
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest_neighbours
+from .bytebpe import encode_documents
 from .common import documents
+from .htmlmain import extract_main_text
+from .langid import identify_languages
+from .licenses import find_licenses
+from .lm import score_documents
+from .minhash import near_duplicates
+from .packing import pack_documents
+from .secretscan import secret_report
+from .topk import exact_top_k
 
 
-def _of(module: str, name: str) -> Callable:
-    return getattr(importlib.import_module(f"{__package__}.{module}"), name)
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(documents(spark, sf_dir), shingle=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _of("secretscan", "secret_report")(documents(spark, sf_dir))
+    return secret_report(documents(spark, sf_dir))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _of("packing", "pack_documents")(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 1024, 2)
+    return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _of("licenses", "find_licenses")(documents(spark, sf_dir))
+    return find_licenses(documents(spark, sf_dir))
 
 
-def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _of("bytebpe", "encode_documents")(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(documents(spark, sf_dir, "pages"))
+
+
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(documents(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(documents(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_best_fit_packing, op4_license_scan, op10_byte_bpe)}
-ORACLE_SQL: dict[str, str] = {}
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(documents(spark, sf_dir))
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(documents(spark, sf_dir))
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+_ALL = (op1_minhash_near_dedup, op2_secret_scan, op3_best_fit_packing, op4_license_scan, op5_main_text, op6_exact_top_k, op7_nearest_neighbours, op8_language_id, op9_lm_scoring, op10_byte_bpe)
+QUERIES = {f.__name__: f for f in _ALL}
+
+#: floor(256 * x) in doubles, and all pairs of a stated query set against all rows.
+_TOP_K = """
+WITH fine AS (
+    SELECT CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM fine q JOIN fine c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 5
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_exact_top_k": _TOP_K}
