@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .config import ContainmentConfig, ScanConfig
+from .config import Config, ContainmentConfig, ScanConfig
 from .functions.globs import glob_to_regex, in_scope
 from .functions.measures import balance, containment, has_file_directive, has_inline_directive, line_iou, source_head
 from .operators import containment as runs_of
@@ -13,6 +13,9 @@ from .operators import pairs as pairs_of
 from .operators.components import clusters, cut
 from .operators.evaluate import match_pairs, precision_recall
 from .overview import best_partners, file_overview, partner_lists
+from .plans.scan import scan_files
+from .report import format_json, format_sarif
+from .sources.pyast import python_fragments
 from .sources.textfrag import fingerprints, reportable, shingle_lines, text_fragments, text_shingles
 from .stats import scan_statistics
 
@@ -401,8 +404,8 @@ def bucket_occupancy(spark, sf_dir):
     return sizes.agg(F.sum("c").alias("entries"), F.count("*").alias("buckets"), F.round(F.percentile("c", F.lit(0.99)), 9).alias("p99"), F.max("c").alias("largest"))
 
 
-_TRUTH = "SELECT l_orderkey % 500 AS source_file, l_linenumber * 10 AS source_start, l_linenumber * 10 + 8 AS source_end, l_partkey % 400 AS target_file, 5 AS target_start, 5 + CAST(l_quantity AS INT) AS target_end, l_returnflag AS tier, concat(l_orderkey, ':', l_linenumber) AS entry_id FROM lineitem WHERE l_linenumber <= 2"
-_FOUND = "SELECT l_partkey % 400 AS left_file, 7 AS left_start, 5 + CAST(l_quantity AS INT) AS left_end, l_orderkey % 500 AS right_file, l_linenumber * 10 + l_suppkey % 5 AS right_start, l_linenumber * 10 + 8 AS right_end, concat(l_orderkey, ':', l_linenumber) AS pair_id FROM lineitem WHERE l_linenumber % 2 = 0 OR l_suppkey % 3 = 0"
+_TRUTH = "SELECT l_orderkey % 500 AS source_file, l_linenumber * 10 AS source_start, l_linenumber * 10 + 8 AS source_end, l_partkey % 400 AS target_file, 5 AS target_start, 5 + CAST(l_quantity AS INT) AS target_end, l_returnflag AS tier, concat(l_orderkey, ':', l_linenumber, ':', l_partkey, ':', CAST(round(l_extendedprice * 100) AS BIGINT)) AS entry_id FROM lineitem WHERE l_linenumber <= 2"
+_FOUND = "SELECT l_partkey % 400 AS left_file, 7 AS left_start, 5 + CAST(l_quantity AS INT) AS left_end, l_orderkey % 500 AS right_file, l_linenumber * 10 + l_suppkey % 5 AS right_start, l_linenumber * 10 + 8 AS right_end, concat(l_orderkey, ':', l_linenumber, ':', l_partkey, ':', CAST(round(l_extendedprice * 100) AS BIGINT)) AS pair_id FROM lineitem WHERE l_linenumber % 2 = 0 OR l_suppkey % 3 = 0"
 
 
 def _match_sql() -> str:
@@ -454,3 +457,79 @@ def line_overlaps(spark, sf_dir):
     n = F.col("l_linenumber")
     rows = _table(spark, sf_dir, "lineitem").select((n + 1).alias("size"), (F.least(n + 9, F.lit(15)) - F.greatest(n, F.lit(6)) + 1).alias("shared"), F.round(line_iou(n, n + 9, F.lit(6), F.lit(15)), 9).alias("iou"))
     return rows.groupBy("size", "shared", "iou").agg(F.count("*").alias("n"))
+
+
+# Python sources made from rows: three of each class differ in names alone, and a class in its numbers.
+_BODY = """    kept_{k} = [{c}]
+    for r in rows_{k}:
+        if r.size > {c}:
+            kept_{k}.append(r.name + {c})
+        else:
+            log(r.name, {c})
+    kept_{k}.sort(key={c})
+    total = len(kept_{k}) * {c}
+    report(total, {c})
+    flush(kept_{k}, {c})
+"""
+_ALONE = "# file {k}\ndef f_{k}(rows_{k}, limit={c}):\n" + _BODY + "    return kept_{k}[{c}], total\n"
+_INSIDE = "def part_{k}(rows_{k}):\n" + _BODY + "\ndef host_{k}(rows_{k}):\n" + _BODY + "".join(f"    step_{i} = call_{i}({{c}}, total, {i})\n" for i in range(5)) + "    return step_1, step_2\n"
+
+
+def _sources(rows: DataFrame, key: str, template: str, every: int) -> DataFrame:
+    k = F.col(key).cast("string")
+    c = F.floor(F.col(key) / every).cast("string")
+    text = F.replace(F.replace(F.lit(template), F.lit("{k}"), k), F.lit("{c}"), c)
+    return rows.select(F.concat(F.lit("src/f"), F.lpad(k, 12, "0"), F.lit(".py")).alias("file_path"), F.encode(text, "UTF-8").alias("source"), F.lit("ok").alias("status"))
+
+
+def _code_report(spark, sf_dir, **settings):
+    config = Config()
+    for section, values in settings.items():
+        config = config.with_settings(section, **values)
+    return scan_files(_sources(_table(spark, sf_dir, "part"), "p_partkey", _ALONE, 3), config)
+
+
+def _named(report, df, *columns):
+    f = report.fragments.select("frag_id", "file_path", "name")
+    for c in columns:
+        df = df.join(f.select(F.col("frag_id").alias(f"{c}_id"), F.col("name").alias(f"{c}_name")), f"{c}_id")
+    return df
+
+
+@query("SELECT concat('src/f', lpad(p_partkey::VARCHAR, 12, '0'), '.py') AS file_path, concat('f_', p_partkey) AS name, 1::INT AS start_line, 12::INT AS end_line, 11::INT AS exec_lines, 7::INT AS exec_stmts, 'ok' AS status FROM part")
+def ast_functions(spark, sf_dir):
+    """Functions of source files, with their places and sizes."""
+    return python_fragments(_sources(_table(spark, sf_dir, "part"), "p_partkey", _ALONE, 3), Config()).where("name is not null").select("file_path", "name", "start_line", "end_line", "exec_lines", "exec_stmts", "status")
+
+
+@query("SELECT concat('f_', a.p_partkey) AS left_name, concat('f_', b.p_partkey) AS right_name, 1.0::DOUBLE AS similarity, 'exact' AS tier FROM part a JOIN part b ON a.p_partkey // 3 = b.p_partkey // 3 AND a.p_partkey < b.p_partkey")
+def ast_pairs(spark, sf_dir):
+    """Duplicate functions of a whole scan (W1, J1, J2, J3, F7): renamed copies alone."""
+    report = _code_report(spark, sf_dir)
+    return _named(report, report.pairs, "left", "right").select("left_name", "right_name", "similarity", "tier")
+
+
+@query("SELECT concat('f_', a.p_partkey) AS left_name, concat('f_', b.p_partkey) AS right_name, 1.0::DOUBLE AS score, 0::INT AS hole_count FROM part a JOIN part b ON a.p_partkey // 3 = b.p_partkey // 3 AND a.p_partkey < b.p_partkey")
+def ast_suggestions(spark, sf_dir):
+    """Templates of all pairs of a scan."""
+    report = _code_report(spark, sf_dir, suggest={"enabled": True})
+    return _named(report, report.suggestions, "left", "right").select("left_name", "right_name", "score", "hole_count")
+
+
+@query("SELECT concat('part_', s_suppkey) AS contained_name, concat('host_', s_suppkey) AS container_name, 'prefix' AS role, 13::INT AS start_line, 22::INT AS end_line, 6::INT AS statement_count, 1.0::DOUBLE AS score, 'exact' AS tier FROM supplier")
+def ast_containment(spark, sf_dir):
+    """Functions that are a leading run of another's statements."""
+    report = scan_files(_sources(_table(spark, sf_dir, "supplier"), "s_suppkey", _INSIDE, 1), Config().with_settings("containment", enabled=True, min_fragment_lines=8))
+    return _named(report, report.containments, "contained", "container").select("contained_name", "container_name", "role", "start_line", "end_line", "statement_count", "score", "tier")
+
+
+@query()
+def report_json(spark, sf_dir):
+    """The report of a scan as JSON, one row (K2)."""
+    return spark.createDataFrame([(format_json(_code_report(spark, sf_dir)),)], "report string")
+
+
+@query()
+def report_sarif(spark, sf_dir):
+    """The report of a scan as SARIF, one row (K3)."""
+    return spark.createDataFrame([(format_sarif(_code_report(spark, sf_dir)),)], "report string")
