@@ -3,8 +3,8 @@
 1. Each text becomes its set of word shingles, a digest of the set, and ``TREES`` short signatures of ``DEPTH``
    slots.  Equal sets are one class from here on.
 2. Each tree sorts all classes by its signature.  Neighbours in that order that share a prefix of ``least_depth``
-   slots are candidates: those ``REACH`` places apart, and in regions that hold more, the members that are nearest to
-   the region's middle with all others.  A region is looked at as a whole at several depths, so a crowded one is
+   slots are candidates: those ``REACH`` places apart, and in regions that hold more, each member's ``NEAREST`` by
+   sketch, and the members that are nearest to the region's middle with all others.  A region is looked at as a whole at several depths, so a crowded one is
    taken apart as deep as it needs.  Rows are dealt by ranges of the order, so a hot region spreads over tasks.
 3. A candidate whose sketch is too far or whose size too different for the threshold cannot link or can so
    only with a chance of some 1e-6; the others are confirmed on full sets, which are made again from the
@@ -30,8 +30,9 @@ from .components import connected_components
 TREES, DEPTH = 16, 8
 #: Places in a tree's order within which members of a region are always candidates.
 REACH = 3
-#: Members next to the middle of a crowded region that are candidates of all others.
-MIDDLES = 2
+#: Members next to the middle of a crowded region that are candidates of all others, and how many of the nearest by
+#: sketch each member has as candidates, among at most CROWD that follow one another.
+MIDDLES, NEAREST, CROWD = 3, 16, 4096
 SLOTS = TREES * DEPTH
 
 _SHINGLED = "row long, doc_id long, n_shingles long, digest binary, class long, sketch binary, trees array<binary>"
@@ -122,6 +123,13 @@ def _candidates(threshold: float, least_depth: int, most_bits: int):
         near = at[np.argsort(_BITS[sketches[at] ^ middle].sum(axis=1), kind="stable")[:MIDDLES]]
         return [(np.full(len(at), c), at) for c in near]
 
+    def in_crowd(at: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        signs = np.unpackbits(sketches[at], axis=1).astype(np.float32) * 2 - 1
+        alike = signs @ signs.T
+        np.fill_diagonal(alike, -np.inf)
+        k = min(NEAREST, len(at) - 1)
+        return np.repeat(at, k), at[np.argpartition(-alike, k - 1, axis=1)[:, :k].ravel()]
+
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _in_runs(batches, least_depth):
             n = held.num_rows
@@ -140,6 +148,8 @@ def _candidates(threshold: float, least_depth: int, most_bits: int):
                 starts, ends = np.concatenate([[0], change]), np.concatenate([change, [n]])
                 for a, b in zip(starts[ends - starts > REACH + 1].tolist(), ends[ends - starts > REACH + 1].tolist(), strict=True):
                     found += of_region(np.arange(a, b), sketches)
+                    if depth == least_depth:
+                        found += [in_crowd(np.arange(i, min(i + CROWD, b)), sketches) for i in range(a, b, CROWD) if b - i > 1]
             a, b = (np.concatenate(x) for x in zip(*found, strict=True))
             small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
             fine = (a != b) & (small >= threshold * large - 1e-9) & (_BITS[sketches[a] ^ sketches[b]].sum(axis=1, dtype=np.int64) <= most_bits)
