@@ -1,13 +1,14 @@
 """License scans by ordered signature rules, in built-in functions alone.
 
 Every rule is a regular expression with a keyword without which it cannot match, a label and a priority.
-Only documents that hold any keyword are looked at, and there only the rules whose keyword stands in the
+Only documents that hold any keyword are looked at, and there only the rules whose keywords stand in the
 text.  Of overlapping detections, one that lies inside another of higher priority (or of the same, with an
 earlier rule) is suppressed.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -19,57 +20,57 @@ PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserv
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
-#: label: (keyword, expression of its name, SPDX identifier).
+#: label: (keywords of which its name holds one, expression of its name, SPDX identifier), in lower case.
 LICENSES = {
-    "mit": ("mit", r"mit(?: \(?expat\)?)?", "MIT"),
-    "apache-1.1": ("apache", r"apache (?:software )?(?:license,? )?(?:version |v)?1\.1", r"Apache-1\.1"),
-    "apache-2.0": ("apache", r"apache (?:software )?(?:license,? )?(?:version |v)?2(?:\.0)?", r"Apache-2\.0"),
-    "bsd-2-clause": ("bsd", r"(?:2|two)[ -]clause bsd|(?:simplified|freebsd) bsd", "BSD-2-Clause"),
-    "bsd-3-clause": ("bsd", r"(?:3|three)[ -]clause bsd|(?:new|revised|modified) bsd", "BSD-3-Clause"),
-    "bsd": ("bsd", r"bsd", r"0BSD"),
-    "gpl-2.0": ("g", r"(?:gnu )?(?:gpl|general public license),? ?(?:version |v)?2(?:\.0)?", r"GPL-2\.0(?:-only|-or-later|\+)?"),
-    "gpl-3.0": ("g", r"(?:gnu )?(?:gpl|general public license),? ?(?:version |v)?3(?:\.0)?", r"GPL-3\.0(?:-only|-or-later|\+)?"),
-    "gpl": ("g", r"gnu (?:gpl|general public license)|gpl", r"GPL"),
-    "lgpl-2.1": ("l", r"(?:gnu )?(?:lgpl|(?:lesser|library) general public license),? ?(?:version |v)?2(?:\.[01])?", r"LGPL-2\.[01](?:-only|-or-later|\+)?"),
-    "lgpl-3.0": ("l", r"(?:gnu )?(?:lgpl|lesser general public license),? ?(?:version |v)?3(?:\.0)?", r"LGPL-3\.0(?:-only|-or-later|\+)?"),
-    "agpl-3.0": ("a", r"(?:gnu )?(?:agpl|affero general public license),? ?(?:version |v)?3?(?:\.0)?", r"AGPL-3\.0(?:-only|-or-later)?"),
-    "mpl-1.1": ("m", r"(?:mozilla public license|mpl),? ?(?:version |v)?1\.1", r"MPL-1\.1"),
-    "mpl-2.0": ("m", r"(?:mozilla public license|mpl),? ?(?:version |v)?2(?:\.0)?", r"MPL-2\.0"),
-    "epl-1.0": ("e", r"(?:eclipse public license|epl),? ?(?:version |v)?1(?:\.0)?", r"EPL-1\.0"),
-    "epl-2.0": ("e", r"(?:eclipse public license|epl),? ?(?:version |v)?2(?:\.0)?", r"EPL-2\.0"),
-    "cddl-1.0": ("d", r"(?:common development and distribution license|cddl)", r"CDDL-1\.[01]"),
-    "cpl-1.0": ("c", r"common public license", r"CPL-1\.0"),
-    "eupl-1.2": ("e", r"(?:european union public licen[cs]e|eupl)", r"EUPL-1\.[12]"),
-    "isc": ("isc", r"isc", "ISC"),
-    "zlib": ("zlib", r"zlib(?:/libpng)?", "Zlib"),
-    "bsl-1.0": ("boost", r"boost software(?: license)?,? ?(?:version )?(?:1\.0)?", r"BSL-1\.0"),
-    "busl-1.1": ("business", r"business source license", r"BUSL-1\.1"),
-    "unlicense": ("unlicense", r"(?:the )?unlicense", "Unlicense"),
-    "wtfpl": ("w", r"wtfpl|do what the fuck you want to public license", "WTFPL"),
-    "artistic-2.0": ("artistic", r"(?:perl )?artistic(?: license)?,? ?(?:version |v)?2?(?:\.0)?", r"Artistic-[12]\.0"),
-    "postgresql": ("postgresql", r"postgresql", "PostgreSQL"),
-    "python-2.0": ("python", r"python software foundation|psf", r"(?:Python|PSF)-2\.0"),
-    "ruby": ("ruby", r"ruby", "Ruby"),
-    "php-3.01": ("php", r"php(?: license)?,? ?(?:version |v)?3(?:\.0\d?)?", r"PHP-3\.01?"),
-    "openssl": ("openssl", r"openssl", "OpenSSL"),
-    "ms-pl": ("m", r"microsoft public|ms-pl", "MS-PL"),
-    "ms-rl": ("m", r"microsoft reciprocal|ms-rl", "MS-RL"),
-    "ofl-1.1": ("o", r"(?:sil )?open font|ofl", r"OFL-1\.1"),
-    "odbl-1.0": ("o", r"open (?:data commons )?(?:open )?database|odbl", r"ODbL-1\.0"),
-    "pddl-1.0": ("p", r"public domain dedication and license|pddl", r"PDDL-1\.0"),
-    "cc0-1.0": ("cc", r"(?:cc0|creative commons zero)(?: 1\.0)?", r"CC0-1\.0"),
-    "cc-by": ("c", r"(?:cc[ -]by|creative commons attribution)(?: [1-4]\.[05])?", r"CC-BY-[1-4]\.[05]"),
-    "cc-by-sa": ("c", r"(?:cc[ -]by[ -]sa|creative commons attribution[ -]share ?-?alike)(?: [1-4]\.[05])?", r"CC-BY-SA-[1-4]\.[05]"),
-    "cc-by-nc": ("c", r"(?:cc[ -]by[ -]nc|creative commons attribution[ -]non-?commercial)(?: [1-4]\.[05])?", r"CC-BY-NC-[1-4]\.[05]"),
-    "cc-by-nd": ("c", r"(?:cc[ -]by[ -]nd|creative commons attribution[ -]no ?-?derivatives)(?: [1-4]\.[05])?", r"CC-BY-ND-[1-4]\.[05]"),
-    "cc-by-nc-sa": ("c", r"(?:cc[ -]by[ -]nc[ -]sa|creative commons attribution[ -]non-?commercial[ -]share ?-?alike)(?: [1-4]\.[05])?", r"CC-BY-NC-SA-[1-4]\.[05]"),
-    "cc-by-nc-nd": ("c", r"(?:cc[ -]by[ -]nc[ -]nd|creative commons attribution[ -]non-?commercial[ -]no ?-?derivatives)(?: [1-4]\.[05])?", r"CC-BY-NC-ND-[1-4]\.[05]"),
-    "proprietary": ("proprietary", r"(?:a |our )?proprietary", "LicenseRef-Proprietary"),
+    "mit": (("mit",), r"mit(?: \(?expat\)?)?", "MIT"),
+    "apache-1.1": (("apache",), r"apache (?:software )?(?:license,? )?(?:version |v)?1\.1", r"Apache-1\.1"),
+    "apache-2.0": (("apache",), r"apache (?:software )?(?:license,? )?(?:version |v)?2(?:\.0)?", r"Apache-2\.0"),
+    "bsd-2-clause": (("bsd",), r"(?:2|two)[ -]clause bsd|(?:simplified|freebsd) bsd", "BSD-2-Clause"),
+    "bsd-3-clause": (("bsd",), r"(?:3|three)[ -]clause bsd|(?:new|revised|modified) bsd", "BSD-3-Clause"),
+    "bsd": (("bsd",), r"bsd", r"0BSD"),
+    "gpl-2.0": (("gpl", "general public"), r"(?:gnu )?(?:gpl|general public license),? ?(?:version |v)?2(?:\.0)?", r"GPL-2\.0(?:-only|-or-later|\+)?"),
+    "gpl-3.0": (("gpl", "general public"), r"(?:gnu )?(?:gpl|general public license),? ?(?:version |v)?3(?:\.0)?", r"GPL-3\.0(?:-only|-or-later|\+)?"),
+    "gpl": (("gpl", "general public"), r"gnu (?:gpl|general public license)|gpl", r"GPL"),
+    "lgpl-2.1": (("lgpl", "general public"), r"(?:gnu )?(?:lgpl|(?:lesser|library) general public license),? ?(?:version |v)?2(?:\.[01])?", r"LGPL-2\.[01](?:-only|-or-later|\+)?"),
+    "lgpl-3.0": (("lgpl", "general public"), r"(?:gnu )?(?:lgpl|lesser general public license),? ?(?:version |v)?3(?:\.0)?", r"LGPL-3\.0(?:-only|-or-later|\+)?"),
+    "agpl-3.0": (("agpl", "general public"), r"(?:gnu )?(?:agpl|affero general public license),? ?(?:version |v)?3?(?:\.0)?", r"AGPL-3\.0(?:-only|-or-later)?"),
+    "mpl-1.1": (("mpl", "mozilla"), r"(?:mozilla public license|mpl),? ?(?:version |v)?1\.1", r"MPL-1\.1"),
+    "mpl-2.0": (("mpl", "mozilla"), r"(?:mozilla public license|mpl),? ?(?:version |v)?2(?:\.0)?", r"MPL-2\.0"),
+    "epl-1.0": (("epl", "eclipse"), r"(?:eclipse public license|epl),? ?(?:version |v)?1(?:\.0)?", r"EPL-1\.0"),
+    "epl-2.0": (("epl", "eclipse"), r"(?:eclipse public license|epl),? ?(?:version |v)?2(?:\.0)?", r"EPL-2\.0"),
+    "cddl-1.0": (("cddl", "common development"), r"(?:common development and distribution license|cddl)", r"CDDL-1\.[01]"),
+    "cpl-1.0": (("cpl", "common public"), r"common public license", r"CPL-1\.0"),
+    "eupl-1.2": (("eupl", "european union"), r"(?:european union public licen[cs]e|eupl)", r"EUPL-1\.[12]"),
+    "isc": (("isc",), r"isc", "ISC"),
+    "zlib": (("zlib",), r"zlib(?:/libpng)?", "Zlib"),
+    "bsl-1.0": (("boost",), r"boost software(?: license)?,? ?(?:version )?(?:1\.0)?", r"BSL-1\.0"),
+    "busl-1.1": (("business",), r"business source license", r"BUSL-1\.1"),
+    "unlicense": (("unlicense",), r"(?:the )?unlicense", "Unlicense"),
+    "wtfpl": (("wtfpl", "do what"), r"wtfpl|do what the fuck you want to public license", "WTFPL"),
+    "artistic-2.0": (("artistic",), r"(?:perl )?artistic(?: license)?,? ?(?:version |v)?2?(?:\.0)?", r"Artistic-[12]\.0"),
+    "postgresql": (("postgresql",), r"postgresql", "PostgreSQL"),
+    "python-2.0": (("psf", "python"), r"python software foundation|psf", r"(?:Python|PSF)-2\.0"),
+    "ruby": (("ruby",), r"ruby", "Ruby"),
+    "php-3.01": (("php",), r"php(?: license)?,? ?(?:version |v)?3(?:\.0\d?)?", r"PHP-3\.01?"),
+    "openssl": (("openssl",), r"openssl", "OpenSSL"),
+    "ms-pl": (("microsoft", "ms-"), r"microsoft public|ms-pl", "MS-PL"),
+    "ms-rl": (("microsoft", "ms-"), r"microsoft reciprocal|ms-rl", "MS-RL"),
+    "ofl-1.1": (("ofl", "open font"), r"(?:sil )?open font|ofl", r"OFL-1\.1"),
+    "odbl-1.0": (("odbl", "open"), r"open (?:data commons )?(?:open )?database|odbl", r"ODbL-1\.0"),
+    "pddl-1.0": (("pddl", "public domain"), r"public domain dedication and license|pddl", r"PDDL-1\.0"),
+    "cc0-1.0": (("cc0", "creative commons"), r"(?:cc0|creative commons zero)(?: 1\.0)?", r"CC0-1\.0"),
+    "cc-by": (("cc", "creative commons"), r"(?:cc[ -]by|creative commons attribution)(?: [1-4]\.[05])?", r"CC-BY-[1-4]\.[05]"),
+    "cc-by-sa": (("cc", "creative commons"), r"(?:cc[ -]by[ -]sa|creative commons attribution[ -]share ?-?alike)(?: [1-4]\.[05])?", r"CC-BY-SA-[1-4]\.[05]"),
+    "cc-by-nc": (("cc", "creative commons"), r"(?:cc[ -]by[ -]nc|creative commons attribution[ -]non-?commercial)(?: [1-4]\.[05])?", r"CC-BY-NC-[1-4]\.[05]"),
+    "cc-by-nd": (("cc", "creative commons"), r"(?:cc[ -]by[ -]nd|creative commons attribution[ -]no ?-?derivatives)(?: [1-4]\.[05])?", r"CC-BY-ND-[1-4]\.[05]"),
+    "cc-by-nc-sa": (("cc", "creative commons"), r"(?:cc[ -]by[ -]nc[ -]sa|creative commons attribution[ -]non-?commercial[ -]share ?-?alike)(?: [1-4]\.[05])?", r"CC-BY-NC-SA-[1-4]\.[05]"),
+    "cc-by-nc-nd": (("cc", "creative commons"), r"(?:cc[ -]by[ -]nc[ -]nd|creative commons attribution[ -]non-?commercial[ -]no ?-?derivatives)(?: [1-4]\.[05])?", r"CC-BY-NC-ND-[1-4]\.[05]"),
+    "proprietary": (("proprietary",), r"(?:a |our )?proprietary", "LicenseRef-Proprietary"),
 }
 #: What a name stands in: (keyword, expression, priority). The expressions of all names in all templates are the rules.
 TEMPLATES = (
     ("spdx", r"spdx-license-identifier: ?{spdx}(?![\w.+-])", 100),
-    ("under", r"(?:licensed|released|distributed|available|published|covered|shared)(?: \w+){{0,3}} under (?:the )?(?:terms of )?(?:the )?(?:{name})(?: licen[cs]e)?", 80),
+    (" under ", r"(?:licensed|released|distributed|available|published|covered|shared)(?: \w+){{0,3}} under (?:the )?(?:terms of )?(?:the )?(?:{name})(?: licen[cs]e)?", 80),
     ("licen", r"(?<![\w-])(?:the )?(?:{name}) licen[cs]ed?(?![\w-])", 60),
     ("licen", r"(?<![\w-])licen[cs]e: ?(?:the )?(?:{name})(?![\w-])", 70),
     ("opensource.org", r"opensource\.org/licenses?/{spdx}(?![\w.+-])", 90),
@@ -99,20 +100,25 @@ OTHER = (
 
 
 class Rule(NamedTuple):
+    """A signature over texts in lower case with single spaces; both keywords (any of ``also``, if there are) must stand there."""
+
     label: str
     keyword: str
     pattern: str
     priority: int
+    also: tuple[str, ...] = ()
 
 
 def signature_rules() -> list[Rule]:
     """All rules: each name in each template, then the others; a rule's place breaks ties of priority."""
-    return [Rule(label, keyword, template.format(name=name, spdx=spdx), priority + (5 if spdx.count("-") else 0)) for label, (_, name, spdx) in LICENSES.items() for keyword, template, priority in TEMPLATES] + [Rule(*x) for x in OTHER]
+    named = [Rule(label, keyword, template.format(name=name, spdx=spdx.lower()), priority + (5 if "-" in spdx else 0), names) for label, (names, name, spdx) in LICENSES.items() for keyword, template, priority in TEMPLATES]
+    return named + [Rule(*x) for x in OTHER]
 
 
 def _rule_array(rules: list[Rule]) -> str:
     quote = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    return "array(" + ", ".join(f"named_struct('label', {quote(r.label)}, 'keyword', {quote(r.keyword)}, 'pattern', {quote('(?i)' + r.pattern)}, 'priority', {r.priority}, 'place', {i})" for i, r in enumerate(rules)) + ")"
+    also = lambda r: f"array({', '.join(map(quote, r.also or ('',)))})"
+    return "array(" + ", ".join(f"named_struct('label', {quote(r.label)}, 'keyword', {quote(r.keyword)}, 'also', {also(r)}, 'pattern', {quote(r.pattern)}, 'priority', {r.priority}, 'place', {i})" for i, r in enumerate(rules)) + ")"
 
 
 def _phrase(i: int, phrase: str) -> list[Column]:
@@ -135,15 +141,18 @@ def find_licenses(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame
     """
     rules = signature_rules() if rules is None else rules
     text = F.coalesce(F.col("text"), F.lit(""))
-    gate = "(?i)" + "|".join(sorted({r.keyword.replace(".", r"\.") for r in rules}))
-    phrase_gate = "(?i)" + "|".join(f"{p.split()[0]}{NOT_WORD}{p.split()[1]}" for p in PHRASES)
-    counted = docs.select(
-        F.col("doc_id"),
+    # the prefilters are searches for plain strings; what has none of them is not matched against anything
+    low = F.col("__low")
+    any_of = lambda tests: reduce(Column.__or__, tests, F.lit(False))
+    gate = any_of([low.rlike(rf"\s{k.strip()}\s") if k != k.strip() else low.contains(k) for k in sorted({r.keyword for r in rules})])
+    phrase_gate = any_of([reduce(Column.__and__, [low.contains(w) for w in p.split()]) for p in PHRASES])
+    counted = docs.select("doc_id", "text", F.lower(text).alias("__low")).select(
+        "doc_id",
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"),
-        F.when(text.rlike(phrase_gate), F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), " "), F.lit(" "))).alias("__words"),
-        F.when(text.rlike(gate), F.regexp_replace(text, r"\s+", " ")).alias("__text"),
+        F.when(phrase_gate, F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), " "), F.lit(" "))).alias("__words"),
+        F.when(gate, F.regexp_replace(low, r"\s+", " ")).alias("__text"),
     )
-    detections = f"""if(__text is null, null, flatten(transform(filter({_rule_array(rules)}, r -> contains(lower(__text), r.keyword) and rlike(__text, r.pattern)),
+    detections = f"""if(__text is null, null, flatten(transform(filter({_rule_array(rules)}, r -> contains(__text, r.keyword) and exists(r.also, k -> contains(__text, k)) and rlike(__text, r.pattern)),
         r -> aggregate(zip_with(regexp_extract_all(__text, r.pattern, 0), slice(split(__text, r.pattern), 1, size(regexp_extract_all(__text, r.pattern, 0))), (f, b) -> named_struct('f', length(f), 'b', length(b))),
             named_struct('at', 0, 'spans', cast(array() as array<struct<start:int,end:int,priority:int,place:int,label:string>>)),
             (a, x) -> named_struct('at', a.at + x.b + x.f, 'spans', concat(a.spans, array(named_struct('start', a.at + x.b, 'end', a.at + x.b + x.f, 'priority', r.priority, 'place', r.place, 'label', r.label)))),
