@@ -2,30 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.components import cut
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder in ``spark.checkpoint.dir``; a temporary one of this machine only where it is unset (tests)."""
-    context = spark.sparkContext
-    wanted = spark.conf.get("spark.checkpoint.dir", None)
-    have = context.getCheckpointDir()
-    if have is None:
-        if wanted is None:
-            wanted = tempfile.mkdtemp(prefix="dupeloom-checkpoint-")
-            atexit.register(shutil.rmtree, wanted, True)
-        context.setCheckpointDir(wanted)
-    return wanted or have
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in the shared folder: what follows neither recomputes it nor needs the executors that made it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["cut", "documents", "free_name"]
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:

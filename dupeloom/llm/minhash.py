@@ -24,8 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from .common import cut, free_name
-from .components import connected_components
 
 TREES, DEPTH = 16, 8
 #: Places in a tree's order within which members of a region are always candidates.

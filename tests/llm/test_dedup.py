@@ -5,8 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from dupeloom.llm.components import connected_components
-from dupeloom.llm.minhash import keep_one_of_each, near_duplicates, shingle_set, signature
+from dupeloom.llm.minhash import connected_components, keep_one_of_each, near_duplicates, shingle_set, signature
 
 
 def shingles(text, size):
