@@ -28,11 +28,11 @@ from ..operators.components import connected_components
 from .common import cut, free_name
 
 TREES, DEPTH = 16, 8
-#: Places in a tree's order within which members of a region are always candidates.
+#: Places in a tree's order within which members of a region are candidates; a region of more than one more is crowded.
 REACH = 3
 #: Members next to the middle of a crowded region that are candidates of all others, and how many of the nearest by
 #: sketch each member has as candidates, among at most CROWD that follow one another.
-MIDDLES, NEAREST, CROWD = 3, 16, 4096
+MIDDLES, NEAREST, CROWD = 3, 8, 4096
 SLOTS = TREES * DEPTH
 
 _SHINGLED = "row long, doc_id long, n_shingles long, digest binary, class long, sketch binary, trees array<binary>"
@@ -140,8 +140,10 @@ def _candidates(threshold: float, least_depth: int, most_bits: int):
             keys = np.concatenate([held.column("tree").to_numpy().astype(np.int64)[:, None], keys], axis=1)
             sketches, sizes, classes = binary("sketch", SLOTS // 8), held.column("n").to_numpy(), held.column("class").to_numpy()
             found: list[tuple[np.ndarray, np.ndarray]] = []
+            region = np.concatenate([[0], np.cumsum((keys[1:, : least_depth + 1] != keys[:-1, : least_depth + 1]).any(axis=1))])
+            crowded = np.bincount(region)[region] > REACH + 1  # there the next is enough, for better candidates follow
             for reach in range(1, min(REACH, n - 1) + 1):
-                at = np.flatnonzero((keys[:-reach, : least_depth + 1] == keys[reach:, : least_depth + 1]).all(axis=1))
+                at = np.flatnonzero((region[:-reach] == region[reach:]) & ((reach == 1) | ~crowded[:-reach]))
                 found.append((at, at + reach))
             for depth in sorted({least_depth, (least_depth + DEPTH) // 2, DEPTH}):
                 change = np.flatnonzero((keys[1:, : depth + 1] != keys[:-1, : depth + 1]).any(axis=1)) + 1
