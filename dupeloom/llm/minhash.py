@@ -10,6 +10,9 @@
    only with a chance of some 1e-6; the others are confirmed on full sets, which are made again from the
    texts of candidates alone.
 4. Links are joined to components.
+5. In crowded regions, and in those that a task's end cuts, all pairs of members of different components are
+   candidates then, and confirmed likewise: so every pair that shares a prefix is compared or already joined.
+   Members are dealt in blocks of CROWD, in the order of their components, and pairs of blocks are dealt again.
 """
 
 from __future__ import annotations
@@ -17,10 +20,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,11 +36,16 @@ TREES, DEPTH = 16, 8
 #: Places in a tree's order within which members of a region are candidates; a region of more than one more is crowded.
 REACH = 3
 #: Members next to the middle of a crowded region that are candidates of all others, and how many of the nearest by
-#: sketch each member has as candidates, among at most CROWD that follow one another.
+#: sketch each member has as candidates, among at most CROWD that follow one another.  They join most members; the
+#: rest of a crowded region's pairs follows by components.
 MIDDLES, NEAREST, CROWD = 3, 8, 4096
+#: Classes up to which a list of them is sent to the texts, not the texts to it.
+FEW = 1 << 18
 SLOTS = TREES * DEPTH
 
 _SHINGLED = "row long, doc_id long, n_shingles long, digest binary, class long, sketch binary, trees array<binary>"
+_FOUND = "a long, b long, region long, class long, n long, sketch binary"
+_CROSSED = "a long, b long, root_a long, root_b long, region long, block long, low long, high long, members binary"
 
 
 class WordHashes(dict):
@@ -115,7 +125,7 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=
 
 
 def _candidates(threshold: float, least_depth: int, most_bits: int):
-    """Candidate pairs of rows (tree, key, class, n, sketch) that come in a tree's order."""
+    """Candidate pairs (a, b) of rows (tree, key, class, n, sketch) that come in a tree's order, and the members of regions of which these are not all."""
 
     def of_region(at: np.ndarray, sketches: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         bits = np.unpackbits(sketches[at], axis=1)
@@ -133,13 +143,11 @@ def _candidates(threshold: float, least_depth: int, most_bits: int):
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _in_runs(batches, least_depth):
             n = held.num_rows
-            if n < 2:
-                continue
             binary = lambda name, width: np.frombuffer(b"".join(held.column(name).to_pylist()), np.uint8).reshape(n, width)  # noqa: B023, E731
             keys = np.ascontiguousarray(binary("key", 2 * DEPTH)).view(">u2").astype(np.int64)
             keys = np.concatenate([held.column("tree").to_numpy().astype(np.int64)[:, None], keys], axis=1)
             sketches, sizes, classes = binary("sketch", SLOTS // 8), held.column("n").to_numpy(), held.column("class").to_numpy()
-            found: list[tuple[np.ndarray, np.ndarray]] = []
+            found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
             region = np.concatenate([[0], np.cumsum((keys[1:, : least_depth + 1] != keys[:-1, : least_depth + 1]).any(axis=1))])
             crowded = np.bincount(region)[region] > REACH + 1  # there the next is enough, for better candidates follow
             for reach in range(1, min(REACH, n - 1) + 1):
@@ -157,11 +165,106 @@ def _candidates(threshold: float, least_depth: int, most_bits: int):
             fine = (a != b) & (small >= threshold * large - 1e-9) & (_BITS[sketches[a] ^ sketches[b]].sum(axis=1, dtype=np.int64) <= most_bits)
             a, b = classes[a[fine]], classes[b[fine]]
             both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64())], ["a", "b"])
+            left = np.flatnonzero(crowded | (region == 0) | (region == region[-1]))  # the first and the last may go on elsewhere
+            codes = np.zeros(len(left), np.uint64)
+            for slot in keys[left, : least_depth + 1].T:
+                codes = _mixed(codes * np.uint64(1 << 16) + slot.astype(np.uint64))
+            none = lambda k, kind: pa.nulls(k, kind)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64()), *[none(len(both), pa.int64())] * 3, none(len(both), pa.binary())], _names(_FOUND))
+            yield pa.RecordBatch.from_arrays([*[none(len(left), pa.int64())] * 2, pa.array(codes.view(np.int64)), pa.array(classes[left], pa.int64()), pa.array(sizes[left], pa.int64()), pa.array([x.tobytes() for x in sketches[left]], pa.binary())], _names(_FOUND))
 
     return pairs
 
 
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, bool]]:
+    """Blocks of at most CROWD rows (region, root, class, n, sketch) of one region, as rows of numbers, and whether one is all of its region."""
+    held = np.zeros((0, 6), np.int64)
+    loose = None  # the region that may have rows elsewhere
+    for batch in chain(batches, [None]):
+        if batch is not None and batch.num_rows:
+            numbers = np.stack([batch.column(i).to_numpy() for i in range(4)], axis=1)
+            sketches = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.int64).reshape(-1, 2)
+            held = np.concatenate([held, np.concatenate([numbers, sketches], axis=1)])
+            loose = held[0, 0] if loose is None else loose
+        bounds = [0, *(np.flatnonzero(held[1:, 0] != held[:-1, 0]) + 1).tolist(), len(held)] if len(held) else []
+        done = 0
+        for a, b in pairwise(bounds):
+            if b == len(held):
+                if batch is not None and b - a < CROWD:
+                    break
+                loose = held[a, 0]
+            for i in range(a, b, CROWD):
+                yield held[i : min(i + CROWD, b)], bool(held[a, 0] != loose) and b - a <= CROWD
+            done = b
+        held = held[done:]
+
+
+def _crossing(x: np.ndarray, y: np.ndarray, threshold: float, most_bits: int) -> np.ndarray:
+    """Pairs (a, b, root of a, root of b), a < b, of a row of ``x`` and one of ``y`` (root, class, n, sketch) of different roots that can link."""
+    signs = lambda z: np.unpackbits(np.ascontiguousarray(z[:, 3:]).view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+    other, out = signs(y).T, [np.zeros((0, 4), np.int64)]
+    for k in range(0, len(x), 512):
+        part = x[k : k + 512]
+        i, j = np.nonzero((signs(part) @ other >= SLOTS - 2 * most_bits) & (part[:, :1] != y[:, 0]))
+        small, large = np.minimum(part[i, 2], y[j, 2]), np.maximum(part[i, 2], y[j, 2])
+        fine = small >= threshold * large - 1e-9
+        one, two = part[i[fine], :2], y[j[fine], :2]
+        first = (one[:, 1] < two[:, 1])[:, None]
+        a, b = np.where(first, one, two), np.where(first, two, one)
+        out.append(np.stack([a[:, 1], b[:, 1], a[:, 0], b[:, 0]], axis=1))
+    return np.unique(np.concatenate(out), axis=0)
+
+
+def _crossed(threshold: float, most_bits: int):
+    """Candidates of different roots within blocks, and blocks that have others of their region, of rows in the order of region and root."""
+
+    def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        none = lambda k, n: [pa.nulls(n, pa.int64())] * k
+        for piece, alone in _pieces(batches):
+            region, members = int(piece[0, 0]), piece[:, 1:]
+            low, high = int(members[0, 0]), int(members[-1, 0])
+            if low != high:
+                pairs = _crossing(members, members, threshold, most_bits)
+                if len(pairs):
+                    yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in pairs.T], *none(4, len(pairs)), pa.nulls(len(pairs), pa.binary())], _names(_CROSSED))
+            if not alone:
+                yield pa.RecordBatch.from_arrays([*none(4, 1), *[pa.array([v], pa.int64()) for v in (region, block, low, high)], pa.array([members.tobytes()], pa.binary())], _names(_CROSSED))
+                block += 1
+
+    return crossed
+
+
+def _between(threshold: float, most_bits: int):
+    """Candidates of different roots of two blocks."""
+
+    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column(0), batch.column(1), strict=True):
+                x, y = (np.frombuffer(z.as_buffer(), np.int64).reshape(-1, 5) for z in (x, y))
+                pairs = _crossing(x, y, threshold, most_bits)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in pairs.T], _names(_CROSSED)[:4])
+
+    return between
+
+
+def _across(crowd: DataFrame, threshold: float, most_bits: int) -> DataFrame:
+    """a, b, root_a, root_b: of ``crowd`` (region, root, class, n, sketch), all pairs of a region that can link and have different roots."""
+    parts = int(crowd.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = crowd.repartitionByRange(parts, "region", "root", "class").sortWithinPartitions("region", "root", "class")
+    crossed = cut(ordered.mapInArrow(_crossed(threshold, most_bits), _CROSSED))
+    blocks = crossed.where("block is not null")
+    one, two = (blocks.select("region", *[F.col(c).alias(f"{c}_{side}") for c in ("block", "low", "high")]) for side in "xy")
+    apart = one.join(two, "region").where("block_x < block_y and not (low_x = high_x and low_y = high_y and low_x = low_y)").select("block_x", "block_y")
+    one, two = (blocks.select(F.col("block").alias(f"block_{side}"), F.col("members").alias(side)) for side in "xy")
+    far = apart.join(one, "block_x").join(two, "block_y").select("x", "y").mapInArrow(_between(threshold, most_bits), ", ".join(_CROSSED.split(", ")[:4]))
+    return crossed.where("a is not null").select(*far.columns).unionByName(far).distinct()
+
+
 def _in_runs(batches: Iterator[pa.RecordBatch], least_depth: int, most: int = 20_000) -> Iterator[pa.Table]:
     """The rows in tables that end between regions, or after ``most`` rows; then the last rows begin the next one too."""
     rest: pa.Table | None = None
@@ -231,14 +334,31 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, least_
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     forest = classes.select(F.posexplode("trees").alias("tree", "key"), "class", "n", "sketch")
     ordered = forest.repartitionByRange(parts, "tree", "key", "class").sortWithinPartitions("tree", "key", "class")
-    pairs = cut(ordered.mapInArrow(_candidates(threshold, least_depth, most_bits), "a long, b long").distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    texts = base.join(classes.select("row", "class").join(wanted, "class", "left_semi"), "row").select("class", "text")
-    sets = cut(texts.mapInArrow(_sets(shingle), "class long, shingles binary").dropDuplicates(["class"]))
-    one, two = sets.select(F.col("class").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
-    links = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_confirmed(percent), "a long, b long")
-    roots = connected_components(links, "a", "b")
-    rooted = classes.select("class", "least_id").join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    found = cut(ordered.mapInArrow(_candidates(threshold, least_depth, most_bits), _FOUND))
+    pairs = cut(found.where("a is not null").select("a", "b").distinct())
+
+    def sets_of(wanted: DataFrame, few: bool) -> DataFrame:
+        rows_of = classes.select("row", "class").join(wanted, "class", "left_semi")
+        texts = base.join(F.broadcast(rows_of) if few else rows_of, "row").select("class", "text")
+        return cut(texts.mapInArrow(_sets(shingle), "class long, shingles binary").dropDuplicates(["class"]))
+
+    def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        one, two = sets.select(F.col("class").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
+        return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_confirmed(percent), "a long, b long")
+
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    sets = sets_of(ends(pairs), False)
+    roots = cut(connected_components(confirmed(pairs, sets), "a", "b").select(F.col("node").alias("class"), "root"))
+    crowd = found.where("class is not null").select("region", "class", "n", "sketch").join(roots, "class", "left")
+    across = cut(_across(cut(crowd.select("region", F.coalesce("root", "class").alias("root"), "class", "n", "sketch")), threshold, most_bits))
+    more = cut(ends(across).join(sets, "class", "left_anti"))
+    n_more = more.count()
+    if n_more:
+        sets = sets.unionByName(sets_of(more, n_more <= FEW))
+    links = across.join(confirmed(across.select("a", "b"), sets), ["a", "b"], "left_semi")
+    last = connected_components(links, "root_a", "root_b").select(F.col("node").alias("root"), F.col("root").alias("last"))
+    rooted = classes.select("class", "least_id").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    rooted = rooted.join(last, "root", "left").select("class", "least_id", F.coalesce("last", "root").alias("root"))
     of_class = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).where("class is not null")
     rooted = cut(rooted.join(of_class, "class"))
     heads = rooted.groupBy("root").agg(F.min("first").alias("head"))

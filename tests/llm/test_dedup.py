@@ -89,6 +89,54 @@ def test_a_star_of_far_copies_is_one_component(spark):
     assert {r.component_id for r in found} == {0}
 
 
+def bridged(rng, first_id, many, few):
+    """Two groups of close copies with one link between them, of a member of each; all are as far from their group's middle."""
+    base = [f"w{rng.randrange(10**9)}" for _ in range(200)]
+    places = rng.sample(range(3, 190, 6), 27)
+    far, own = places[:7], places[7:]
+
+    def made(at):
+        words = [f"{w}b" if i in at else w for i, w in enumerate(base)]
+        return " ".join([*words[:-1], f"end{rng.random()}"])
+
+    def close(at):
+        i = rng.choice(own)
+        return made(at).replace(base[i], f"own{rng.random()}")
+
+    texts = [close(far) for _ in range(many)] + [made(far[:6])] + [close([]) for _ in range(few)] + [made(far[5:6])]
+    rng.shuffle(texts)
+    return [(first_id + i, t) for i, t in enumerate(texts)]
+
+
+def test_one_link_between_two_groups_of_copies_joins_them(spark):
+    rng = random.Random(11)
+    families = [bridged(rng, 1000 * k, 120, 90) for k in range(8)]
+    for rows in families[:1]:
+        assert {c for _, _, c in brute_force(rows, 3, 85)} == {rows[0][0]}
+    docs = spark.createDataFrame([r for f in families for r in f], "doc_id long, text string").repartition(5)
+    found = near_duplicates(docs, 3, 85).collect()
+    assert {(r.doc_id, r.component_id) for r in found} == {(d, f[0][0]) for f in families for d, _ in f}
+
+
+def test_blocks_of_a_region_meet(monkeypatch):
+    """All pairs of different roots, whether a region is in one block, in several, or goes on in another task."""
+    import pyarrow as pa
+
+    from dupeloom.llm import minhash
+
+    monkeypatch.setattr(minhash, "CROWD", 4)
+    rng = np.random.default_rng(5)
+    rows = sorted((region, int(rng.integers(3)), c, 100) for region, size in enumerate((3, 9, 1, 4, 17, 6)) for c in range(100 * region, 100 * region + size))
+    batches = [pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in zip(*part, strict=True)], pa.array([b"\0" * 16] * len(part), pa.binary())], list("abcde")) for part in (rows[:5], rows[5:6], rows[6:30], rows[30:])]
+    pieces = list(minhash._pieces(iter(batches)))
+    assert np.concatenate([p for p, _ in pieces])[:, :4].tolist() == [list(r) for r in rows]
+    assert all(len(p) <= 4 and len(set(p[:, 0])) == 1 for p, _ in pieces)
+    assert {int(p[0, 0]) for p, alone in pieces if alone} == {2, 3}
+    one = pieces[1][0][:, 1:]
+    wanted = {(int(min(a[1], b[1])), int(max(a[1], b[1]))) for a in one for b in one if a[0] != b[0]}
+    assert {tuple(p[:2]) for p in minhash._crossing(one, one, 0.8, 20).tolist()} == wanted
+
+
 def test_edge_rows(spark, edge_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in edge_docs.collect()]
     found = near_duplicates(edge_docs, 5, 80).collect()
