@@ -2,8 +2,8 @@
 
 Counting: each task sums its own words and word pairs and sends one sorted block of hashes and counts for each
 bucket of the hash space; a bucket's blocks are merged in one task.  Each bucket also makes its segment of the
-Bloom filter: an n-gram counted c times is entered once for each level 1 to floor(log2 c), so its level is found
-by asking for level after level.  Segments are broadcast to the workers in parts of at most ``most_bytes``; with
+Bloom filter: an n-gram counted c times is entered once for each level 1 to 1 + floor(log2 c), so its level is found
+by asking for level after level, and level 0 is what was never counted.  Segments are broadcast to the workers in parts of at most ``most_bytes``; with
 more than one part, texts pass once for each and carry the levels found so far.
 
 Exact base scores: the most frequent words of each bucket, ``hot_words`` in all, are broadcast with their counts;
@@ -32,7 +32,7 @@ END, START = xxhash.xxh64_intdigest(b"\n"), xxhash.xxh64_intdigest(b" ")
 #: Tokens that a task counts before it sends them on, and scores at once.
 FLUSH, BLOCK = 3_000_000, 600_000
 BITS_PER_ENTRY, PROBES = 10, 4
-#: Weight of the prior in a pair's probability, and what a count below two is taken for.
+#: Weight of the prior in a pair's probability, and what the count of an unseen word is taken for.
 PRIOR, SELDOM = 50.0, 0.5
 
 _COUNTS = "kind int, bucket int, hashes binary, counts binary"
@@ -171,14 +171,14 @@ class Filter:
 
 
 def expected_count(levels: np.ndarray, seldom: float) -> np.ndarray:
-    """The middle, by ratio, of what a level stands for."""
-    return np.where(levels > 0, np.sqrt(2.0) * 2.0**levels - 0.5, seldom)
+    """The middle, by ratio, of the counts that a level stands for: 1 at level 1, 2 and 3 at level 2; ``seldom`` at 0, the unseen."""
+    return np.where(levels > 1, np.sqrt(2.0) * 2.0 ** (levels - 1.0) - 0.5, np.where(levels == 1, 1.0, seldom))
 
 
 def _merged(hot_each: int):
     def merged(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         hashes, counts = _summed(np.concatenate([_numbers(x) for x in frame["hashes"]]), np.concatenate([np.frombuffer(x, "<u4") for x in frame["counts"]]).astype(np.int64))
-        row = {"kind": key[0], "bucket": key[1], "n": len(hashes), "total": int(counts.sum()), "hashes": None, "counts": None, "hot_hashes": None, "hot_counts": None, "bits": bloom_segment(hashes, counts).tobytes()}
+        row = {"kind": key[0], "bucket": key[1], "n": len(hashes), "total": int(counts.sum()), "hashes": None, "counts": None, "hot_hashes": None, "hot_counts": None, "bits": bloom_segment(hashes, 2 * counts).tobytes()}  # doubled: counts of 1 are level 1
         if key[0] == 1:
             hot = np.sort(np.lexsort((hashes, -counts))[:hot_each])
             cold = np.setdiff1d(np.arange(len(hashes)), hot, assume_unique=True)

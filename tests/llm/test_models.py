@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 
 from dupeloom.llm.langid import GRAMS, Languages, gram_counts, has_letter, identify_languages, keep_identified
-from dupeloom.llm.lm import Filter, bloom_segment, score_documents
+from dupeloom.llm.lm import Filter, bloom_segment, expected_count, score_documents
 
 
 def fold(doc_id, n):
@@ -101,6 +101,16 @@ def test_filter_gives_levels_of_counts():
     assert (others == 0).mean() > 0.9
 
 
+def test_what_was_seen_once_is_not_unseen(spark):
+    train = [i for i in range(200) if fold(i, 10)]
+    test = [i for i in range(200) if not fold(i, 10)]
+    rows = [(i, f"a{i} b{i} c{i}") for i in train] + [(test[0], f"a{train[0]} b{train[0]} c{train[0]}"), (test[1], f"a{train[1]} c{train[2]} b{train[3]}"), (test[2], "x y z")]
+    score = {r.doc_id: r.score for r in score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    pairs, words, unseen = (score[i] for i in test[:3])
+    assert pairs > words + 0.01 and words > unseen + 0.01
+    assert expected_count(np.asarray([0, 1, 2]), 0.0).tolist()[:2] == [0.0, 1.0] and 2 < expected_count(np.asarray([2]), 0.0)[0] < 3
+
+
 def test_the_model_is_better_than_the_base(spark):
     rows = score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
