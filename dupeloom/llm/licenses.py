@@ -20,7 +20,7 @@ PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserv
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
-#: label: (keywords of which its name holds one, expression of its name, SPDX identifier), in lower case.
+#: label: (keywords of which its name and its identifier hold one each, expression of its name, SPDX identifier), in lower case.
 LICENSES = {
     "mit": (("mit",), r"mit(?: \(?expat\)?)?", "MIT"),
     "apache-1.1": (("apache",), r"apache (?:software )?(?:license,? )?(?:version |v)?1\.1", r"Apache-1\.1"),
@@ -43,8 +43,8 @@ LICENSES = {
     "eupl-1.2": (("eupl", "european union"), r"(?:european union public licen[cs]e|eupl)", r"EUPL-1\.[12]"),
     "isc": (("isc",), r"isc", "ISC"),
     "zlib": (("zlib",), r"zlib(?:/libpng)?", "Zlib"),
-    "bsl-1.0": (("boost",), r"boost software(?: license)?,? ?(?:version )?(?:1\.0)?", r"BSL-1\.0"),
-    "busl-1.1": (("business",), r"business source license", r"BUSL-1\.1"),
+    "bsl-1.0": (("boost", "bsl-"), r"boost software(?: license)?,? ?(?:version )?(?:1\.0)?", r"BSL-1\.0"),
+    "busl-1.1": (("business", "busl-"), r"business source license", r"BUSL-1\.1"),
     "unlicense": (("unlicense",), r"(?:the )?unlicense", "Unlicense"),
     "wtfpl": (("wtfpl", "do what"), r"wtfpl|do what the fuck you want to public license", "WTFPL"),
     "artistic-2.0": (("artistic",), r"(?:perl )?artistic(?: license)?,? ?(?:version |v)?2?(?:\.0)?", r"Artistic-[12]\.0"),

@@ -1,6 +1,7 @@
 """Secret and license scans against plain Python."""
 
 import hashlib
+import random
 import re
 
 from dupeloom.llm.licenses import find_licenses, signature_rules
@@ -101,3 +102,43 @@ def test_rules_suppress_what_they_contain(spark):
     rows = find_licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(made)], "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r.labels for r in rows] == [w for _, w in made]
     assert all(0 <= r.score <= 1 for r in rows) and rows[0].score > rows[5].score == 0
+
+
+def sample(tree, rng):
+    """A text that a parsed expression matches, as far as its look-arounds allow."""
+    from re import _constants as c
+
+    out = ""
+    for op, arg in tree:
+        if op is c.LITERAL:
+            out += chr(arg)
+        elif op is c.ANY:
+            out += "x"
+        elif op is c.IN:
+            kind, value = arg[0]
+            out += chr(value if kind is c.LITERAL else rng.randint(*value)) if kind is not c.CATEGORY else {c.CATEGORY_WORD: "x", c.CATEGORY_DIGIT: "7"}[value]
+        elif op is c.BRANCH:
+            out += sample(rng.choice(arg[1]), rng)
+        elif op is c.SUBPATTERN:
+            out += sample(arg[3], rng)
+        elif op in (c.MAX_REPEAT, c.MIN_REPEAT):
+            low, high, inner = arg
+            out += "".join(sample(inner, rng) for _ in range(rng.randint(low, min(high, low + 2))))
+    return out
+
+
+def test_no_rule_matches_without_its_keywords():
+    rng = random.Random(1)
+    for rule in signature_rules():
+        tree = re._parser.parse(rule.pattern)
+        texts = [f"x {sample(tree, rng)} x" for _ in range(60)]
+        texts = [t for t in texts if re.search(rule.pattern, t)]
+        assert texts, rule
+        for text in texts:
+            assert rule.keyword in text and any(k in text for k in rule.also or ("",)), (rule, text)
+
+
+def test_boost_and_business_identifiers_are_found(spark):
+    texts = ["SPDX-License-Identifier: BSL-1.0", "SPDX-License-Identifier: BUSL-1.1", "see opensource.org/licenses/BSL-1.0"]
+    found = find_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.labels for r in found] == ["bsl-1.0", "busl-1.1", "bsl-1.0"]
