@@ -144,7 +144,8 @@ def find_licenses(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame
     # the prefilters are searches for plain strings; what has none of them is not matched against anything
     low = F.col("__low")
     any_of = lambda tests: reduce(Column.__or__, tests, F.lit(False))
-    gate = any_of([low.rlike(rf"\s{k.strip()}\s") if k != k.strip() else low.contains(k) for k in sorted({r.keyword for r in rules})])
+    words_in = lambda k: reduce(Column.__and__, [low.contains(w) for w in k.split()], F.lit(True))  # noqa: E731  (white space may stand between them)
+    gate = any_of([low.rlike(rf"\s{k.strip()}\s") if k != k.strip() else words_in(k) for k in sorted({r.keyword for r in rules})])
     phrase_gate = any_of([reduce(Column.__and__, [low.contains(w) for w in p.split()]) for p in PHRASES])
     counted = docs.select("doc_id", "text", F.lower(text).alias("__low")).select(
         "doc_id",

@@ -142,3 +142,9 @@ def test_boost_and_business_identifiers_are_found(spark):
     texts = ["SPDX-License-Identifier: BSL-1.0", "SPDX-License-Identifier: BUSL-1.1", "see opensource.org/licenses/BSL-1.0"]
     found = find_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r.labels for r in found] == ["bsl-1.0", "busl-1.1", "bsl-1.0"]
+
+
+def test_a_keyword_of_two_words_may_be_wrapped(spark):
+    texts = ["placed in the public\ndomain", "some rights \n\t reserved"]
+    found = find_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.labels for r in found] == ["public-domain", "reserved"]
