@@ -39,7 +39,7 @@ def find_secrets(docs: DataFrame, scope: int = 400) -> DataFrame:
     names = {k: f"__{k}_matches" for k in KINDS}
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "secret_spans"]
     # weak parts are looked for only where an identifier and a secret can both be
-    has_id = text.rlike(WEAK_ID)
+    has_id = text.rlike(WEAK_ID) | text.rlike(ACCESS)
     sure = docs.select(*kept, matched(text, ASSIGN, 2).alias(names["assign"]), matched(text, ACCESS).alias(names["access"]), matched(text, HEX).alias(names["hex"]), has_id.alias("__has_id"))
     weak = lambda pattern: F.when(F.col("__has_id"), matched(text, pattern))
     parts = sure.select("*", weak(WEAK_ID).alias(names["id"]), weak(WEAK_KEY).alias(names["key"]), weak(ENDPOINT).alias(names["endpoint"]))
