@@ -8,9 +8,11 @@ again.  A round that does not save bins is not taken.
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -26,57 +28,60 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", uid long, bucket long, bin long, offset long, room long, bins long, bound long"
 
 
-#: Chunks on which the merges are held against the tokenizer itself in each worker.
-PROBES = 64
-
-
 @lru_cache(maxsize=2)
-def chunk_table(path: str) -> ChunkTable:
-    """The tokenizer of a Python worker.
+def tokenizer_of(path: str) -> tuple[ChunkTable, Callable[[str | None], bytes]]:
+    """(chunk table, encoder of whole texts) of a Python worker: the ids that ``tokenizers`` gives.
 
-    A ``tokenizers`` file of byte-level BPE whose ids are its merges' order has a rank encoder that gives the
-    same ids several times as fast.  The first chunks are encoded by both; should one differ, or should the file
-    not be of that kind, ``tokenizers`` encodes everything.
+    ``tokenizers`` itself encodes a text that holds one of its added tokens, which it recognises by default, and
+    every chunk that is not plain ASCII.  Plain chunks go to a rank encoder, several times as fast, if
+    ``rank_encoder`` proves that it makes the same merges.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    slow = lambda text: packed(tokenizer.encode(text, add_special_tokens=False).ids)
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    own = lambda text: packed(tokenizer.encode(text, add_special_tokens=False).ids)
     fast = rank_encoder(tokenizer)
-    if fast is None:
-        return ChunkTable(slow)
-    left = PROBES
-
-    def encode(text: str) -> bytes:
-        nonlocal left
-        out = packed(fast(text))
-        if left > 0:
-            left -= 1
-            if out != (own := slow(text)):
-                left, table.encode = 0, slow
-                table.clear()
-                return own
-        return out
-
-    table = ChunkTable(encode)
-    return table
-
-
-def rank_encoder(tokenizer):
-    """``encode_ordinary`` of the tokenizer's vocabulary without its added tokens, if ids are ranks; else None."""
+    table = ChunkTable(own if fast is None else lambda text: packed(fast(text)) if text.isascii() and not _control(text) else own(text))
+    return table, lambda text: own(text) if text and any(x in text for x in added) else table.whole(text)
+
+
+_control = re.compile(r"[^\n\x20-\x7e]").search
+
+
+def rank_encoder(tokenizer) -> Callable[[str], list[int]] | None:
+    """``encode_ordinary`` by ranks if on ASCII it gives the tokenizer's ids in every text without added tokens; else None.
+
+    A rank encoder joins the two neighbours whose join has the least id; the tokenizer those of the first merge in
+    its list.  They agree if ids are in the order of merges, a merge's parts come before it, and the tokenizer's
+    model makes every token of its bytes alone: then two neighbours whose join is a token, all earlier merges done,
+    can only be the parts of that token's own merge.  Pre-tokens agree by the pattern, which is the same.
+    """
+    import json
+
     import public_tokenizers
     import tiktoken
 
+    whole = json.loads(tokenizer.to_str())
+    model, split = whole["model"], whole["pre_tokenizer"]
+    plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    if model["type"] != "BPE" or whole["normalizer"] or whole["post_processor"] or not split or plain.items() - split.items():
+        return None
+    if any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return None
     letters = byte_letters()
-    back = {c: b for b, c in enumerate(letters)}
-    added = set(tokenizer.get_added_tokens_decoder())
-    pieces = {piece: i for piece, i in tokenizer.get_vocab(True).items() if i not in added}
-    if any(c not in back for piece in pieces for c in piece):
+    added = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+    ids = {piece: i for piece, i in model["vocab"].items() if piece not in added}
+    merges = [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    made = ["".join(m) for m in merges]
+    if {*ids} != {*letters, *made} or len(made) + 256 != len(ids) or any(ids[a] >= ids[b] for a, b in pairwise(made)):
+        return None
+    if any(max(ids[a], ids[b]) >= ids[c] for (a, b), c in zip(merges, made, strict=True)) or max(ids[c] for c in letters) >= ids[made[0]]:
         return None
-    ranks = {bytes(back[c] for c in piece): i for piece, i in pieces.items()}
-    if any(bytes([b]) not in ranks for b in range(256)):
+    if any([t.id for t in tokenizer.model.tokenize(piece)] != [ids[piece]] for piece in made):
         return None
+    back = {c: b for b, c in enumerate(letters)}
+    ranks = {bytes(back[c] for c in piece): i for piece, i in ids.items()}
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
@@ -88,11 +93,11 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int)
     ending = packed([end_id])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = chunk_table(tokenizer_path)
+        _, encode = tokenizer_of(tokenizer_path)
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = table.whole(text) + ending
+                ids = encode(text) + ending
                 n = len(ids) // 4
                 at = 0
                 for k in range(-(-n // capacity)):

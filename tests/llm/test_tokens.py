@@ -43,7 +43,6 @@ def test_bpe_of_odd_white_space(oracle):
 
 def check_packing(docs, rows, capacity):
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
     wanted = []
     for r in docs.select("doc_id", "text").collect():
         ids = np.asarray([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4")
@@ -65,7 +64,9 @@ def check_packing(docs, rows, capacity):
 
 
 def test_packing(spark, sf_dir, edge_docs, no_docs):
-    for docs in (spark.read.parquet(f"{sf_dir}/documents.parquet"), edge_docs):
+    added = ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|>b\nc d", "<|endoftext| >", " two  <|endoftext|>\n<|endoftext|>"]
+    added_docs = spark.createDataFrame([*enumerate(added), *((9, t) for t in added)], "doc_id long, text string")
+    for docs in (spark.read.parquet(f"{sf_dir}/documents.parquet"), edge_docs, added_docs):
         rows = pack_documents(docs, JSON, 1024, 2).collect()
         placed = check_packing(docs, rows, 1024)
         assert len(placed) <= 1.03 * lower_bound(np.asarray([r.length for r in rows]), 1024)
@@ -89,3 +90,15 @@ def test_lower_bound_is_one():
         assert np.bincount(bins, lengths).max() <= 10 and len(room) == bins.max() + 1
         assert lower_bound(lengths, 10) <= len(room)
         assert [10 - lengths[bins == b].sum() for b in range(len(room))] == room
+
+
+def test_ranks_are_used_only_where_proved():
+    from dupeloom.llm.packing import rank_encoder, tokenizer_of
+
+    fast = rank_encoder(Tokenizer.from_file(JSON))
+    own = Tokenizer.from_file(JSON)
+    for text in ["it's aaaa'll   b\n\nc", " 1234 x12!? ", "zzzzzzzzzzzz", *[t for t in EDGE_TEXTS if t and t.isascii()]]:
+        assert fast(text) == own.encode(text, add_special_tokens=False).ids
+    other = public_tokenizers.path("word_bpe_49k.json")
+    assert rank_encoder(Tokenizer.from_file(other)) is None
+    assert rank_encoder(own) and np.frombuffer(tokenizer_of(JSON)[1]("é ½ <|endoftext|>"), "<u4").tolist() == own.encode("é ½ <|endoftext|>", add_special_tokens=False).ids
