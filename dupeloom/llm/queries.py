@@ -98,4 +98,51 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.least AS component_id, d.doc_
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY 1) c USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_minhash_near_dedup": _NEAR_DEDUP, "op6_exact_top_k": _TOP_K}
+#: Matches by kind, their places by running lengths, links by all pairs of parts that lie apart.
+_SECRETS = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS l FROM documents
+),
+cuts AS (
+    SELECT r, 'assign' AS kind, 0 AS rank, regexp_extract_all(l, pattern) AS f, regexp_split_to_array(l, pattern) AS b, regexp_extract_all(l, pattern, 2) AS v
+    FROM d, (SELECT '(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([a-z0-9+/_.=-]+)' AS pattern)
+    UNION ALL
+    SELECT r, kind, rank, regexp_extract_all(t, pattern), regexp_split_to_array(t, pattern), regexp_extract_all(t, pattern)
+    FROM d, (VALUES
+        ('access', 1, 'AKIA[A-Z0-9]+'),
+        ('hex', 2, '[0-9a-f]+'),
+        ('id', 3, '\b(?:(?:AKIA|ASIA|AGPA|AIDA)[A-Z0-9]{8,}|(?i:(?:client|access|account|user|login)[_-]?(?:id|key|name)?["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9_.@-]{4,}))'),
+        ('key', 4, '[A-Za-z0-9+/_=-]+'),
+        ('endpoint', 5, '\b(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|ssh)://[^\x20\x09-\x0D"''<>]+')
+    ) AS k(kind, rank, pattern)
+),
+matches AS (SELECT r, kind, rank, unnest(f) AS f, unnest(b[1 : len(f)]) AS b, unnest(v) AS v, unnest(range(len(f))) AS i FROM cuts WHERE len(f) > 0),
+spans AS (
+    SELECT r, kind, rank, f, v, (sum(length(b) + length(f)) OVER (PARTITION BY r, kind ORDER BY i) - length(f))::BIGINT AS s, sum(length(b) + length(f)) OVER (PARTITION BY r, kind ORDER BY i)::BIGINT AS e
+    FROM matches
+),
+parts AS (
+    SELECT r, kind, rank, s, e, floor(s / 200)::BIGINT - 1 AS low, floor((e - 1) / 200)::BIGINT AS high FROM spans
+    WHERE CASE kind WHEN 'assign' THEN length(v) >= 6 WHEN 'access' THEN length(f) >= 20 WHEN 'hex' THEN length(f) >= 24
+        WHEN 'key' THEN length(f) >= 20 AND regexp_matches(f, '[0-9]') AND regexp_matches(f, '[A-Z]') AND regexp_matches(f, '[a-z]') ELSE TRUE END
+),
+linked AS (
+    SELECT DISTINCT i.r, unnest(range(greatest(i.low, k.low), least(i.high, k.high) + 1)) AS scope
+    FROM parts i JOIN parts k ON i.r = k.r AND i.kind IN ('id', 'access') AND k.kind IN ('assign', 'hex', 'key') AND (i.e <= k.s OR k.e <= i.s)
+    WHERE greatest(i.low, k.low) <= least(i.high, k.high)
+),
+shown AS (SELECT * FROM parts p WHERE rank < 3 OR EXISTS (SELECT 1 FROM linked l WHERE l.r = p.r AND l.scope BETWEEN p.low AND p.high)),
+kept AS (
+    SELECT * FROM shown w
+    WHERE rank < 3 OR NOT EXISTS (SELECT 1 FROM shown o WHERE o.r = w.r AND o.s <= w.s AND o.e >= w.e AND (o.s < w.s OR o.e > w.e OR o.rank < w.rank))
+),
+joined AS (
+    SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+        string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans, count(*) FILTER (rank >= 3) AS n_linked
+    FROM kept GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_linked, 0) AS n_linked
+FROM d LEFT JOIN joined USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_minhash_near_dedup": _NEAR_DEDUP, "op2_secret_scan": _SECRETS, "op6_exact_top_k": _TOP_K}
