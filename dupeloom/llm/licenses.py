@@ -1,9 +1,9 @@
 """License scans by ordered signature rules, in built-in functions alone.
 
-Every rule is a regular expression with a keyword without which it cannot match, a label and a priority.
-Only documents that hold any keyword are looked at, and there only the rules whose keywords stand in the
-text.  Of overlapping detections, one that lies inside another of higher priority (or of the same, with an
-earlier rule) is suppressed.
+Every rule is a regular expression with keywords without which it cannot match, a label and a priority.  Only
+documents that hold the keywords of some rule are looked at, and each rule only where its own stand.  A rule's
+pattern is a literal of the plan, compiled once in a task.  Of overlapping detections, one that lies inside
+another of higher priority is suppressed; of the same priority the longer stays, of equal places the earlier rule.
 """
 
 from __future__ import annotations
@@ -14,93 +14,224 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .spans import NO_SPANS, let, placed, running
+
 #: Phrases that are counted wherever their words stand, and their labels. Fixed values.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: A word of text whose A-Z may be either case: what is not ASCII, letters and digits.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: What rules see: A-Z in lower case, and each run of what does not print in ASCII as one space.
+UNSEEN, SIGN = r"[^\x21-\x7E]+", "©"
+
+#: How versions are written: "2", "2.0", "-2.0", ", version 2", " v. 2.0"; the number goes in the middle.
+_V = r"(?:[ -]public)?(?:[ -]licen[cs]e)?(?: \((?:the )?\W?\w+\W?\))?,?[ -]?(?:version |ver\.? ?|v\.? ?)?"
+#: What ends a GPL identifier.
+_SFX = r"(?:-only|-or-later|\+)?"
+
+
+class License(NamedTuple):
+    """How a license is named: words of which a name or identifier holds one, names, identifiers (both expressions)."""
+
+    keywords: tuple[str, ...]
+    name: str
+    spdx: str
+    #: A word that means other things too: "{name} license" alone says nothing then.
+    common: bool = False
+
 
-#: label: (keywords of which its name and its identifier hold one each, expression of its name, SPDX identifier), in lower case.
 LICENSES = {
-    "mit": (("mit",), r"mit(?: \(?expat\)?)?", "MIT"),
-    "apache-1.1": (("apache",), r"apache (?:software )?(?:license,? )?(?:version |v)?1\.1", r"Apache-1\.1"),
-    "apache-2.0": (("apache",), r"apache (?:software )?(?:license,? )?(?:version |v)?2(?:\.0)?", r"Apache-2\.0"),
-    "bsd-2-clause": (("bsd",), r"(?:2|two)[ -]clause bsd|(?:simplified|freebsd) bsd", "BSD-2-Clause"),
-    "bsd-3-clause": (("bsd",), r"(?:3|three)[ -]clause bsd|(?:new|revised|modified) bsd", "BSD-3-Clause"),
-    "bsd": (("bsd",), r"bsd", r"0BSD"),
-    "gpl-2.0": (("gpl", "general public"), r"(?:gnu )?(?:gpl|general public license),? ?(?:version |v)?2(?:\.0)?", r"GPL-2\.0(?:-only|-or-later|\+)?"),
-    "gpl-3.0": (("gpl", "general public"), r"(?:gnu )?(?:gpl|general public license),? ?(?:version |v)?3(?:\.0)?", r"GPL-3\.0(?:-only|-or-later|\+)?"),
-    "gpl": (("gpl", "general public"), r"gnu (?:gpl|general public license)|gpl", r"GPL"),
-    "lgpl-2.1": (("lgpl", "general public"), r"(?:gnu )?(?:lgpl|(?:lesser|library) general public license),? ?(?:version |v)?2(?:\.[01])?", r"LGPL-2\.[01](?:-only|-or-later|\+)?"),
-    "lgpl-3.0": (("lgpl", "general public"), r"(?:gnu )?(?:lgpl|lesser general public license),? ?(?:version |v)?3(?:\.0)?", r"LGPL-3\.0(?:-only|-or-later|\+)?"),
-    "agpl-3.0": (("agpl", "general public"), r"(?:gnu )?(?:agpl|affero general public license),? ?(?:version |v)?3?(?:\.0)?", r"AGPL-3\.0(?:-only|-or-later)?"),
-    "mpl-1.1": (("mpl", "mozilla"), r"(?:mozilla public license|mpl),? ?(?:version |v)?1\.1", r"MPL-1\.1"),
-    "mpl-2.0": (("mpl", "mozilla"), r"(?:mozilla public license|mpl),? ?(?:version |v)?2(?:\.0)?", r"MPL-2\.0"),
-    "epl-1.0": (("epl", "eclipse"), r"(?:eclipse public license|epl),? ?(?:version |v)?1(?:\.0)?", r"EPL-1\.0"),
-    "epl-2.0": (("epl", "eclipse"), r"(?:eclipse public license|epl),? ?(?:version |v)?2(?:\.0)?", r"EPL-2\.0"),
-    "cddl-1.0": (("cddl", "common development"), r"(?:common development and distribution license|cddl)", r"CDDL-1\.[01]"),
-    "cpl-1.0": (("cpl", "common public"), r"common public license", r"CPL-1\.0"),
-    "eupl-1.2": (("eupl", "european union"), r"(?:european union public licen[cs]e|eupl)", r"EUPL-1\.[12]"),
-    "isc": (("isc",), r"isc", "ISC"),
-    "zlib": (("zlib",), r"zlib(?:/libpng)?", "Zlib"),
-    "bsl-1.0": (("boost", "bsl-"), r"boost software(?: license)?,? ?(?:version )?(?:1\.0)?", r"BSL-1\.0"),
-    "busl-1.1": (("business", "busl-"), r"business source license", r"BUSL-1\.1"),
-    "unlicense": (("unlicense",), r"(?:the )?unlicense", "Unlicense"),
-    "wtfpl": (("wtfpl", "do what"), r"wtfpl|do what the fuck you want to public license", "WTFPL"),
-    "artistic-2.0": (("artistic",), r"(?:perl )?artistic(?: license)?,? ?(?:version |v)?2?(?:\.0)?", r"Artistic-[12]\.0"),
-    "postgresql": (("postgresql",), r"postgresql", "PostgreSQL"),
-    "python-2.0": (("psf", "python"), r"python software foundation|psf", r"(?:Python|PSF)-2\.0"),
-    "ruby": (("ruby",), r"ruby", "Ruby"),
-    "php-3.01": (("php",), r"php(?: license)?,? ?(?:version |v)?3(?:\.0\d?)?", r"PHP-3\.01?"),
-    "openssl": (("openssl",), r"openssl", "OpenSSL"),
-    "ms-pl": (("microsoft", "ms-"), r"microsoft public|ms-pl", "MS-PL"),
-    "ms-rl": (("microsoft", "ms-"), r"microsoft reciprocal|ms-rl", "MS-RL"),
-    "ofl-1.1": (("ofl", "open font"), r"(?:sil )?open font|ofl", r"OFL-1\.1"),
-    "odbl-1.0": (("odbl", "open"), r"open (?:data commons )?(?:open )?database|odbl", r"ODbL-1\.0"),
-    "pddl-1.0": (("pddl", "public domain"), r"public domain dedication and license|pddl", r"PDDL-1\.0"),
-    "cc0-1.0": (("cc0", "creative commons"), r"(?:cc0|creative commons zero)(?: 1\.0)?", r"CC0-1\.0"),
-    "cc-by": (("cc", "creative commons"), r"(?:cc[ -]by|creative commons attribution)(?: [1-4]\.[05])?", r"CC-BY-[1-4]\.[05]"),
-    "cc-by-sa": (("cc", "creative commons"), r"(?:cc[ -]by[ -]sa|creative commons attribution[ -]share ?-?alike)(?: [1-4]\.[05])?", r"CC-BY-SA-[1-4]\.[05]"),
-    "cc-by-nc": (("cc", "creative commons"), r"(?:cc[ -]by[ -]nc|creative commons attribution[ -]non-?commercial)(?: [1-4]\.[05])?", r"CC-BY-NC-[1-4]\.[05]"),
-    "cc-by-nd": (("cc", "creative commons"), r"(?:cc[ -]by[ -]nd|creative commons attribution[ -]no ?-?derivatives)(?: [1-4]\.[05])?", r"CC-BY-ND-[1-4]\.[05]"),
-    "cc-by-nc-sa": (("cc", "creative commons"), r"(?:cc[ -]by[ -]nc[ -]sa|creative commons attribution[ -]non-?commercial[ -]share ?-?alike)(?: [1-4]\.[05])?", r"CC-BY-NC-SA-[1-4]\.[05]"),
-    "cc-by-nc-nd": (("cc", "creative commons"), r"(?:cc[ -]by[ -]nc[ -]nd|creative commons attribution[ -]non-?commercial[ -]no ?-?derivatives)(?: [1-4]\.[05])?", r"CC-BY-NC-ND-[1-4]\.[05]"),
-    "proprietary": (("proprietary",), r"(?:a |our )?proprietary", "LicenseRef-Proprietary"),
+    "mit": License(("mit", "expat"), r"(?:mit(?:/x11)?|expat)(?: \(?expat\)?)?", "mit"),
+    "mit-0": License(("mit",), r"mit[ -](?:0|no attribution)", "mit-0"),
+    "apache-1.0": License(("apache",), rf"apache(?: software)?{_V}1\.0", r"apache-1\.0"),
+    "apache-1.1": License(("apache",), rf"apache(?: software)?{_V}1\.1", r"apache-1\.1"),
+    "apache-2.0": License(("apache", "asl"), rf"(?:apache(?: software)?(?: foundation)?|asl){_V}2(?:\.0)?", r"apache-2\.0"),
+    "apache": License(("apache",), r"apache(?: software)?", r"apache"),
+    "0bsd": License(("bsd",), r"(?:zero|0)[ -]clause bsd", "0bsd"),
+    "bsd-2-clause": License(("bsd",), r"(?:2|two)[ -]clause bsd|(?:simplified|freebsd) bsd|bsd[ -](?:2|two)[ -]clause", r"bsd-2-clause(?:-patent)?"),
+    "bsd-3-clause": License(("bsd",), r"(?:3|three)[ -]clause bsd|(?:new|revised|modified) bsd|bsd[ -](?:3|three)[ -]clause", r"bsd-3-clause(?:-clear)?"),
+    "bsd-4-clause": License(("bsd",), r"(?:4|four)[ -]clause bsd|(?:original|old) bsd|bsd[ -](?:4|four)[ -]clause", "bsd-4-clause"),
+    "bsd": License(("bsd",), r"bsd", "bsd"),
+    "gpl-1.0": License(("gpl", "general public"), rf"(?:gnu )?(?:gpl|general public license){_V}1(?:\.0)?", rf"gpl-1\.0{_SFX}"),
+    "gpl-2.0": License(("gpl", "general public"), rf"(?:gnu )?(?:gpl|general public license){_V}2(?:\.0)?(?: or later| or any later version|\+)?", rf"gpl-2\.0{_SFX}"),
+    "gpl-3.0": License(("gpl", "general public"), rf"(?:gnu )?(?:gpl|general public license){_V}3(?:\.0)?(?: or later| or any later version|\+)?", rf"gpl-3\.0{_SFX}"),
+    "gpl": License(("gpl", "general public"), r"(?:gnu )?(?:gpl|general public)", "gpl"),
+    "lgpl-2.0": License(("lgpl", "general public"), rf"(?:gnu )?(?:lgpl|(?:lesser|library) general public license){_V}2(?:\.0)?", rf"lgpl-2\.0{_SFX}"),
+    "lgpl-2.1": License(("lgpl", "general public"), rf"(?:gnu )?(?:lgpl|(?:lesser|library) general public license){_V}2\.1(?: or later| or any later version|\+)?", rf"lgpl-2\.1{_SFX}"),
+    "lgpl-3.0": License(("lgpl", "general public"), rf"(?:gnu )?(?:lgpl|lesser general public license){_V}3(?:\.0)?(?: or later| or any later version|\+)?", rf"lgpl-3\.0{_SFX}"),
+    "lgpl": License(("lgpl", "general public"), r"(?:gnu )?(?:lgpl|(?:lesser|library) general public)", "lgpl"),
+    "agpl-3.0": License(("agpl", "affero"), rf"(?:gnu )?(?:agpl|affero general public license){_V}3(?:\.0)?", rf"agpl-3\.0{_SFX}"),
+    "agpl": License(("agpl", "affero"), r"(?:gnu )?(?:agpl|affero general public)", "agpl"),
+    "fdl-1.3": License(("fdl", "free documentation"), rf"(?:gnu )?(?:gfdl|free documentation license){_V}1\.[123]", rf"gfdl-1\.[123]{_SFX}"),
+    "mpl-1.1": License(("mpl", "mozilla"), rf"(?:mozilla public license|mpl){_V}1\.[01]", r"mpl-1\.[01]"),
+    "mpl-2.0": License(("mpl", "mozilla"), rf"(?:mozilla public license|mpl){_V}2(?:\.0)?", r"mpl-2\.0"),
+    "epl-1.0": License(("epl", "eclipse"), rf"(?:eclipse public license|epl){_V}1(?:\.0)?", r"epl-1\.0"),
+    "epl-2.0": License(("epl", "eclipse"), rf"(?:eclipse public license|epl){_V}2(?:\.0)?", r"epl-2\.0"),
+    "cddl-1.0": License(("cddl", "common development"), r"(?:common development and distribution license|cddl)(?:,? (?:version |v)?1\.[01])?", r"cddl-1\.[01]"),
+    "cpl-1.0": License(("cpl", "common public"), r"common public license", r"cpl-1\.0"),
+    "eupl-1.2": License(("eupl", "european union"), r"(?:european union public licen[cs]e|eupl)(?:,? (?:version |v\.? ?)?1\.[12])?", r"eupl-1\.[12]"),
+    "isc": License(("isc",), r"isc", "isc"),
+    "zlib": License(("zlib",), r"zlib(?:/libpng)?", "zlib"),
+    "libpng": License(("libpng",), r"libpng", r"libpng(?:-2\.0)?"),
+    "bsl-1.0": License(("boost", "bsl-"), r"boost software(?: licen[cs]e)?(?:,? ?(?:-|version |v)?1\.0)?", r"bsl-1\.0"),
+    "busl-1.1": License(("business source", "busl-"), r"business source licen[cs]e(?:,? (?:version |v)?1\.1)?", r"busl-1\.1"),
+    "sspl-1.0": License(("sspl", "server side public"), r"server side public license|sspl", r"sspl-1\.0"),
+    "elastic-2.0": License(("elastic",), r"elastic license(?: (?:version |v)?2(?:\.0)?)?", r"elastic-2\.0"),
+    "unlicense": License(("unlicense",), r"unlicense", "unlicense"),
+    "wtfpl": License(("wtfpl", "do what the"), r"wtfpl|do what the fuck you want to public license", "wtfpl"),
+    "beerware": License(("beer",), r"beer-?ware", "beerware"),
+    "artistic-1.0": License(("artistic",), rf"(?:perl )?artistic{_V}1(?:\.0)?", r"artistic-1\.0"),
+    "artistic-2.0": License(("artistic",), rf"(?:perl )?artistic{_V}2(?:\.0)?", r"artistic-2\.0"),
+    "artistic": License(("artistic",), r"(?:perl )?artistic", "artistic", True),
+    "postgresql": License(("postgresql",), r"postgresql", "postgresql", True),
+    "python-2.0": License(("psf", "python"), r"python software foundation|psf", r"(?:python|psf)-2\.0"),
+    "ruby": License(("ruby",), r"ruby", "ruby", True),
+    "php-3.01": License(("php",), r"php(?: license)?,? (?:version |v)?3(?:\.0\d?)?", r"php-3\.01?"),
+    "openssl": License(("openssl",), r"openssl", "openssl", True),
+    "curl": License(("curl",), r"curl", "curl", True),
+    "ncsa": License(("ncsa",), r"(?:university of illinois/)?ncsa(?: open source)?", "ncsa"),
+    "ms-pl": License(("microsoft", "ms-pl"), r"microsoft public|ms-pl", "ms-pl"),
+    "ms-rl": License(("microsoft", "ms-rl"), r"microsoft reciprocal|ms-rl", "ms-rl"),
+    "ofl-1.1": License(("ofl", "open font"), r"(?:sil )?open font(?: license)?(?:,? (?:version )?1\.1)?|(?:sil )?ofl(?: 1\.1)?", r"ofl-1\.1"),
+    "odbl-1.0": License(("odbl", "open database"), r"(?:open data commons )?open database|odbl", r"odbl-1\.0"),
+    "odc-by-1.0": License(("odc", "open data commons"), r"open data commons attribution|odc-by", r"odc-by-1\.0"),
+    "pddl-1.0": License(("pddl", "public domain dedication"), r"public domain dedication and license|pddl", r"pddl-1\.0"),
+    "cc0-1.0": License(("cc0", "creative commons"), r"(?:cc0|creative commons(?: cc0| zero))(?:[ -]1\.0)?", r"cc0-1\.0"),
+    "cc-by": License(("cc by", "cc-by", "creative commons"), r"(?:cc[ -]by|creative commons attribution)(?:[ -][1-4]\.[05])?", r"cc-by-[1-4]\.[05]"),
+    "cc-by-sa": License(("cc by", "cc-by", "creative commons"), r"(?:cc[ -]by[ -]sa|creative commons attribution[ -]share[ -]?alike)(?:[ -][1-4]\.[05])?", r"cc-by-sa-[1-4]\.[05]"),
+    "cc-by-nc": License(("cc by", "cc-by", "creative commons"), r"(?:cc[ -]by[ -]nc|creative commons attribution[ -]non-?commercial)(?:[ -][1-4]\.[05])?", r"cc-by-nc-[1-4]\.[05]"),
+    "cc-by-nd": License(("cc by", "cc-by", "creative commons"), r"(?:cc[ -]by[ -]nd|creative commons attribution[ -]no ?-?deriv(?:ative)?s?)(?:[ -][1-4]\.[05])?", r"cc-by-nd-[1-4]\.[05]"),
+    "cc-by-nc-sa": License(("cc by", "cc-by", "creative commons"), r"(?:cc[ -]by[ -]nc[ -]sa|creative commons attribution[ -]non-?commercial[ -]share[ -]?alike)(?:[ -][1-4]\.[05])?", r"cc-by-nc-sa-[1-4]\.[05]"),
+    "cc-by-nc-nd": License(("cc by", "cc-by", "creative commons"), r"(?:cc[ -]by[ -]nc[ -]nd|creative commons attribution[ -]non-?commercial[ -]no ?-?deriv(?:ative)?s?)(?:[ -][1-4]\.[05])?", r"cc-by-nc-nd-[1-4]\.[05]"),
+    "proprietary": License(("proprietary",), r"(?:a |our )?proprietary", "licenseref-proprietary"),
 }
-#: What a name stands in: (keyword, expression, priority). The expressions of all names in all templates are the rules.
+#: What a name stands in: (keyword, expression, priority); {any} is a name or an identifier. With every license these are rules.
 TEMPLATES = (
-    ("spdx", r"spdx-license-identifier: ?{spdx}(?![\w.+-])", 100),
-    (" under ", r"(?:licensed|released|distributed|available|published|covered|shared)(?: \w+){{0,3}} under (?:the )?(?:terms of )?(?:the )?(?:{name})(?: licen[cs]e)?", 80),
-    ("licen", r"(?<![\w-])(?:the )?(?:{name}) licen[cs]ed?(?![\w-])", 60),
-    ("licen", r"(?<![\w-])licen[cs]e: ?(?:the )?(?:{name})(?![\w-])", 70),
-    ("opensource.org", r"opensource\.org/licenses?/{spdx}(?![\w.+-])", 90),
+    ("spdx-license-identifier", r"spdx-license-identifier: ?(?:[\w.+-]+ (?:and|or|with) )?{spdx}(?:[^\w+-]|$)", 100),
+    ("opensource.org", r"opensource\.org/licen[cs]es?/{spdx}(?:[^\w+-]|$)", 90),
+    ("spdx.org", r"spdx\.org/licenses/{spdx}(?:[^\w+-]|$)", 90),
+    (" under ", r"\b(?:licensed|released|distributed|available|published|covered|shared|provided|offered|redistributable|open[ -]sourced)(?: \w+){{0,3}} under (?:either )?(?:(?:the|a) )?(?:terms (?:and conditions )?of )?(?:(?:the|a) )?(?:{any})(?:[ -]style)?(?: licen[cs]e)?", 80),
+    ("licen", r"\blicen[cs]e ?[:=] ?\W?(?:the )?(?:{any})(?:[^\w+-]|$)", 70),
+    ("licen", r"\b(?:the )?(?:{any})(?:[ -]style)? licen[cs]ed?\b", 60),
 )
-#: Rules that are not about a name: (label, keyword, expression, priority).
+#: Rules that are written one by one: (label, keyword, expression, priority).
 OTHER = (
+    # texts and notices
+    ("mit", "permission is hereby granted", r"permission is hereby granted, free of charge, to any person obtaining a copy", 95),
+    ("mit", "merchantability", r"the software is provided \W?as is\W?, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability", 88),
+    ("mit", "above copyright notice", r"the above copyright notice and this permission notice shall be included in all copies", 88),
+    ("isc", "permission to use", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose", 95),
+    ("0bsd", "without fee", r"with or without fee is hereby granted\. the software is provided", 85),
+    ("bsd", "redistribution", r"redistributions? (?:and use )?in source and binary forms", 85),
+    ("bsd", "redistributions of source", r"redistributions of source code must retain the above copyright notice", 84),
+    ("bsd-3-clause", "endorse", r"neither the names? of .{1,80}? may be used to endorse or promote", 95),
+    ("bsd-4-clause", "advertising materials", r"all advertising materials mentioning features or use of this software", 95),
+    ("zlib", "in no event will the authors", r"in no event will the authors be held liable for any damages arising from the use of this software", 90),
+    ("zlib", "misrepresented", r"the origin of this software must not be misrepresented", 90),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain", 95),
+    ("bsl-1.0", "executable object code", r"machine-executable object code generated by a source language processor", 95),
+    ("apache-2.0", "except in compliance", r"you may not use this file except in compliance with the license.{0,60}?apache", 90),
+    ("apache-2.0", "apache license", r"apache license,? version 2\.0", 62),
+    ("apache-2.0", "january 2004", r"version 2\.0, january 2004", 92),
+    ("gpl-3.0", "version 3", r"under the terms of (?:version 3 of )?the gnu general public license as published by the free software foundation, (?:either )?version 3", 96),
+    ("gpl-2.0", "version 2", r"under the terms of (?:version 2 of )?the gnu general public license as published by the free software foundation[;,] (?:either )?version 2", 96),
+    ("gpl-3.0", "29 june 2007", r"gnu general public license version 3, 29 june 2007", 96),
+    ("gpl-2.0", "june 1991", r"gnu general public license version 2, june 1991", 96),
+    ("gpl", "general public license", r"under the terms of the gnu general public license", 82),
+    ("gpl", "general public license", r"should have received a copy of the gnu general public license", 82),
+    ("lgpl-2.1", "version 2.1", r"under the terms of the gnu lesser general public license as published by the free software foundation[;,] (?:either )?version 2\.1", 96),
+    ("lgpl-3.0", "version 3", r"under the terms of the gnu lesser general public license as published by the free software foundation[;,] (?:either )?version 3", 96),
+    ("lgpl", "general public license", r"under the terms of the gnu (?:lesser|library) general public license", 83),
+    ("agpl-3.0", "affero", r"under the terms of the gnu affero general public license as published by the free software foundation, (?:either )?version 3", 96),
+    ("agpl", "affero", r"under the terms of the gnu affero general public license", 83),
+    ("fdl-1.3", "free documentation license", r"under the terms of the gnu free documentation license", 83),
+    ("mpl-2.0", "mozilla public", r"this source code form is subject to the terms of the mozilla public license,? v(?:ersion|\.)? ?2\.0", 96),
+    ("mpl-1.1", "mozilla public", r"the contents of this file are subject to the mozilla public license version 1\.1", 96),
+    ("mpl-2.0", "mozilla public", r"mozilla public license,? (?:version|v\.?) ?2\.0", 62),
+    ("mpl-1.1", "mozilla public", r"mozilla public license,? (?:version|v\.?) ?1\.1", 62),
+    ("epl-2.0", "eclipse public", r"this program and the accompanying materials are made available under the terms of the eclipse public license (?:v\.? ?|version )?2\.0", 96),
+    ("epl-1.0", "eclipse public", r"this program and the accompanying materials are made available under the terms of the eclipse public license (?:v\.? ?|version )?1\.0", 96),
+    ("epl-2.0", "eclipse public", r"eclipse public license,? (?:-|version|v\.?) ?2\.0", 62),
+    ("epl-1.0", "eclipse public", r"eclipse public license,? (?:-|version|v\.?) ?1\.0", 62),
+    ("cddl-1.0", "common development", r"subject to the terms of the common development and distribution license", 95),
+    ("wtfpl", "do what the", r"do what the fuck you want to public license", 90),
+    ("beerware", "beer", r"if we meet some day, and you think this stuff is worth it, you can buy me a beer", 95),
+    ("python-2.0", "psf license", r"\bpsf license agreement", 85),
+    ("python-2.0", "python software", r"python software foundation license", 85),
+    ("ofl-1.1", "open font", r"this font software is licensed under the sil open font license", 95),
+    ("artistic-2.0", "artistic", r"artistic license,? (?:version )?2\.0", 62),
+    ("busl-1.1", "business source", r"business source license,? (?:version )?1\.1", 62),
+    ("cc0-1.0", "waived all copyright", r"waived all copyright and related (?:or|and) neighbou?ring rights", 92),
+    # gnu general public license with a version, anywhere
+    ("gpl-3.0", "general public license", r"gnu general public license,? (?:\(gpl\) )?(?:version|v\.?) ?3(?:\.0)?\b", 62),
+    ("gpl-2.0", "general public license", r"gnu general public license,? (?:\(gpl\) )?(?:version|v\.?) ?2(?:\.0)?\b", 62),
+    ("lgpl-2.1", "general public license", r"gnu (?:lesser|library) general public license,? (?:version|v\.?) ?2\.1\b", 63),
+    ("lgpl-3.0", "general public license", r"gnu lesser general public license,? (?:version|v\.?) ?3(?:\.0)?\b", 63),
+    ("agpl-3.0", "affero", r"gnu affero general public license,? (?:version|v\.?) ?3(?:\.0)?\b", 63),
+    # identifiers by themselves, where they can mean nothing else
+    ("apache-2.0", "apache-2.0", r"\bapache-2\.0(?:[^\w+-]|$)", 45),
+    ("bsd-2-clause", "bsd-2", r"\bbsd-2-clause(?:[^\w+-]|$)", 45),
+    ("bsd-3-clause", "bsd-3", r"\bbsd-3-clause(?:[^\w+-]|$)", 45),
+    ("gpl-2.0", "gpl-2", r"\bgpl-2\.0(?:-only|-or-later|\+)?(?:[^\w+-]|$)", 45),
+    ("gpl-3.0", "gpl-3", r"\bgpl-3\.0(?:-only|-or-later|\+)?(?:[^\w+-]|$)", 45),
+    ("gpl-2.0", "gplv2", r"\bgplv2\+?(?:[^\w-]|$)", 45),
+    ("gpl-3.0", "gplv3", r"\bgplv3\+?(?:[^\w-]|$)", 45),
+    ("lgpl-2.1", "lgpl-2.1", r"\blgpl-2\.1(?:-only|-or-later|\+)?(?:[^\w+-]|$)", 45),
+    ("lgpl-3.0", "lgpl-3", r"\blgpl-3\.0(?:-only|-or-later|\+)?(?:[^\w+-]|$)", 45),
+    ("lgpl-3.0", "lgplv3", r"\blgplv3\+?(?:[^\w-]|$)", 45),
+    ("agpl-3.0", "agpl", r"\bagpl(?:v3|-3\.0(?:-only|-or-later)?)\+?(?:[^\w-]|$)", 45),
+    ("mpl-2.0", "mpl-2", r"\bmpl-2\.0(?:[^\w+-]|$)", 45),
+    ("epl-2.0", "epl-2", r"\bepl-2\.0(?:[^\w+-]|$)", 45),
+    ("cc0-1.0", "cc0", r"\bcc0(?:-1\.0)?(?:[^\w+-]|$)", 45),
+    ("cc-by-sa", "cc", r"\bcc[ -]by[ -]sa[ -][1-4]\.[05]\b", 46),
+    ("cc-by-nc", "cc", r"\bcc[ -]by[ -]nc[ -][1-4]\.[05]\b", 46),
+    ("cc-by-nd", "cc", r"\bcc[ -]by[ -]nd[ -][1-4]\.[05]\b", 46),
+    ("cc-by-nc-sa", "cc", r"\bcc[ -]by[ -]nc[ -]sa[ -][1-4]\.[05]\b", 47),
+    ("cc-by-nc-nd", "cc", r"\bcc[ -]by[ -]nc[ -]nd[ -][1-4]\.[05]\b", 47),
+    # addresses
     ("cc-by", "creativecommons.org", r"creativecommons\.org/licenses/by/[1-4]\.[05]", 90),
     ("cc-by-sa", "creativecommons.org", r"creativecommons\.org/licenses/by-sa/[1-4]\.[05]", 90),
     ("cc-by-nc", "creativecommons.org", r"creativecommons\.org/licenses/by-nc/[1-4]\.[05]", 90),
     ("cc-by-nd", "creativecommons.org", r"creativecommons\.org/licenses/by-nd/[1-4]\.[05]", 90),
     ("cc-by-nc-sa", "creativecommons.org", r"creativecommons\.org/licenses/by-nc-sa/[1-4]\.[05]", 90),
+    ("cc-by-nc-nd", "creativecommons.org", r"creativecommons\.org/licenses/by-nc-nd/[1-4]\.[05]", 90),
     ("cc0-1.0", "creativecommons.org", r"creativecommons\.org/publicdomain/zero/1\.0", 90),
-    ("gpl", "gnu.org", r"gnu\.org/(?:licenses|copyleft)/gpl", 90),
-    ("lgpl-3.0", "gnu.org", r"gnu\.org/licenses/lgpl", 90),
-    ("agpl-3.0", "gnu.org", r"gnu\.org/licenses/agpl", 90),
+    ("public-domain", "creativecommons.org", r"creativecommons\.org/publicdomain/mark/1\.0", 90),
+    ("gpl-3.0", "gnu.org", r"gnu\.org/licenses/gpl-3\.0", 91),
+    ("gpl-2.0", "gnu.org", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0", 91),
+    ("gpl", "gnu.org", r"gnu\.org/(?:licenses|copyleft)/(?:gpl|\W|$)", 90),
+    ("lgpl-2.1", "gnu.org", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1", 91),
+    ("lgpl-3.0", "gnu.org", r"gnu\.org/licenses/lgpl-3\.0", 91),
+    ("lgpl", "gnu.org", r"gnu\.org/(?:licenses|copyleft)/(?:lgpl|lesser)", 90),
+    ("agpl-3.0", "gnu.org", r"gnu\.org/licenses/agpl(?:-3\.0)?", 90),
+    ("fdl-1.3", "gnu.org", r"gnu\.org/(?:licenses|copyleft)/fdl", 90),
     ("apache-2.0", "apache.org", r"apache\.org/licenses/license-2\.0", 90),
-    ("mit", "permission", r"permission is hereby granted, free of charge, to any person obtaining a copy", 95),
-    ("isc", "permission", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose", 95),
-    ("bsd", "redistribution", r"redistribution and use in source and binary forms", 85),
-    ("bsd-3-clause", "endorse", r"neither the name of .{1,80}? may be used to endorse or promote", 95),
-    ("public-domain", "public domain", r"(?:released|dedicated|placed|is|are) (?:in|in ?to|to) the public domain", 50),
-    ("copyright", "copyright", r"copyright (?:\(c\)|©)? ?(?:19|20)\d\d", 20),
+    ("mpl-2.0", "mozilla.org", r"mozilla\.org/(?:en-us/)?mpl/2\.0", 90),
+    ("mpl-1.1", "mozilla.org", r"mozilla\.org/(?:en-us/)?mpl/(?:1\.1|mpl-1\.1)", 90),
+    ("epl-2.0", "eclipse.org", r"eclipse\.org/legal/epl-(?:v20|2\.0)", 90),
+    ("epl-1.0", "eclipse.org", r"eclipse\.org/legal/epl-v10", 90),
+    ("ofl-1.1", "org/ofl", r"(?:scripts|openfontlicense)\.(?:sil\.)?org/ofl", 90),
+    ("unlicense", "unlicense.org", r"unlicense\.org", 90),
+    ("bsl-1.0", "boost.org", r"boost\.org/license_1_0", 90),
+    ("wtfpl", "wtfpl.net", r"wtfpl\.net", 90),
+    # rights without a license
+    ("public-domain", "public domain", r"\b(?:released|dedicated|placed|put|is|are) (?:in|in ?to|to) the public domain", 50),
+    ("copyright", "copyright", r"\bcopyright (?:\(c\) ?)?(?:by )?(?:19|20)\d\d", 20),
+    ("copyright", "(c)", r"\(c\) ?(?:copyright )?(?:19|20)\d\d", 20),
+    ("copyright", "spdx-filecopyrighttext", r"spdx-filecopyrighttext:", 30),
     ("proprietary", "confidential", r"(?:proprietary and confidential|confidential and proprietary)", 75),
-    ("no-reproduction", "reproduc", r"no part of (?:this|the) \w+ may be reproduced", 70),
-    ("reserved", "rights reserved", r"(?:all|some|no other) rights reserved", 40),
+    ("proprietary", "unauthorized", r"unauthorized (?:copying|reproduction|use)(?: or \w+)? of this (?:file|software|document|material)", 75),
+    ("no-reproduction", "may be reproduced", r"no part of (?:this|the) \w+ may be reproduced", 70),
+    ("reserved", "rights reserved", r"\b(?:all|some|no other) rights reserved\b", 40),
+    ("no-commercial-use", "commercial use", r"\b(?:for non-?commercial use only|not for commercial use|no commercial use)\b", 55),
+    ("academic", " purposes only", r"\bfor (?:academic|educational|research)(?: (?:and|or) \w+)? purposes only\b", 55),
 )
 
 
 class Rule(NamedTuple):
-    """A signature over texts in lower case with single spaces; both keywords (any of ``also``, if there are) must stand there."""
+    """A signature over what rules see; ``keyword`` and one of ``also`` (if there are any) must stand there."""
 
     label: str
     keyword: str
@@ -110,25 +241,54 @@ class Rule(NamedTuple):
 
 
 def signature_rules() -> list[Rule]:
-    """All rules: each name in each template, then the others; a rule's place breaks ties of priority."""
-    named = [Rule(label, keyword, template.format(name=name, spdx=spdx.lower()), priority + (5 if "-" in spdx else 0), names) for label, (names, name, spdx) in LICENSES.items() for keyword, template, priority in TEMPLATES]
-    return named + [Rule(*x) for x in OTHER]
+    """All rules: each license in each template, then the others; a rule's place breaks ties of priority."""
+    out = []
+    for label, license_ in LICENSES.items():
+        either = f"{license_.name}|{license_.spdx}"
+        for keyword, template, priority in TEMPLATES:
+            if not (license_.common and priority <= 60):
+                sure = 5 if any(c.isdigit() for c in label) or label.count("-") > 1 else 0
+                out.append(Rule(label, keyword, template.format(any=either, spdx=license_.spdx), priority + sure, license_.keywords))
+    return out + [Rule(*x) for x in OTHER]
+
 
+def _quoted(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-def _rule_array(rules: list[Rule]) -> str:
-    quote = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    also = lambda r: f"array({', '.join(map(quote, r.also or ('',)))})"
-    return "array(" + ", ".join(f"named_struct('label', {quote(r.label)}, 'keyword', {quote(r.keyword)}, 'also', {also(r)}, 'pattern', {quote(r.pattern)}, 'priority', {r.priority}, 'place', {i})" for i, r in enumerate(rules)) + ")"
 
+def _detections(rules: list[Rule], seen: str) -> str:
+    """SQL: array of SPAN of what all rules find; rank is the rule's place by priority, kind its label, n its level of priority.
 
-def _phrase(i: int, phrase: str) -> list[Column]:
-    """Of a phrase in __words (the words with single spaces around each): number of places, first and last place, or nulls."""
-    pieces = F.when(F.col("__words").isNotNull(), F.split("__words", f"(?i) {phrase}(?= )"))
+    Whether a rule matches is asked of a literal pattern; only those that do are taken apart.
+    """
+    levels = sorted({r.priority for r in rules}, reverse=True)
+    ranked = sorted(rules, key=lambda r: -r.priority)
+    of: dict[tuple[str, ...], list[str]] = {}
+    for rank, r in enumerate(ranked):
+        of.setdefault(r.also, []).append(f"if(contains({seen}, {_quoted(r.keyword)}) and rlike({seen}, {_quoted(r.pattern)}), {rank}, null)")
+    groups = [f"if({' or '.join(f'contains({seen}, {_quoted(k)})' for k in also) or 'true'}, array({', '.join(parts)}), array(cast(null as int)))" for also, parts in of.items()]
+    matching = f"filter(concat({', '.join(groups)}), i -> i is not null)"
+    table = "array(" + ", ".join(f"named_struct('label', {_quoted(r.label)}, 'pattern', {_quoted(r.pattern)}, 'rank', {rank}, 'level', {levels.index(r.priority)})" for rank, r in enumerate(ranked)) + ")"
+    found = f"named_struct('found', regexp_extract_all({seen}, rule.pattern, 0), 'between', split({seen}, rule.pattern), 'value', regexp_extract_all({seen}, rule.pattern, 0))"
+    spans = let("f", found, f"transform({placed('f', 'rule.label', 'rule.rank')}, s -> named_struct('start', s.start, 'rank', s.rank, 'end', s.end, 'kind', s.kind, 'n', rule.level))")
+    return let("hits", matching, f"if(size(hits) = 0, {NO_SPANS}, {let('rules', table, f'flatten(transform(hits, i -> {let("rule", "rules[i]", spans)}))')})")
+
+
+def _kept(spans: str, levels: int) -> str:
+    """SQL: the spans that lie in none of higher priority, nor in a longer one of the same, nor in the place of an earlier rule."""
+    ordered = f"array_sort(transform({spans}, s -> named_struct('start', s.start, 'less', -s.end, 'rank', s.rank, 'end', s.end, 'level', s.n, 'kind', s.kind)))"
+    ends = f"transform(sequence(0, {levels - 1}), l -> if(e.level <= l, e.end, -1))"
+    return f"transform(filter({running(ordered, f'array_repeat(-1, {levels})', ends, 'zip_with({x}, {y}, (p, q) -> greatest(p, q))')}, r -> r.before[r.e.level] < r.e.end), r -> r.e)"
+
+
+def _phrase(i: int, phrase: str, words: Column, n_words: Column) -> list[Column]:
+    """Of a phrase in ``words`` (the words with single spaces around each): number of places, first and last place, or nulls."""
+    pieces = F.when(words.isNotNull(), F.split(words, f"(?i) {phrase}(?= )"))
     spaces = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
     n = F.when(F.size(pieces) > 1, F.size(pieces) - 1)
     first = F.when(n.isNotNull(), spaces(F.element_at(pieces, 1)))
-    last = F.when(n.isNotNull(), F.col("n_words") - (spaces(F.element_at(pieces, -1)) - 1) - len(phrase.split()))
-    return [n.cast("long").alias(f"__n{i}"), first.cast("long").alias(f"__first{i}"), last.cast("long").alias(f"__last{i}")]
+    last = F.when(n.isNotNull(), n_words - (spaces(F.element_at(pieces, -1)) - 1) - len(phrase.split()))
+    return [n.cast("long").alias(f"n{i}"), first.cast("long").alias(f"first{i}"), last.cast("long").alias(f"last{i}")]
 
 
 def find_licenses(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
@@ -141,37 +301,37 @@ def find_licenses(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame
     """
     rules = signature_rules() if rules is None else rules
     text = F.coalesce(F.col("text"), F.lit(""))
-    # the prefilters are searches for plain strings; what has none of them is not matched against anything
-    low = F.col("__low")
+    low = F.col("low")
     any_of = lambda tests: reduce(Column.__or__, tests, F.lit(False))
-    words_in = lambda k: reduce(Column.__and__, [low.contains(w) for w in k.split()], F.lit(True))  # noqa: E731  (white space may stand between them)
-    gate = any_of([low.rlike(rf"\s{k.strip()}\s") if k != k.strip() else words_in(k) for k in sorted({r.keyword for r in rules})])
-    phrase_gate = any_of([reduce(Column.__and__, [low.contains(w) for w in p.split()]) for p in PHRASES])
-    counted = docs.select("doc_id", "text", F.lower(text).alias("__low")).select(
+    # the prefilters are searches for plain strings; what has none of them is not matched against anything
+    words_in = lambda k: reduce(Column.__and__, [low.contains(w) for w in k.split()])  # noqa: E731  (what does not print may stand between them)
+    by_keyword: dict[str, set[str]] = {}
+    for r in rules:
+        by_keyword.setdefault(r.keyword, set()).update(r.also or ("",))
+    gate = any_of([words_in(k) & any_of([words_in(a) for a in sorted(also)]) if "" not in also else words_in(k) for k, also in sorted(by_keyword.items())])
+    phrase_gate = any_of([words_in(p) for p in PHRASES])
+    counted = docs.select("doc_id", "text", F.translate(F.replace(text, F.lit(SIGN), F.lit("(c)")), UPPER, LOWER).alias("low")).select(
         "doc_id",
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"),
-        F.when(phrase_gate, F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), " "), F.lit(" "))).alias("__words"),
-        F.when(gate, F.regexp_replace(low, r"\s+", " ")).alias("__text"),
+        F.when(phrase_gate, F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), " "), F.lit(" "))).alias("words"),
+        F.when(gate, F.regexp_replace(low, UNSEEN, " ")).alias("seen"),
     )
-    detections = f"""if(__text is null, null, flatten(transform(filter({_rule_array(rules)}, r -> contains(__text, r.keyword) and exists(r.also, k -> contains(__text, k)) and rlike(__text, r.pattern)),
-        r -> aggregate(zip_with(regexp_extract_all(__text, r.pattern, 0), slice(split(__text, r.pattern), 1, size(regexp_extract_all(__text, r.pattern, 0))), (f, b) -> named_struct('f', length(f), 'b', length(b))),
-            named_struct('at', 0, 'spans', cast(array() as array<struct<start:int,end:int,priority:int,place:int,label:string>>)),
-            (a, x) -> named_struct('at', a.at + x.b + x.f, 'spans', concat(a.spans, array(named_struct('start', a.at + x.b, 'end', a.at + x.b + x.f, 'priority', r.priority, 'place', r.place, 'label', r.label)))),
-            a -> a.spans))))"""
-    found = counted.select("doc_id", "n_words", *[c for i, p in enumerate(PHRASES) for c in _phrase(i, p)], F.expr(detections).alias("__found"))
-    stronger = "(o.priority > s.priority or o.priority = s.priority and o.place < s.place)"
-    kept = found.withColumn("__kept", F.expr(f"coalesce(filter(__found, s -> not exists(__found, o -> o.start <= s.start and s.end <= o.end and {stronger})), cast(array() as array<struct<start:int,end:int,priority:int,place:int,label:string>>))"))
+    columns = [c for i, p in enumerate(PHRASES) for c in _phrase(i, p, F.col("words"), F.col("n_words"))]
+    levels = len({r.priority for r in rules})
+    found = counted.select("doc_id", "n_words", *columns, F.expr(f"if(seen is null, {NO_SPANS}, {_detections(rules, 'seen')})").alias("found"))
+    kept = found.withColumn("kept", F.expr(f"if(size(found) < 2, transform(found, s -> named_struct('start', s.start, 'less', -s.end, 'rank', s.rank, 'end', s.end, 'level', s.n, 'kind', s.kind)), {_kept('found', levels)})"))
     ids = range(len(PHRASES))
-    n_base = sum((F.coalesce(F.col(f"__n{i}"), F.lit(0)) for i in ids), F.lit(0)).cast("long")
-    base = F.filter(F.array(*[F.when(F.col(f"__n{i}") > 0, F.lit(label)) for i, label in enumerate(PHRASES.values())]), lambda x: x.isNotNull())
-    best = F.coalesce(F.expr("array_max(transform(__kept, s -> s.priority))"), F.lit(0)) / 100.0
+    n_base = sum((F.coalesce(F.col(f"n{i}"), F.lit(0)) for i in ids), F.lit(0)).cast("long")
+    base = F.filter(F.array(*[F.when(F.col(f"n{i}") > 0, F.lit(label)) for i, label in enumerate(PHRASES.values())]), lambda x: x.isNotNull())
+    priorities = ", ".join(str(p) for p in sorted({r.priority for r in rules}, reverse=True))
+    best = F.expr(f"if(size(kept) = 0, 0, element_at(array({priorities}), array_min(transform(kept, s -> s.level)) + 1))") / 100.0
     return kept.select(
         "doc_id",
         "n_words",
         n_base.alias("n_base"),
-        F.least(*[F.col(f"__first{i}") for i in ids]).alias("first_word"),
-        F.greatest(*[F.col(f"__last{i}") for i in ids]).alias("last_word"),
+        F.least(*[F.col(f"first{i}") for i in ids]).alias("first_word"),
+        F.greatest(*[F.col(f"last{i}") for i in ids]).alias("last_word"),
         F.array_join(F.array_sort(base), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union(base, F.expr("transform(__kept, s -> s.label)"))), ",").alias("labels"),
+        F.array_join(F.array_sort(F.array_union(base, F.expr("transform(kept, s -> s.kind)"))), ",").alias("labels"),
         F.least(F.lit(1.0), F.greatest(best, F.when(n_base > 0, F.lit(0.5)).otherwise(F.lit(0.0)))).cast("double").alias("score"),
     )

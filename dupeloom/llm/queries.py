@@ -11,7 +11,7 @@ from .bytebpe import encode_documents
 from .common import documents
 from .htmlmain import extract_main_text
 from .langid import identify_languages
-from .licenses import find_licenses
+from .licenses import find_licenses, signature_rules
 from .lm import score_documents
 from .minhash import near_duplicates
 from .packing import pack_documents
@@ -145,4 +145,39 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN joined USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_minhash_near_dedup": _NEAR_DEDUP, "op2_secret_scan": _SECRETS, "op6_exact_top_k": _TOP_K}
+#: Phrases by their places among the words; rules as a table, all against all texts, and all pairs of what they find.
+_LICENSES = (
+    r"""
+WITH rules(place, label, pattern, priority) AS (VALUES """
+    + ", ".join(f"({i}, '{r.label}', '{r.pattern}', {r.priority})" for i, r in enumerate(signature_rules()))
+    + r"""),
+d AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w,
+        regexp_replace(translate(replace(coalesce(text, ''), '©', '(c)'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x21-\x7E]+', ' ', 'g') AS t
+    FROM documents
+),
+phrases(phrase, label) AS (VALUES (['cc', 'by'], 'cc-by'), (['general', 'public', 'license'], 'gpl'), (['all', 'rights', 'reserved'], 'reserved')),
+places AS (SELECT r, w, unnest(range(len(w))) AS i FROM d),
+hits AS (SELECT r, i, label FROM places, phrases WHERE w[i + 1 : i + len(phrase)] = phrase),
+base AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM hits GROUP BY r),
+cuts AS (SELECT r, place, label, priority, regexp_extract_all(t, pattern) AS f, regexp_split_to_array(t, pattern) AS b FROM d, rules WHERE regexp_matches(t, pattern)),
+matches AS (SELECT r, place, label, priority, unnest(f) AS f, unnest(b[1 : len(f)]) AS b, unnest(range(len(f))) AS k FROM cuts),
+found AS (
+    SELECT r, place, label, priority, sum(length(b) + length(f)) OVER own - length(f) AS s, sum(length(b) + length(f)) OVER own AS e FROM matches WINDOW own AS (PARTITION BY r, place ORDER BY k)
+),
+kept AS (
+    SELECT * FROM found x
+    WHERE NOT EXISTS (
+        SELECT 1 FROM found o WHERE o.r = x.r AND o.s <= x.s AND o.e >= x.e
+            AND (o.priority > x.priority OR o.priority = x.priority AND (o.s < x.s OR o.e > x.e OR o.place < x.place))
+    )
+),
+best AS (SELECT r, max(priority) AS priority FROM kept GROUP BY r),
+labels AS (SELECT r, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM kept UNION SELECT r, label FROM hits) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+    greatest(coalesce(priority, 0) / 100.0::DOUBLE, CASE WHEN n_base > 0 THEN 0.5 ELSE 0.0 END)::DOUBLE AS score
+FROM d LEFT JOIN base USING (r) LEFT JOIN best USING (r) LEFT JOIN labels USING (r)
+"""
+)
+
+ORACLE_SQL: dict[str, str] = {"op1_minhash_near_dedup": _NEAR_DEDUP, "op2_secret_scan": _SECRETS, "op4_license_scan": _LICENSES, "op6_exact_top_k": _TOP_K}
