@@ -4,15 +4,18 @@
    slots.  Equal sets are one class from here on.
 2. Each tree sorts all classes by its signature.  Neighbours in that order that share a prefix of ``least_depth``
    slots are candidates: those ``REACH`` places apart, and in regions that hold more, each member's ``NEAREST`` by
-   sketch, and the members that are nearest to the region's middle with all others.  A region is looked at as a whole at several depths, so a crowded one is
-   taken apart as deep as it needs.  Rows are dealt by ranges of the order, so a hot region spreads over tasks.
+   sketch, and the members that are nearest to the region's middle with all others.  A crowded region is taken
+   apart by the next slot, and its parts again, for as long as they are crowded: its depth follows its members.
+   Rows are dealt by ranges of the order, so a hot region spreads over tasks.
 3. A candidate whose sketch is too far or whose size too different for the threshold cannot link or can so
    only with a chance of some 1e-6; the others are confirmed on full sets, which are made again from the
    texts of candidates alone.
 4. Links are joined to components.
-5. In crowded regions, and in those that a task's end cuts, all pairs of members of different components are
-   candidates then, and confirmed likewise: so every pair that shares a prefix is compared or already joined.
-   Members are dealt in blocks of CROWD, in the order of their components, and pairs of blocks are dealt again.
+5. What is left are links between components within crowded regions, and regions that a task's end cuts.  Members are
+   dealt in blocks in the order of their components, and blocks of different ones meet: first by sketch, which
+   yields the components that may link at all; then, for those alone, by full sets, which travel with the block,
+   once for each group of such components.  Blocks compare all their pairs and return only which components
+   they join.  So every pair that shares a prefix is compared or already joined, and no pairs become rows.
 """
 
 from __future__ import annotations
@@ -39,13 +42,16 @@ REACH = 3
 #: sketch each member has as candidates, among at most CROWD that follow one another.  They join most members; the
 #: rest of a crowded region's pairs follows by components.
 MIDDLES, NEAREST, CROWD = 3, 8, 4096
+#: Shingles of a block's sets (8 bytes each); a shingle that so many sets of a block hold is counted by a matrix product.
+MOST_SHINGLES, FREQUENT = 1 << 21, 48
 #: Classes up to which a list of them is sent to the texts, not the texts to it.
 FEW = 1 << 18
 SLOTS = TREES * DEPTH
 
 _SHINGLED = "row long, doc_id long, n_shingles long, digest binary, class long, sketch binary, trees array<binary>"
 _FOUND = "a long, b long, region long, class long, n long, sketch binary"
-_CROSSED = "a long, b long, root_a long, root_b long, region long, block long, low long, high long, members binary"
+_JOINED = "root_a long, root_b long"
+_CROSSED = _JOINED + ", region long, block long, low long, high long, members binary, shingles binary"
 
 
 class WordHashes(dict):
@@ -153,11 +159,17 @@ def _candidates(threshold: float, least_depth: int, most_bits: int):
             for reach in range(1, min(REACH, n - 1) + 1):
                 at = np.flatnonzero((region[:-reach] == region[reach:]) & ((reach == 1) | ~crowded[:-reach]))
                 found.append((at, at + reach))
-            for depth in sorted({least_depth, (least_depth + DEPTH) // 2, DEPTH}):
+            seen: set[tuple[int, int]] = set()
+            for depth in range(least_depth, DEPTH + 1):
                 change = np.flatnonzero((keys[1:, : depth + 1] != keys[:-1, : depth + 1]).any(axis=1)) + 1
                 starts, ends = np.concatenate([[0], change]), np.concatenate([change, [n]])
-                for a, b in zip(starts[ends - starts > REACH + 1].tolist(), ends[ends - starts > REACH + 1].tolist(), strict=True):
-                    found += of_region(np.arange(a, b), sketches)
+                large = ends - starts > REACH + 1
+                if not large.any():
+                    break
+                for a, b in zip(starts[large].tolist(), ends[large].tolist(), strict=True):
+                    if (a, b) not in seen:  # else this slot did not part it
+                        seen.add((a, b))
+                        found += of_region(np.arange(a, b), sketches)
                     if depth == least_depth:
                         found += [in_crowd(np.arange(i, min(i + CROWD, b)), sketches) for i in range(a, b, CROWD) if b - i > 1]
             a, b = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -180,89 +192,169 @@ def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, bool]]:
-    """Blocks of at most CROWD rows (region, root, class, n, sketch) of one region, as rows of numbers, and whether one is all of its region."""
-    held = np.zeros((0, 6), np.int64)
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, bool]]:
+    """Blocks of rows (region, root, n, sketch, shingles or nulls) of one region, and whether one is all of its region.
+
+    A block has at most CROWD rows, and MOST_SHINGLES or but one row.
+    """
+    held: pa.Table | None = None
     loose = None  # the region that may have rows elsewhere
     for batch in chain(batches, [None]):
-        if batch is not None and batch.num_rows:
-            numbers = np.stack([batch.column(i).to_numpy() for i in range(4)], axis=1)
-            sketches = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.int64).reshape(-1, 2)
-            held = np.concatenate([held, np.concatenate([numbers, sketches], axis=1)])
-            loose = held[0, 0] if loose is None else loose
-        bounds = [0, *(np.flatnonzero(held[1:, 0] != held[:-1, 0]) + 1).tolist(), len(held)] if len(held) else []
+        if batch is not None:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            held = table if held is None or not held.num_rows else pa.concat_tables([held, table])
+        if held is None or not held.num_rows:
+            continue
+        regions, sizes = held.column(0).to_numpy(), held.column(2).to_numpy()
+        loose = regions[0] if loose is None else loose
+        weighed = np.zeros(len(sizes), np.int64) if held.column(4).null_count else sizes
+        bounds = [0, *(np.flatnonzero(regions[1:] != regions[:-1]) + 1).tolist(), len(regions)]
         done = 0
         for a, b in pairwise(bounds):
-            if b == len(held):
-                if batch is not None and b - a < CROWD:
+            ends, at = [], a
+            mass = np.cumsum(weighed[a:b])
+            while at < b:
+                below = mass[at - a - 1] if at > a else 0
+                at = max(at + 1, min(at + CROWD, a + int(np.searchsorted(mass, below + MOST_SHINGLES, "right"))))
+                ends.append(min(at, b))
+            if b == len(regions):
+                if batch is not None and len(ends) < 2:
                     break
-                loose = held[a, 0]
-            for i in range(a, b, CROWD):
-                yield held[i : min(i + CROWD, b)], bool(held[a, 0] != loose) and b - a <= CROWD
-            done = b
-        held = held[done:]
-
-
-def _crossing(x: np.ndarray, y: np.ndarray, threshold: float, most_bits: int) -> np.ndarray:
-    """Pairs (a, b, root of a, root of b), a < b, of a row of ``x`` and one of ``y`` (root, class, n, sketch) of different roots that can link."""
-    signs = lambda z: np.unpackbits(np.ascontiguousarray(z[:, 3:]).view(np.uint8), axis=1).astype(np.float32) * 2 - 1
-    other, out = signs(y).T, [np.zeros((0, 4), np.int64)]
-    for k in range(0, len(x), 512):
-        part = x[k : k + 512]
-        i, j = np.nonzero((signs(part) @ other >= SLOTS - 2 * most_bits) & (part[:, :1] != y[:, 0]))
-        small, large = np.minimum(part[i, 2], y[j, 2]), np.maximum(part[i, 2], y[j, 2])
-        fine = small >= threshold * large - 1e-9
-        one, two = part[i[fine], :2], y[j[fine], :2]
-        first = (one[:, 1] < two[:, 1])[:, None]
-        a, b = np.where(first, one, two), np.where(first, two, one)
-        out.append(np.stack([a[:, 1], b[:, 1], a[:, 0], b[:, 0]], axis=1))
-    return np.unique(np.concatenate(out), axis=0)
-
-
-def _crossed(threshold: float, most_bits: int):
-    """Candidates of different roots within blocks, and blocks that have others of their region, of rows in the order of region and root."""
+                loose = regions[a]
+            last = b == len(regions) and batch is not None  # there may be more of the last block
+            for start, end in pairwise([a, *ends[: len(ends) - last]]):
+                yield held.slice(start, end - start), bool(regions[a] != loose) and len(ends) == 1
+            done = ends[-2] if last else b
+        held = held.slice(done)
+
+
+class _Block:
+    """Members of a region: (root, n, sketch) as rows of numbers, and their sets, if they travel with them."""
+
+    def __init__(self, members: bytes | pa.Buffer, shingles: bytes | pa.Buffer | None):
+        self.members = np.frombuffer(members, np.int64).reshape(-1, 4)
+        self.roots, self.sizes = self.members[:, 0], self.members[:, 1]
+        self.sets = None if shingles is None else np.frombuffer(shingles, np.uint64)
+        self.signs = np.unpackbits(np.ascontiguousarray(self.members[:, 2:]).view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+        self.first = np.concatenate([[0], np.cumsum(self.sizes)])
+
+    def terms(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The shingles of some members, and the place of each one's member among them."""
+        return np.concatenate([self.sets[self.first[i] : self.first[i + 1]] for i in rows.tolist()]), np.repeat(np.arange(len(rows)), self.sizes[rows])
+
+
+def _shared(x: _Block, rows: np.ndarray, y: _Block, columns: np.ndarray) -> np.ndarray:
+    """How many shingles each of some members of ``x`` shares with each of some of ``y``."""
+    terms, owner = y.terms(columns)
+    order = np.argsort(terms, kind="stable")
+    terms, owner = terms[order], owner[order]
+    known, first, df = np.unique(terms, return_index=True, return_counts=True)
+    asked, asker = x.terms(rows)
+    at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+    hit = known[at] == asked
+    at, asker = at[hit], asker[hit]
+    often = df[at] >= FREQUENT
+    few, who = at[~often], asker[~often]
+    times = df[few]
+    flat = np.repeat(who * len(columns), times) + owner[np.repeat(first[few], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+    out = np.bincount(flat, minlength=len(rows) * len(columns)).reshape(len(rows), len(columns)).astype(np.float32)
+    frequent = np.unique(at[often])
+    for i in range(0, len(frequent), 2048):
+        part = frequent[i : i + 2048]
+        left, right = np.zeros((len(rows), len(part)), np.float32), np.zeros((len(part), len(columns)), np.float32)
+        place = np.minimum(np.searchsorted(part, at), len(part) - 1)
+        mine = part[place] == at
+        left[asker[mine], place[mine]] = 1
+        mine = np.repeat(np.arange(len(part)), df[part])
+        right[mine, owner[np.repeat(first[part], df[part]) + np.arange(len(mine)) - np.repeat(np.cumsum(df[part]) - df[part], df[part])]] = 1
+        out += left @ right
+    return out
+
+
+def _joining(x: _Block, y: _Block, percent: int, most_bits: int) -> np.ndarray:
+    """(root, root) that join all roots of two blocks that a pair joins: one that may link by sketch and size, or, with sets, that links."""
+    roots, of = np.unique(np.concatenate([x.roots, y.roots]), return_inverse=True)
+    of_x, of_y = of[: len(x.roots)], of[len(x.roots) :]
+    label = np.arange(len(roots))
+    for k in range(0, len(x.roots), 512):
+        some = np.arange(k, min(k + 512, len(x.roots)))
+        may = (x.signs[some] @ y.signs.T >= SLOTS - 2 * most_bits) & (label[of_x[some]][:, None] != label[of_y][None, :])
+        small, large = np.minimum(x.sizes[some][:, None], y.sizes[None, :]), np.maximum(x.sizes[some][:, None], y.sizes[None, :])
+        may &= 100 * small >= percent * large
+        rows, columns = np.flatnonzero(may.any(axis=1)), np.flatnonzero(may.any(axis=0))
+        if not len(rows):
+            continue
+        may = may[np.ix_(rows, columns)]
+        if x.sets is not None:
+            both = _shared(x, some[rows], y, columns)
+            may &= 100 * both >= percent * (x.sizes[some[rows]][:, None] + y.sizes[columns][None, :] - both)
+        for i, row in zip(some[rows].tolist(), may, strict=True):
+            if row.any():
+                group = np.unique(np.append(label[of_y[columns[row]]], label[of_x[i]]))
+                if len(group) > 1:
+                    label[np.isin(label, group)] = group[0]
+    moved = np.flatnonzero(label != np.arange(len(roots)))
+    return np.stack([roots[label[moved]], roots[moved]], axis=1)
+
+
+def _crossed(percent: int, most_bits: int):
+    """What joins within blocks, and blocks that have others of their region, of rows in the order of region and root."""
 
     def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << 32
         none = lambda k, n: [pa.nulls(n, pa.int64())] * k
         for piece, alone in _pieces(batches):
-            region, members = int(piece[0, 0]), piece[:, 1:]
-            low, high = int(members[0, 0]), int(members[-1, 0])
+            piece = piece.combine_chunks()
+            sketches = np.frombuffer(b"".join(piece.column(3).to_pylist()), np.int64).reshape(-1, 2)
+            members = np.concatenate([piece.column(1).to_numpy()[:, None], piece.column(2).to_numpy()[:, None], sketches], axis=1).tobytes()
+            sets = None if piece.column(4).null_count else b"".join(piece.column(4).to_pylist())
+            block = _Block(members, sets)
+            low, high = int(block.roots[0]), int(block.roots[-1])
             if low != high:
-                pairs = _crossing(members, members, threshold, most_bits)
+                pairs = _joining(block, block, percent, most_bits)
                 if len(pairs):
-                    yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in pairs.T], *none(4, len(pairs)), pa.nulls(len(pairs), pa.binary())], _names(_CROSSED))
+                    yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in pairs.T], *none(4, len(pairs)), *[pa.nulls(len(pairs), pa.binary())] * 2], _names(_CROSSED))
             if not alone:
-                yield pa.RecordBatch.from_arrays([*none(4, 1), *[pa.array([v], pa.int64()) for v in (region, block, low, high)], pa.array([members.tobytes()], pa.binary())], _names(_CROSSED))
-                block += 1
+                yield pa.RecordBatch.from_arrays([*none(2, 1), *[pa.array([v], pa.int64()) for v in (piece.column(0)[0].as_py(), number, low, high)], pa.array([members], pa.binary()), pa.array([sets], pa.binary())], _names(_CROSSED))
+                number += 1
 
     return crossed
 
 
-def _between(threshold: float, most_bits: int):
-    """Candidates of different roots of two blocks."""
+def _between(percent: int, most_bits: int):
+    """What joins two blocks."""
 
     def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y in zip(batch.column(0), batch.column(1), strict=True):
-                x, y = (np.frombuffer(z.as_buffer(), np.int64).reshape(-1, 5) for z in (x, y))
-                pairs = _crossing(x, y, threshold, most_bits)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in pairs.T], _names(_CROSSED)[:4])
+            for parts in zip(*(batch.column(i) for i in range(4)), strict=True):
+                x, x_sets, y, y_sets = (p.as_buffer() if p.is_valid else None for p in parts)
+                pairs = _joining(_Block(x, x_sets), _Block(y, y_sets), percent, most_bits)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in pairs.T], _names(_JOINED))
 
     return between
 
 
-def _across(crowd: DataFrame, threshold: float, most_bits: int) -> DataFrame:
-    """a, b, root_a, root_b: of ``crowd`` (region, root, class, n, sketch), all pairs of a region that can link and have different roots."""
+def _across(crowd: DataFrame, percent: int, most_bits: int) -> DataFrame:
+    """root_a, root_b that join the roots between which a pair of a region links, or may link where ``crowd`` (region, root, class, n, sketch, shingles) has no shingles."""
     parts = int(crowd.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = crowd.repartitionByRange(parts, "region", "root", "class").sortWithinPartitions("region", "root", "class")
-    crossed = cut(ordered.mapInArrow(_crossed(threshold, most_bits), _CROSSED))
-    blocks = crossed.where("block is not null")
-    one, two = (blocks.select("region", *[F.col(c).alias(f"{c}_{side}") for c in ("block", "low", "high")]) for side in "xy")
-    apart = one.join(two, "region").where("block_x < block_y and not (low_x = high_x and low_y = high_y and low_x = low_y)").select("block_x", "block_y")
-    one, two = (blocks.select(F.col("block").alias(f"block_{side}"), F.col("members").alias(side)) for side in "xy")
-    far = apart.join(one, "block_x").join(two, "block_y").select("x", "y").mapInArrow(_between(threshold, most_bits), ", ".join(_CROSSED.split(", ")[:4]))
-    return crossed.where("a is not null").select(*far.columns).unionByName(far).distinct()
+    ordered = crowd.repartitionByRange(parts, "region", "root", "class").sortWithinPartitions("region", "root", "class").select("region", "root", "n", "sketch", "shingles")
+    crossed = cut(ordered.mapInArrow(_crossed(percent, most_bits), _CROSSED))
+    blocks = crossed.where("block is not null").select("region", "block", "low", "high")
+    # blocks of one root meet those of others; mixed ones meet all; so no two blocks of the same root alone are paired
+    mixed, pure = blocks.where("low < high"), blocks.where("low = high").select("region", "block", F.col("low").alias("root"))
+    as_x, as_y = ([F.col("block").alias(f"block_{side}")] for side in "xy")
+    of_mixed = mixed.select("region", *as_x).join(mixed.select("region", *as_y), "region").where("block_x < block_y")
+    with_pure = mixed.select("region", *as_x).join(pure.select("region", *as_y), "region")
+    runs = pure.select("region", "root").distinct()
+    apart = runs.select("region", F.col("root").alias("x")).join(runs.select("region", F.col("root").alias("y")), "region").where("x < y")
+    of_pure = apart.join(pure.select("region", F.col("root").alias("x"), *as_x), ["region", "x"]).join(pure.select("region", F.col("root").alias("y"), *as_y), ["region", "y"])
+    met = of_mixed.unionByName(with_pure).unionByName(of_pure.select("region", "block_x", "block_y"))
+    held = crossed.where("block is not null")
+    one, two = (held.select(F.col("block").alias(f"block_{side}"), F.col("members").alias(side), F.col("shingles").alias(f"{side}_sets")) for side in "xy")
+    far = met.join(one, "block_x").join(two, "block_y").select("x", "x_sets", "y", "y_sets").mapInArrow(_between(percent, most_bits), _JOINED)
+    return cut(crossed.where("root_a is not null").select("root_a", "root_b").unionByName(far).distinct())
 
 
 def _in_runs(batches: Iterator[pa.RecordBatch], least_depth: int, most: int = 20_000) -> Iterator[pa.Table]:
@@ -349,19 +441,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, least_
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     sets = sets_of(ends(pairs), False)
     roots = cut(connected_components(confirmed(pairs, sets), "a", "b").select(F.col("node").alias("class"), "root"))
-    crowd = found.where("class is not null").select("region", "class", "n", "sketch").join(roots, "class", "left")
-    across = cut(_across(cut(crowd.select("region", F.coalesce("root", "class").alias("root"), "class", "n", "sketch")), threshold, most_bits))
-    more = cut(ends(across).join(sets, "class", "left_anti"))
+    of_root = cut(classes.select("class", "least_id", "n", "sketch").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")))
+    crowd = found.where("class is not null").select("region", "class").join(of_root, "class")
+    may_link = _across(crowd.select("region", "root", "class", "n", "sketch", F.lit(None).cast("binary").alias("shingles")), percent, most_bits)
+    groups = cut(connected_components(may_link, "root_a", "root_b").select(F.col("node").alias("root"), F.col("root").alias("region")))
+    open_ = cut(of_root.join(groups, "root").select("region", "root", "class", "n", "sketch"))
+    more = cut(open_.select("class").join(sets, "class", "left_anti"))
     n_more = more.count()
     if n_more:
         sets = sets.unionByName(sets_of(more, n_more <= FEW))
-    links = across.join(confirmed(across.select("a", "b"), sets), ["a", "b"], "left_semi")
-    last = connected_components(links, "root_a", "root_b").select(F.col("node").alias("root"), F.col("root").alias("last"))
-    rooted = classes.select("class", "least_id").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    rooted = rooted.join(last, "root", "left").select("class", "least_id", F.coalesce("last", "root").alias("root"))
+    links = _across(open_.join(sets, "class"), percent, most_bits)
+    last = cut(connected_components(links, "root_a", "root_b").select(F.col("node").alias("root"), F.col("root").alias("last")))
+    rooted = of_root.join(last, "root", "left").select("class", "least_id", F.coalesce("last", "root").alias("root"))
     of_class = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).where("class is not null")
     rooted = cut(rooted.join(of_class, "class"))
-    heads = rooted.groupBy("root").agg(F.min("first").alias("head"))
+    heads = cut(rooted.groupBy("root").agg(F.min("first").alias("head")))  # minima are taken before rows meet
     labelled = cut(rooted.select("class", "root").join(heads, "root").select("class", "head"))
     found = rows.drop("sketch", "trees", "digest").join(labelled, "class", "left")
     empty = F.col("class").isNull()

@@ -118,23 +118,77 @@ def test_one_link_between_two_groups_of_copies_joins_them(spark):
     assert {(r.doc_id, r.component_id) for r in found} == {(d, f[0][0]) for f in families for d, _ in f}
 
 
-def test_blocks_of_a_region_meet(monkeypatch):
-    """All pairs of different roots, whether a region is in one block, in several, or goes on in another task."""
+def members(rng, regions):
+    """Rows (region, root, class, n, sketch, shingles): in each region, members of a few roots, with sets of all degrees of likeness."""
+    from dupeloom.llm.minhash import signature
+
+    rows = []
+    for region, size in enumerate(regions):
+        base = rng.integers(1, 1 << 62, 120, dtype=np.uint64)
+        for c in range(size):
+            kept = base[rng.random(120) < rng.choice([0.99, 0.95, 0.9, 0.8])]
+            own = np.unique(np.concatenate([kept, rng.integers(1, 1 << 62, rng.integers(0, 9), dtype=np.uint64)]))
+            sketch = np.packbits((signature(own) & np.uint64(1)).astype(np.uint8)).tobytes()
+            rows.append((region, int(rng.integers(1 + size // 2)) + 1000 * region, 1000 * region + c, len(own), sketch, own.tobytes()))
+    return sorted(rows, key=lambda r: r[:3])
+
+
+def joined(pairs):
+    """{root: smallest root that pairs reach}."""
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {x: find(x) for x in [*parent] if find(x) != x}
+
+
+def linked(rows):
+    sets = [(r[0], r[1], set(np.frombuffer(r[5], np.uint64).tolist())) for r in rows]
+    return joined((a, b) for i, (g, a, x) in enumerate(sets) for h, b, y in sets[:i] if g == h and a != b and 100 * len(x & y) >= 85 * len(x | y))
+
+
+def test_rows_are_cut_into_blocks(monkeypatch):
     import pyarrow as pa
 
     from dupeloom.llm import minhash
 
     monkeypatch.setattr(minhash, "CROWD", 4)
-    rng = np.random.default_rng(5)
-    rows = sorted((region, int(rng.integers(3)), c, 100) for region, size in enumerate((3, 9, 1, 4, 17, 6)) for c in range(100 * region, 100 * region + size))
-    batches = [pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in zip(*part, strict=True)], pa.array([b"\0" * 16] * len(part), pa.binary())], list("abcde")) for part in (rows[:5], rows[5:6], rows[6:30], rows[30:])]
-    pieces = list(minhash._pieces(iter(batches)))
-    assert np.concatenate([p for p, _ in pieces])[:, :4].tolist() == [list(r) for r in rows]
-    assert all(len(p) <= 4 and len(set(p[:, 0])) == 1 for p, _ in pieces)
-    assert {int(p[0, 0]) for p, alone in pieces if alone} == {2, 3}
-    one = pieces[1][0][:, 1:]
-    wanted = {(int(min(a[1], b[1])), int(max(a[1], b[1]))) for a in one for b in one if a[0] != b[0]}
-    assert {tuple(p[:2]) for p in minhash._crossing(one, one, 0.8, 20).tolist()} == wanted
+    rows = members(np.random.default_rng(5), (3, 9, 1, 4, 17, 6))
+    table = pa.table([pa.array([r[i] for r in rows], t) for i, t in ((0, pa.int64()), (1, pa.int64()), (3, pa.int64()), (4, pa.binary()), (5, pa.binary()))], list("abcde"))
+    for most in (1 << 21, 300):
+        monkeypatch.setattr(minhash, "MOST_SHINGLES", most)
+        batches = [x for part in (table[:5], table[5:6], table[6:6], table[6:30], table[30:]) for x in part.to_batches()]
+        pieces = list(minhash._pieces(iter(batches)))
+        assert pa.concat_tables([p for p, _ in pieces]).to_pylist() == table.to_pylist()
+        for p, alone in pieces:
+            regions = set(p.column(0).to_pylist())
+            assert len(regions) == 1 and len(p) <= 4 and (len(p) == 1 or sum(p.column(2).to_pylist()) <= most)
+            assert alone == (regions in ({2}, {3}) and len(p) == {2: 1, 3: 4}[min(regions)])
+
+
+def test_roots_that_meet_are_joined_as_by_all_pairs(spark, monkeypatch):
+    """Within blocks and between them, whether a shingle is counted by postings or by products."""
+    from dupeloom.llm import minhash
+
+    rows = members(np.random.default_rng(6), (40, 1, 90, 12, 300))
+    wanted = linked(rows)
+    assert len(wanted) > 20
+    crowd = spark.createDataFrame(rows, "region long, root long, class long, n long, sketch binary, shingles binary").repartition(3)
+    assert joined(map(tuple, minhash._across(crowd, 85, 40).collect())) == wanted
+    for often in (2, 48):
+        monkeypatch.setattr(minhash, "FREQUENT", often)
+        for region in (0, 2, 4):
+            own = [r for r in rows if r[0] == region]
+            half = len(own) // 2
+            block = lambda part: minhash._Block(b"".join(np.asarray(r[1:2] + r[3:4]).tobytes() + r[4] for r in part), b"".join(r[5] for r in part))
+            parts = [minhash._joining(block(x), block(y), 85, 40) for x, y in ((own, own[:half]), (own, own[half:]))]
+            assert joined(tuple(p) for x in parts for p in x.tolist()) == linked(own)
 
 
 def test_edge_rows(spark, edge_docs, no_docs):
