@@ -5,17 +5,24 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Edges that one task joins.
+FEW = 1 << 14
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder in ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """Use the shared folder in ``spark.checkpoint.dir``; where it is unset, a temporary one, but only if all of Spark is on this machine."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         wanted = spark.conf.get("spark.checkpoint.dir", None)
         if wanted is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             wanted = tempfile.mkdtemp(prefix="dupeloom-checkpoint-")
             atexit.register(shutil.rmtree, wanted, True)
         context.setCheckpointDir(wanted)
@@ -27,22 +34,52 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of edges (a, b), all in one task: the first node of each component is its root."""
+    parent: dict[tuple, tuple] = {}
+
+    def find(x: tuple) -> tuple:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    schema = None
+    for batch in batches:
+        schema = batch.schema.field(0).type
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(tuple(a.values())), find(tuple(b.values()))
+            parent[max(a, b)] = min(a, b)
+    if schema is not None:
+        struct = lambda nodes: pa.array([dict(zip(("h", "id"), x, strict=True)) for x in nodes], schema)
+        nodes = [*parent]
+        yield pa.RecordBatch.from_arrays([struct(nodes), struct(map(find, nodes))], ["node", "root"])
+
+
+def connected_components(edges: DataFrame, left: str, right: str, few: int = FEW) -> DataFrame:
     """node, root of every node that has an edge; the nodes of a component have one root among them.
 
-    In each round every node hooks to that of itself and its neighbours which comes first, and edges move to what
-    their ends hooked to; loops and repeats go.  Nodes come in the order of a hash: so a round leaves about half
-    of them, whatever the graph.  Minima are taken before rows meet, so a hub's edges are never in one place.
-    Edges with a null end are ignored; no edges give no rows.
+    In each round every node hooks to that of itself and its neighbours which comes first, and what it hooked to is
+    followed twice; edges move to where their ends came, and loops and repeats go.  Nodes come in the order of a hash:
+    so a round leaves less than half of them, whatever the graph.  Minima are taken before rows meet, and a hub's
+    edges meet its root by a join that adaptive execution splits.  At most ``few`` edges that are left, a fixed number,
+    are joined in one task.  Edges with a null end are ignored; no edges give no rows.
     """
     kind = edges.schema[left].dataType
     node = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
     ordered = lambda d, a, b: d.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
     now = cut(ordered(edges.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(node(left).alias("x"), node(right).alias("y")), "x", "y"))
     hooks: list[DataFrame] = []
-    while not now.isEmpty():
+    while n := now.count():
+        if n <= few:
+            of = now.schema["a"].dataType.simpleString()
+            hooks.append(cut(now.coalesce(1).mapInArrow(_joined, f"node {of}, root {of}")))
+            break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = cut(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")))
+        for _ in range(2):
+            above = hook.select(F.col("node").alias("root"), F.col("root").alias("last")).where("root != last")
+            hook = cut(hook.join(above, "root", "left").select("node", F.coalesce("last", "root").alias("root")))
         hooks.append(hook)
         moved = now.join(hook.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(hook.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
         now = cut(ordered(moved, "ra", "rb"))
