@@ -226,7 +226,9 @@ def test_components_of_long_paths_and_stars(spark):
     path = list(zip(names[:150], names[1:150], strict=False))
     star = [(names[200], x) for x in names[201:399]]
     edges = spark.createDataFrame(path + star + [(names[0], names[0]), (names[5], names[3])], "a long, b long")
-    roots = {r.node: r.root for r in connected_components(edges, "a", "b").collect()}
+    roots = {r.node: r.root for r in connected_components(edges, "a", "b", few=20).collect()}
+    at_once = connected_components(edges, "a", "b").collect()
+    assert {(x, roots[x]) for x in roots} == {(r.node, r.root) for r in at_once}
     assert set(roots) == {x for e in path + star for x in e}
     assert len({roots[x] for x in names[:150]}) == 1 and len({roots[x] for x in names[200:399]}) == 1
     assert connected_components(edges.where("false"), "a", "b").collect() == []
