@@ -18,10 +18,10 @@ from .spans import NO_SPANS, let, placed, running
 
 #: Phrases that are counted wherever their words stand, and their labels. Fixed values.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: A word of text whose A-Z may be either case: what is not ASCII, letters and digits.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Words are what is not ASCII, letters and digits: everything else of ASCII becomes a space.
+_ASCII = "".join(map(chr, range(128)))
+_WORDLY = "".join(c.lower() if c.isalnum() else " " for c in _ASCII)
 
 #: What rules see: A-Z in lower case, and each run of what does not print in ASCII as one space.
 UNSEEN, SIGN = r"[^\x21-\x7E]+", "©"
@@ -132,44 +132,44 @@ OTHER = (
     ("zlib", "misrepresented", r"the origin of this software must not be misrepresented", 90),
     ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain", 95),
     ("bsl-1.0", "executable object code", r"machine-executable object code generated by a source language processor", 95),
-    ("apache-2.0", "except in compliance", r"you may not use this file except in compliance with the license.{0,60}?apache", 90),
+    ("apache-2.0", "license", r"you may not use this file except in compliance with the license.{0,60}?apache", 90, ("except in compliance",)),
     ("apache-2.0", "apache license", r"apache license,? version 2\.0", 62),
     ("apache-2.0", "january 2004", r"version 2\.0, january 2004", 92),
-    ("gpl-3.0", "version 3", r"under the terms of (?:version 3 of )?the gnu general public license as published by the free software foundation, (?:either )?version 3", 96),
-    ("gpl-2.0", "version 2", r"under the terms of (?:version 2 of )?the gnu general public license as published by the free software foundation[;,] (?:either )?version 2", 96),
-    ("gpl-3.0", "29 june 2007", r"gnu general public license version 3, 29 june 2007", 96),
-    ("gpl-2.0", "june 1991", r"gnu general public license version 2, june 1991", 96),
+    ("gpl-3.0", "license", r"under the terms of (?:version 3 of )?the gnu general public license as published by the free software foundation, (?:either )?version 3", 96, ("version 3",)),
+    ("gpl-2.0", "license", r"under the terms of (?:version 2 of )?the gnu general public license as published by the free software foundation[;,] (?:either )?version 2", 96, ("version 2",)),
+    ("gpl-3.0", "license", r"gnu general public license version 3, 29 june 2007", 96, ("29 june 2007",)),
+    ("gpl-2.0", "license", r"gnu general public license version 2, june 1991", 96, ("june 1991",)),
     ("gpl", "general public license", r"under the terms of the gnu general public license", 82),
     ("gpl", "general public license", r"should have received a copy of the gnu general public license", 82),
-    ("lgpl-2.1", "version 2.1", r"under the terms of the gnu lesser general public license as published by the free software foundation[;,] (?:either )?version 2\.1", 96),
-    ("lgpl-3.0", "version 3", r"under the terms of the gnu lesser general public license as published by the free software foundation[;,] (?:either )?version 3", 96),
+    ("lgpl-2.1", "license", r"under the terms of the gnu lesser general public license as published by the free software foundation[;,] (?:either )?version 2\.1", 96, ("version 2.1",)),
+    ("lgpl-3.0", "license", r"under the terms of the gnu lesser general public license as published by the free software foundation[;,] (?:either )?version 3", 96, ("version 3",)),
     ("lgpl", "general public license", r"under the terms of the gnu (?:lesser|library) general public license", 83),
-    ("agpl-3.0", "affero", r"under the terms of the gnu affero general public license as published by the free software foundation, (?:either )?version 3", 96),
-    ("agpl", "affero", r"under the terms of the gnu affero general public license", 83),
+    ("agpl-3.0", "license", r"under the terms of the gnu affero general public license as published by the free software foundation, (?:either )?version 3", 96, ("affero",)),
+    ("agpl", "license", r"under the terms of the gnu affero general public license", 83, ("affero",)),
     ("fdl-1.3", "free documentation license", r"under the terms of the gnu free documentation license", 83),
-    ("mpl-2.0", "mozilla public", r"this source code form is subject to the terms of the mozilla public license,? v(?:ersion|\.)? ?2\.0", 96),
-    ("mpl-1.1", "mozilla public", r"the contents of this file are subject to the mozilla public license version 1\.1", 96),
-    ("mpl-2.0", "mozilla public", r"mozilla public license,? (?:version|v\.?) ?2\.0", 62),
-    ("mpl-1.1", "mozilla public", r"mozilla public license,? (?:version|v\.?) ?1\.1", 62),
-    ("epl-2.0", "eclipse public", r"this program and the accompanying materials are made available under the terms of the eclipse public license (?:v\.? ?|version )?2\.0", 96),
-    ("epl-1.0", "eclipse public", r"this program and the accompanying materials are made available under the terms of the eclipse public license (?:v\.? ?|version )?1\.0", 96),
-    ("epl-2.0", "eclipse public", r"eclipse public license,? (?:-|version|v\.?) ?2\.0", 62),
-    ("epl-1.0", "eclipse public", r"eclipse public license,? (?:-|version|v\.?) ?1\.0", 62),
-    ("cddl-1.0", "common development", r"subject to the terms of the common development and distribution license", 95),
-    ("wtfpl", "do what the", r"do what the fuck you want to public license", 90),
+    ("mpl-2.0", "license", r"this source code form is subject to the terms of the mozilla public license,? v(?:ersion|\.)? ?2\.0", 96, ("mozilla public",)),
+    ("mpl-1.1", "license", r"the contents of this file are subject to the mozilla public license version 1\.1", 96, ("mozilla public",)),
+    ("mpl-2.0", "license", r"mozilla public license,? (?:version|v\.?) ?2\.0", 62, ("mozilla public",)),
+    ("mpl-1.1", "license", r"mozilla public license,? (?:version|v\.?) ?1\.1", 62, ("mozilla public",)),
+    ("epl-2.0", "license", r"this program and the accompanying materials are made available under the terms of the eclipse public license (?:v\.? ?|version )?2\.0", 96, ("eclipse public",)),
+    ("epl-1.0", "license", r"this program and the accompanying materials are made available under the terms of the eclipse public license (?:v\.? ?|version )?1\.0", 96, ("eclipse public",)),
+    ("epl-2.0", "license", r"eclipse public license,? (?:-|version|v\.?) ?2\.0", 62, ("eclipse public",)),
+    ("epl-1.0", "license", r"eclipse public license,? (?:-|version|v\.?) ?1\.0", 62, ("eclipse public",)),
+    ("cddl-1.0", "license", r"subject to the terms of the common development and distribution license", 95, ("common development",)),
+    ("wtfpl", "license", r"do what the fuck you want to public license", 90, ("do what the",)),
     ("beerware", "beer", r"if we meet some day, and you think this stuff is worth it, you can buy me a beer", 95),
     ("python-2.0", "psf license", r"\bpsf license agreement", 85),
-    ("python-2.0", "python software", r"python software foundation license", 85),
-    ("ofl-1.1", "open font", r"this font software is licensed under the sil open font license", 95),
-    ("artistic-2.0", "artistic", r"artistic license,? (?:version )?2\.0", 62),
-    ("busl-1.1", "business source", r"business source license,? (?:version )?1\.1", 62),
+    ("python-2.0", "license", r"python software foundation license", 85, ("python software",)),
+    ("ofl-1.1", "license", r"this font software is licensed under the sil open font license", 95, ("open font",)),
+    ("artistic-2.0", "license", r"artistic license,? (?:version )?2\.0", 62, ("artistic",)),
+    ("busl-1.1", "license", r"business source license,? (?:version )?1\.1", 62, ("business source",)),
     ("cc0-1.0", "waived all copyright", r"waived all copyright and related (?:or|and) neighbou?ring rights", 92),
     # gnu general public license with a version, anywhere
     ("gpl-3.0", "general public license", r"gnu general public license,? (?:\(gpl\) )?(?:version|v\.?) ?3(?:\.0)?\b", 62),
     ("gpl-2.0", "general public license", r"gnu general public license,? (?:\(gpl\) )?(?:version|v\.?) ?2(?:\.0)?\b", 62),
     ("lgpl-2.1", "general public license", r"gnu (?:lesser|library) general public license,? (?:version|v\.?) ?2\.1\b", 63),
     ("lgpl-3.0", "general public license", r"gnu lesser general public license,? (?:version|v\.?) ?3(?:\.0)?\b", 63),
-    ("agpl-3.0", "affero", r"gnu affero general public license,? (?:version|v\.?) ?3(?:\.0)?\b", 63),
+    ("agpl-3.0", "license", r"gnu affero general public license,? (?:version|v\.?) ?3(?:\.0)?\b", 63, ("affero",)),
     # identifiers by themselves, where they can mean nothing else
     ("apache-2.0", "apache-2.0", r"\bapache-2\.0(?:[^\w+-]|$)", 45),
     ("bsd-2-clause", "bsd-2", r"\bbsd-2-clause(?:[^\w+-]|$)", 45),
@@ -185,36 +185,36 @@ OTHER = (
     ("mpl-2.0", "mpl-2", r"\bmpl-2\.0(?:[^\w+-]|$)", 45),
     ("epl-2.0", "epl-2", r"\bepl-2\.0(?:[^\w+-]|$)", 45),
     ("cc0-1.0", "cc0", r"\bcc0(?:-1\.0)?(?:[^\w+-]|$)", 45),
-    ("cc-by-sa", "cc", r"\bcc[ -]by[ -]sa[ -][1-4]\.[05]\b", 46),
-    ("cc-by-nc", "cc", r"\bcc[ -]by[ -]nc[ -][1-4]\.[05]\b", 46),
-    ("cc-by-nd", "cc", r"\bcc[ -]by[ -]nd[ -][1-4]\.[05]\b", 46),
-    ("cc-by-nc-sa", "cc", r"\bcc[ -]by[ -]nc[ -]sa[ -][1-4]\.[05]\b", 47),
-    ("cc-by-nc-nd", "cc", r"\bcc[ -]by[ -]nc[ -]nd[ -][1-4]\.[05]\b", 47),
+    ("cc-by-sa", "by", r"\bcc[ -]by[ -]sa[ -][1-4]\.[05]\b", 46, ("cc by", "cc-by")),
+    ("cc-by-nc", "by", r"\bcc[ -]by[ -]nc[ -][1-4]\.[05]\b", 46, ("cc by", "cc-by")),
+    ("cc-by-nd", "by", r"\bcc[ -]by[ -]nd[ -][1-4]\.[05]\b", 46, ("cc by", "cc-by")),
+    ("cc-by-nc-sa", "by", r"\bcc[ -]by[ -]nc[ -]sa[ -][1-4]\.[05]\b", 47, ("cc by", "cc-by")),
+    ("cc-by-nc-nd", "by", r"\bcc[ -]by[ -]nc[ -]nd[ -][1-4]\.[05]\b", 47, ("cc by", "cc-by")),
     # addresses
-    ("cc-by", "creativecommons.org", r"creativecommons\.org/licenses/by/[1-4]\.[05]", 90),
-    ("cc-by-sa", "creativecommons.org", r"creativecommons\.org/licenses/by-sa/[1-4]\.[05]", 90),
-    ("cc-by-nc", "creativecommons.org", r"creativecommons\.org/licenses/by-nc/[1-4]\.[05]", 90),
-    ("cc-by-nd", "creativecommons.org", r"creativecommons\.org/licenses/by-nd/[1-4]\.[05]", 90),
-    ("cc-by-nc-sa", "creativecommons.org", r"creativecommons\.org/licenses/by-nc-sa/[1-4]\.[05]", 90),
-    ("cc-by-nc-nd", "creativecommons.org", r"creativecommons\.org/licenses/by-nc-nd/[1-4]\.[05]", 90),
+    ("cc-by", "license", r"creativecommons\.org/licenses/by/[1-4]\.[05]", 90, ("creativecommons.org",)),
+    ("cc-by-sa", "license", r"creativecommons\.org/licenses/by-sa/[1-4]\.[05]", 90, ("creativecommons.org",)),
+    ("cc-by-nc", "license", r"creativecommons\.org/licenses/by-nc/[1-4]\.[05]", 90, ("creativecommons.org",)),
+    ("cc-by-nd", "license", r"creativecommons\.org/licenses/by-nd/[1-4]\.[05]", 90, ("creativecommons.org",)),
+    ("cc-by-nc-sa", "license", r"creativecommons\.org/licenses/by-nc-sa/[1-4]\.[05]", 90, ("creativecommons.org",)),
+    ("cc-by-nc-nd", "license", r"creativecommons\.org/licenses/by-nc-nd/[1-4]\.[05]", 90, ("creativecommons.org",)),
     ("cc0-1.0", "creativecommons.org", r"creativecommons\.org/publicdomain/zero/1\.0", 90),
     ("public-domain", "creativecommons.org", r"creativecommons\.org/publicdomain/mark/1\.0", 90),
-    ("gpl-3.0", "gnu.org", r"gnu\.org/licenses/gpl-3\.0", 91),
-    ("gpl-2.0", "gnu.org", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0", 91),
+    ("gpl-3.0", "license", r"gnu\.org/licenses/gpl-3\.0", 91, ("gnu.org",)),
+    ("gpl-2.0", "license", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0", 91, ("gnu.org",)),
     ("gpl", "gnu.org", r"gnu\.org/(?:licenses|copyleft)/(?:gpl|\W|$)", 90),
-    ("lgpl-2.1", "gnu.org", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1", 91),
-    ("lgpl-3.0", "gnu.org", r"gnu\.org/licenses/lgpl-3\.0", 91),
+    ("lgpl-2.1", "license", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1", 91, ("gnu.org",)),
+    ("lgpl-3.0", "license", r"gnu\.org/licenses/lgpl-3\.0", 91, ("gnu.org",)),
     ("lgpl", "gnu.org", r"gnu\.org/(?:licenses|copyleft)/(?:lgpl|lesser)", 90),
-    ("agpl-3.0", "gnu.org", r"gnu\.org/licenses/agpl(?:-3\.0)?", 90),
+    ("agpl-3.0", "license", r"gnu\.org/licenses/agpl(?:-3\.0)?", 90, ("gnu.org",)),
     ("fdl-1.3", "gnu.org", r"gnu\.org/(?:licenses|copyleft)/fdl", 90),
-    ("apache-2.0", "apache.org", r"apache\.org/licenses/license-2\.0", 90),
+    ("apache-2.0", "license", r"apache\.org/licenses/license-2\.0", 90, ("apache.org",)),
     ("mpl-2.0", "mozilla.org", r"mozilla\.org/(?:en-us/)?mpl/2\.0", 90),
     ("mpl-1.1", "mozilla.org", r"mozilla\.org/(?:en-us/)?mpl/(?:1\.1|mpl-1\.1)", 90),
     ("epl-2.0", "eclipse.org", r"eclipse\.org/legal/epl-(?:v20|2\.0)", 90),
     ("epl-1.0", "eclipse.org", r"eclipse\.org/legal/epl-v10", 90),
     ("ofl-1.1", "org/ofl", r"(?:scripts|openfontlicense)\.(?:sil\.)?org/ofl", 90),
     ("unlicense", "unlicense.org", r"unlicense\.org", 90),
-    ("bsl-1.0", "boost.org", r"boost\.org/license_1_0", 90),
+    ("bsl-1.0", "license", r"boost\.org/license_1_0", 90, ("boost.org",)),
     ("wtfpl", "wtfpl.net", r"wtfpl\.net", 90),
     # rights without a license
     ("public-domain", "public domain", r"\b(?:released|dedicated|placed|put|is|are) (?:in|in ?to|to) the public domain", 50),
@@ -230,6 +230,10 @@ OTHER = (
 )
 
 
+#: What stands in many keywords.
+STEMS = ("licen", "general public", ".org", "copyright", "rights reserved", "gpl")
+
+
 class Rule(NamedTuple):
     """A signature over what rules see; ``keyword`` and one of ``also`` (if there are any) must stand there."""
 
@@ -283,7 +287,7 @@ def _kept(spans: str, levels: int) -> str:
 
 def _phrase(i: int, phrase: str, words: Column, n_words: Column) -> list[Column]:
     """Of a phrase in ``words`` (the words with single spaces around each): number of places, first and last place, or nulls."""
-    pieces = F.when(words.isNotNull(), F.split(words, f"(?i) {phrase}(?= )"))
+    pieces = F.when(words.isNotNull(), F.split(words, f" {phrase}(?= )"))
     spaces = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
     n = F.when(F.size(pieces) > 1, F.size(pieces) - 1)
     first = F.when(n.isNotNull(), spaces(F.element_at(pieces, 1)))
@@ -303,17 +307,21 @@ def find_licenses(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame
     text = F.coalesce(F.col("text"), F.lit(""))
     low = F.col("low")
     any_of = lambda tests: reduce(Column.__or__, tests, F.lit(False))
-    # the prefilters are searches for plain strings; what has none of them is not matched against anything
-    words_in = lambda k: reduce(Column.__and__, [low.contains(w) for w in k.split()])  # noqa: E731  (what does not print may stand between them)
+    # the prefilters are searches for plain strings, first for parts that many keywords share; what has none of them is not matched against anything
+    words_in = lambda k: reduce(Column.__and__, [low.contains(w) for w in sorted(k.split(), key=len, reverse=True)])  # noqa: E731  (what does not print may stand between them)
     by_keyword: dict[str, set[str]] = {}
     for r in rules:
         by_keyword.setdefault(r.keyword, set()).update(r.also or ("",))
     gate = any_of([words_in(k) & any_of([words_in(a) for a in sorted(also)]) if "" not in also else words_in(k) for k, also in sorted(by_keyword.items())])
+    first = {k for r in rules for k in (r.also if r.keyword == "by" else (r.keyword,))}
+    first = {next((s for s in STEMS if s in k), k) for k in first}
+    gate = any_of([words_in(k) for k in sorted(first)]) & gate
     phrase_gate = any_of([words_in(p) for p in PHRASES])
-    counted = docs.select("doc_id", "text", F.translate(F.replace(text, F.lit(SIGN), F.lit("(c)")), UPPER, LOWER).alias("low")).select(
+    wordly = F.col("wordly")
+    counted = docs.select("doc_id", F.translate(F.replace(text, F.lit(SIGN), F.lit("(c)")), UPPER, LOWER).alias("low"), F.trim(F.translate(text, _ASCII, _WORDLY)).alias("wordly")).select(
         "doc_id",
-        F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"),
-        F.when(phrase_gate, F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), " "), F.lit(" "))).alias("words"),
+        F.when(wordly == "", 0).otherwise(F.size(F.split(wordly, " +"))).cast("long").alias("n_words"),
+        F.when(phrase_gate, F.concat(F.lit(" "), F.regexp_replace(wordly, " +", " "), F.lit(" "))).alias("words"),
         F.when(gate, F.regexp_replace(low, UNSEEN, " ")).alias("seen"),
     )
     columns = [c for i, p in enumerate(PHRASES) for c in _phrase(i, p, F.col("words"), F.col("n_words"))]
