@@ -4,7 +4,9 @@ Points enter a shard's graph in growing batches.  A greedy beam search of the gr
 point's neighbours; pruning takes the nearest and drops what is nearer to it, by the factor ``relax``, than to
 the point, until ``degree`` edges are kept; edges back are added and pruned alike.  Queries search every shard's graph
 by a beam, and the best of all shards are merged.  Largest inner products become smallest distances by one
-more component, which makes all points of a shard equally long.  A shard's equal vectors are one point.
+more component, which makes all points of a shard equally long.  A shard's equal vectors are one point.  Searches
+begin at a point near the mean and at one of each piece that no path reaches, so every point can be found.
+Shards stay where they are: a task holds a few and blocks of queries come to it, one after the other.
 """
 
 from __future__ import annotations
@@ -17,26 +19,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
-from .topk import packed_blocks, usable
+from .topk import QUERIES, SHARD, first_of_each, packed_blocks, search_in_place, usable
 
-#: Points in a shard, queries in a block, searches that advance together.
-SHARD, QUERIES, TOGETHER = 4096, 1024, 512
+#: Searches that advance together.
+TOGETHER = 512
 DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAX = 28, 48, 96, 1.2
 
 _GRAPH = "shard long, ids binary, vectors binary, graph binary"
 _FOUND = "query_id long, vec_id long, score double"
 
 
-def beam_search(queries: np.ndarray, points: np.ndarray, graph: np.ndarray, start: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """(points, distances) of each query's beam, nearest first; unused places are -1 and infinite. Distances lack the query's own square."""
+def beam_search(queries: np.ndarray, points: np.ndarray, graph: np.ndarray, starts: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """(points, distances) of each query's beam from the nearest of ``starts`` on, nearest first; unused places are -1 and infinite. Distances lack the query's own square."""
     n = len(queries)
     squares = (points**2).sum(axis=1)
     found = np.full((n, beam), -1, np.int64)
     far = np.full((n, beam), np.inf, points.dtype)
     expanded = np.ones((n, beam), np.bool_)
     seen = np.zeros((n, len(points)), np.bool_)
-    found[:, 0], seen[:, start], expanded[:, 0] = start, True, False
-    far[:, 0] = squares[start] - 2 * (queries @ points[start])
+    at_start = squares[starts] - 2 * (queries @ points[starts].T)
+    order = np.argsort(at_start, axis=1, kind="stable")[:, :beam]
+    width = order.shape[1]
+    found[:, :width], expanded[:, :width] = starts[order], False
+    far[:, :width] = np.take_along_axis(at_start, order, axis=1)
+    seen[:, starts] = True
     at = np.arange(n)
     while len(at):
         place = np.argmin(expanded[at], axis=1)
@@ -81,8 +87,24 @@ def robust_prune(points: np.ndarray, own: np.ndarray, candidates: np.ndarray, de
     return kept
 
 
-def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, relax: float = RELAX) -> tuple[np.ndarray, int]:
-    """(neighbours (points, degree) padded with -1, the point where searches start: the one nearest to the mean)."""
+def entries(graph: np.ndarray, start: int) -> np.ndarray:
+    """``start``, and a point of each piece of the graph that cannot be reached from those before it."""
+    reached = np.zeros(len(graph), np.bool_)
+    out, front = [start], np.asarray([start])
+    while True:
+        while len(front):
+            reached[front] = True
+            near = np.unique(graph[front])
+            front = near[(near >= 0) & ~reached[near]]
+        left = np.flatnonzero(~reached)
+        if not len(left):
+            return np.asarray(out)
+        out.append(int(left[0]))
+        front = left[:1]
+
+
+def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, relax: float = RELAX) -> tuple[np.ndarray, np.ndarray]:
+    """(neighbours (points, degree) padded with -1, the points where searches start: the one nearest to the mean, and those that ``entries`` adds)."""
     n = len(points)
     graph = np.full((n, degree), -1, np.int64)
     start = int(((points - points.mean(axis=0)) ** 2).sum(axis=1).argmin())
@@ -91,7 +113,7 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM
     done = 1
     while done < n:
         new = order[done : done + min(TOGETHER, max(1, done))]
-        found, _ = beam_search(points[new], points, graph, start, beam)
+        found, _ = beam_search(points[new], points, graph, order[:1], beam)
         graph[new] = robust_prune(points, new, found, degree, relax)
         # edges back: to each point, its edges so far and those that now lead from it
         source, target = np.repeat(new, degree), graph[new].ravel()
@@ -114,7 +136,7 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM
             some = hard[i : i + TOGETHER]
             graph[touched[some]] = robust_prune(points, touched[some], both[some], degree, relax)
         done += len(new)
-    return graph, start
+    return graph, entries(graph, start)
 
 
 def distinct_points(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,54 +160,53 @@ def _built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, raw in zip(batch.column(1), batch.column(2), strict=True):
             vectors = np.frombuffer(raw.as_buffer(), "<f8").reshape(len(ids.as_buffer()) // 8, -1)
             first, _ = distinct_points(vectors)
-            graph, start = build_graph(lengthened(vectors[first]))
-            graphs.append(np.concatenate([[start], graph.ravel()]).astype("<i4").tobytes())
+            graph, starts = build_graph(lengthened(vectors[first]))
+            graphs.append(np.concatenate([[len(starts)], starts, graph.ravel()]).astype("<i4").tobytes())
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(graphs, pa.binary())], ["shard", "ids", "vectors", "graph"])
 
 
-def search_shard(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, graph: np.ndarray, start: int, k: int, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query_ids, vec_ids, scores) of each query's k best found in a shard, but for the query's own row."""
+def search_shard(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, graph: np.ndarray, starts: np.ndarray, k: int, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query numbers, vec_ids, scores) of each query's k best found in a shard, but for the query's own row."""
     first, back = distinct_points(vectors)
     points = lengthened(vectors[first])
     order = np.lexsort((ids, back))
-    starts, sizes = np.searchsorted(back[order], np.arange(len(first))), np.bincount(back, minlength=len(first))
+    copies, sizes = np.searchsorted(back[order], np.arange(len(first))), np.bincount(back, minlength=len(first))
     top = np.abs(vectors).max() or 1.0
     for i in range(0, len(queries), TOGETHER):
         some = queries[i : i + TOGETHER]
         norms = np.maximum(np.sqrt(((some / top) ** 2).sum(axis=1)), 1e-300)[:, None]
         asked = np.concatenate([some / top / norms, np.zeros((len(some), 1))], axis=1).astype(np.float32)
-        found, _ = beam_search(asked, points, graph, start, beam)
+        found, _ = beam_search(asked, points, graph, starts, beam)
         q, place = np.nonzero(found >= 0)
         point = found[q, place]
         scores = np.einsum("ij,ij->i", some[q], vectors[first[point]])
         best = np.lexsort((-scores, q))
         q, point, scores = q[best], point[best], scores[best]
         taken = np.minimum(sizes[point], k + 1)  # more copies of one vector cannot be among the k best
-        rows = np.repeat(starts[point], taken) + np.arange(taken.sum()) - np.repeat(np.cumsum(taken) - taken, taken)
+        rows = np.repeat(copies[point], taken) + np.arange(taken.sum()) - np.repeat(np.cumsum(taken) - taken, taken)
         q, scores, found_ids = np.repeat(q, taken), np.repeat(scores, taken), ids[order[rows]]
         other = found_ids != query_ids[i : i + TOGETHER][q]
         q, scores, found_ids = q[other], scores[other], found_ids[other]
-        best = np.lexsort((found_ids, -scores, q))
-        q, scores, found_ids = q[best], scores[best], found_ids[best]
-        place = np.arange(len(q)) - np.searchsorted(q, q)
-        yield query_ids[i : i + TOGETHER][q[place < k]], found_ids[place < k], scores[place < k]
+        q, found_ids, scores = first_of_each(k, q, found_ids, scores)
+        yield q + i, found_ids, scores
 
 
-def _searched(k: int, beam: int):
-    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for q_ids, q_vectors, ids, vectors, graph in zip(*(batch.column(i) for i in range(5)), strict=True):
-                query_ids, ids = np.frombuffer(q_ids.as_buffer(), np.int64), np.frombuffer(ids.as_buffer(), np.int64)
-                queries = np.frombuffer(q_vectors.as_buffer(), "<f8").reshape(len(query_ids), -1)
-                graph = np.frombuffer(graph.as_buffer(), "<i4").astype(np.int64)
-                parts = search_shard(queries, query_ids, np.frombuffer(vectors.as_buffer(), "<f8").reshape(len(ids), -1), ids, graph[1:].reshape(-1, DEGREE), int(graph[0]), k, beam)
-                for q, found, scores in parts:
-                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(found, pa.int64()), pa.array(scores, pa.float64())], ["query_id", "vec_id", "score"])
+def _search(k: int, beam: int):
+    def search(q_ids: pa.Buffer, q_vectors: pa.Buffer, shards: list[list[bytes | None]]) -> Iterator[pa.RecordBatch]:
+        query_ids = np.frombuffer(q_ids, np.int64)
+        queries = np.frombuffer(q_vectors, "<f8").reshape(len(query_ids), -1)
+        parts = []
+        for raw_ids, raw, raw_graph in shards:
+            ids, graph = np.frombuffer(raw_ids, np.int64), np.frombuffer(raw_graph, "<i4").astype(np.int64)
+            starts, edges = graph[1 : 1 + graph[0]], graph[1 + graph[0] :].reshape(-1, DEGREE)
+            parts += search_shard(queries, query_ids, np.frombuffer(raw, "<f8").reshape(len(ids), -1), ids, edges, starts, k, beam)
+        q, found, scores = first_of_each(k, *(np.concatenate(x) for x in zip(*parts, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(query_ids[q], pa.int64()), pa.array(found, pa.int64()), pa.array(scores, pa.float64())], ["query_id", "vec_id", "score"])
 
-    return searched
+    return search
 
 
-def nearest_neighbours(vectors: DataFrame, k: int = 20, every: int = 20, beam: int = SEARCH_BEAM) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, k: int = 20, every: int = 20, beam: int = SEARCH_BEAM, shard: int = SHARD) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of ``vectors`` (vec_id, embedding) whose vec_id is divisible by ``every``, the k nearest others found.
 
     The nearest has the largest inner product, in double precision on the vectors as they are; ties go to the smaller
@@ -204,13 +225,11 @@ def nearest_neighbours(vectors: DataFrame, k: int = 20, every: int = 20, beam: i
         if not q:
             continue
         rows = fine.where(F.col("width") == width)
-        shards, blocks = -(-n // SHARD), -(-q // QUERIES)
+        shards, blocks = -(-n // shard), -(-q // QUERIES)
         of = lambda count: F.pmod(F.xxhash64("id"), F.lit(count))
         index = cut(packed_blocks(rows.select("id", "vector", of(shards).alias("shard")), "<f8", "shard").repartition(shards, "shard").mapInArrow(_built, _GRAPH))
-        queries = packed_blocks(rows.where(asked).select("id", "vector", of(blocks).alias("block")), "<f8", "block").select("block", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-        grid = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        pairs = grid.join(queries, "block").select("q_ids", "q_vectors", "ids", "vectors", "graph").repartition(max(1, shards * blocks))
-        found = pairs.mapInArrow(_searched(k, beam), _FOUND)
+        queries = packed_blocks(rows.where(asked).select("id", "vector", of(blocks).alias("block")), "<f8", "block")
+        found = search_in_place(index, shards, queries, _search(k, beam), _FOUND)
         out = found if out is None else out.unionByName(found)
     if out is None:
         return fine.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).where(F.lit(False))

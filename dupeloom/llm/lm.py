@@ -1,10 +1,12 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 Counting: each task sums its own words and word pairs and sends one sorted block of hashes and counts for each
-bucket of the hash space; a bucket's blocks are merged in one task.  Each bucket also makes its segment of the
-Bloom filter: an n-gram counted c times is entered once for each level 1 to 1 + floor(log2 c), so its level is found
-by asking for level after level, and level 0 is what was never counted.  Segments are broadcast to the workers in parts of at most ``most_bytes``; with
-more than one part, texts pass once for each and carry the levels found so far.
+bucket of the hash space.  A bucket's blocks come to one task in order and are merged as they come, so it holds the
+bucket's distinct n-grams and a few blocks.  There is a bucket for each BUCKET_BYTES of text.  Each bucket also
+makes its segment of the Bloom filter: an n-gram counted c times is entered once for each level 1 to
+1 + floor(log2 c), so its level is found by asking for level after level, and level 0 is what was never counted.
+Segments are broadcast to the workers in parts of at most ``most_bytes``; with more than one part, texts pass once
+for each and carry the levels found so far.
 
 Exact base scores: the most frequent words of each bucket, ``hot_words`` in all, are broadcast with their counts;
 all others go, block by block, to their bucket, and come back as sums for each document.
@@ -30,10 +32,13 @@ from .minhash import WordHashes, _mixed
 #: No word has white space, so these stand for no word.
 END, START = xxhash.xxh64_intdigest(b"\n"), xxhash.xxh64_intdigest(b" ")
 #: Tokens that a task counts before it sends them on, and scores at once.
-FLUSH, BLOCK = 3_000_000, 600_000
-BITS_PER_ENTRY, PROBES = 10, 4
-#: Weight of the prior in a pair's probability, and what the count of an unseen word is taken for.
-PRIOR, SELDOM = 50.0, 0.5
+FLUSH, BLOCK = 2_000_000, 600_000
+#: Text for which there is a bucket, the fewest and the most buckets, and entries that are held before they are merged.
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS, HELD = 8 << 20, 64, 1 << 16, 4_000_000
+#: Of what was never counted, one in 200 is taken for counted: (1 - exp(-5 / 12)) ** 5.
+BITS_PER_ENTRY, PROBES = 12, 5
+#: Weight of the prior in a pair's probability (of the powers of two times 25, about the best for held-out texts of the test tables), and what the count of an unseen word is taken for.
+PRIOR, SELDOM = 200.0, 0.5
 
 _COUNTS = "kind int, bucket int, hashes binary, counts binary"
 _TABLE = "kind int, bucket int, n long, total long, hashes binary, counts binary, hot_hashes binary, hot_counts binary, bits binary"
@@ -70,7 +75,7 @@ def _planes(numbers: np.ndarray) -> bytes:
     return numbers.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def _numbers(planes: bytes) -> np.ndarray:
+def _numbers(planes: bytes | pa.Buffer) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.uint64)
 
 
@@ -127,8 +132,8 @@ def _probes(hashes: np.ndarray, level: int, size: np.ndarray | int) -> Iterator[
 
 
 def bloom_segment(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Bytes of the filter that holds floor(log2(count)) of each hash."""
-    levels = np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64)
+    """Bytes of the filter that holds 1 + floor(log2(count)) of each hash."""
+    levels = 1 + np.floor(np.log2(counts)).astype(np.int64)
     entries = int(levels.sum())
     if not entries:
         return np.zeros(0, np.uint8)
@@ -176,18 +181,42 @@ def expected_count(levels: np.ndarray, seldom: float) -> np.ndarray:
 
 
 def _merged(hot_each: int):
-    def merged(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        hashes, counts = _summed(np.concatenate([_numbers(x) for x in frame["hashes"]]), np.concatenate([np.frombuffer(x, "<u4") for x in frame["counts"]]).astype(np.int64))
-        row = {"kind": key[0], "bucket": key[1], "n": len(hashes), "total": int(counts.sum()), "hashes": None, "counts": None, "hot_hashes": None, "hot_counts": None, "bits": bloom_segment(hashes, 2 * counts).tobytes()}  # doubled: counts of 1 are level 1
-        if key[0] == 1:
+    """A row of _TABLE for each kind and bucket, of blocks that come in their order."""
+
+    def finished(key: tuple[int, int], held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        hashes, counts = held[0] if len(held) == 1 else _summed(*map(np.concatenate, zip(*held, strict=True)))
+        kind, bucket = key
+        row = {"kind": kind, "bucket": bucket, "n": len(hashes), "total": int(counts.sum()), "bits": bloom_segment(hashes, counts).tobytes()}
+        if kind == 1:
             hot = np.sort(np.lexsort((hashes, -counts))[:hot_each])
             cold = np.setdiff1d(np.arange(len(hashes)), hot, assume_unique=True)
             row |= {"hashes": hashes[cold].tobytes(), "counts": counts[cold].tobytes(), "hot_hashes": hashes[hot].tobytes(), "hot_counts": counts[hot].tobytes()}
-        return pd.DataFrame([row])
+        return pa.RecordBatch.from_pylist([row], _schema(_TABLE))
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, fresh = None, [], 0
+        for batch in batches:
+            for kind, bucket, hashes, counts in zip(*(batch.column(i) for i in range(4)), strict=True):
+                key = kind.as_py(), bucket.as_py()
+                if key != now:
+                    if held:
+                        yield finished(now, held)
+                    now, held, fresh = key, [], 0
+                held.append((_numbers(hashes.as_buffer()), np.frombuffer(counts.as_buffer(), "<u4").astype(np.int64)))
+                fresh += len(held[-1][0])
+                if fresh >= HELD:
+                    held, fresh = [_summed(*map(np.concatenate, zip(*held, strict=True)))], 0
+        if held:
+            yield finished(now, held)
 
     return merged
 
 
+def _schema(ddl: str) -> pa.Schema:
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    return pa.schema([(n, types[t]) for n, t in (x.split() for x in ddl.split(", "))])
+
+
 def _levels_of(tokens: np.ndarray, first: np.ndarray, filter_: Filter) -> np.ndarray:
     """Levels of each token, of what stands before it, and of the pair."""
     before = np.concatenate([[START], tokens[:-1]]).astype(np.uint64)
@@ -317,17 +346,19 @@ def score_documents(docs: DataFrame, fold: int = 10, hot_words: int = 1 << 19, m
     log10 of (pair's count + PRIOR * p(word)) / (count before + PRIOR) with counts as the filter has them.
     A null text counts as empty: one token, the end.  A null doc_id counts as empty text, so is held out, and
     stays null; repeated rows count and are returned each; an empty table gives no rows; without training rows
-    N and V are 0 and base scores 0.  Other columns are ignored.  ``buckets`` (a power of two) follows the
-    input's partitions; what is broadcast is at most ``most_bytes`` of filter and ``hot_words`` counts.
+    N and V are 0 and base scores 0.  Other columns are ignored.  ``buckets`` (a power of two) follows the bytes of
+    text; what is broadcast at a time is at most ``most_bytes`` of filter and ``hot_words`` counts.
     """
     spark = docs.sparkSession
     context = spark.sparkContext
     fold_of = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % fold
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold_of == 0).alias("held_out"), "text")
     if buckets is None:
-        buckets = 1 << min(16, max(6, math.ceil(math.log2(max(1, rows.rdd.getNumPartitions())))))
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 1
+        buckets = 1 << math.ceil(math.log2(min(MOST_BUCKETS, max(LEAST_BUCKETS, size / BUCKET_BYTES))))
     counts = rows.where(~F.col("held_out")).select("text").mapInArrow(_counted(buckets), _COUNTS)
-    table = cut(counts.groupBy("kind", "bucket").applyInPandas(_merged(max(1, hot_words // buckets)), _TABLE))
+    ordered = counts.repartition(buckets, "bucket").sortWithinPartitions("kind", "bucket")
+    table = cut(ordered.mapInArrow(_merged(max(1, hot_words // buckets)), _TABLE))
     sums = table.where("kind = 1").agg(F.sum("n"), F.sum("total")).first()
     n_words, n_train = int(sums[0] or 0), int(sums[1] or 0)
     below = n_train + 0.1 * (n_words + 1)

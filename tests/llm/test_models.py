@@ -94,7 +94,7 @@ def test_filter_gives_levels_of_counts():
     rng = np.random.default_rng(2)
     hashes = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2))
     counts = rng.geometric(0.2, len(hashes))
-    levels = np.floor(np.log2(counts)).astype(int)
+    levels = 1 + np.floor(np.log2(counts)).astype(int)
     found = Filter({(1, 0): bloom_segment(hashes, counts).tobytes()}, 1).levels(1, hashes)
     assert (found >= levels).all() and (found == levels).mean() > 0.9
     others = Filter({(1, 0): bloom_segment(hashes, counts).tobytes()}, 1).levels(1, hashes + np.uint64(1))
@@ -114,3 +114,30 @@ def test_what_was_seen_once_is_not_unseen(spark):
 def test_the_model_is_better_than_the_base(spark):
     rows = score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+@pytest.mark.parametrize("held", [4_000_000, 50])
+def test_scores_equal_a_model_of_exact_counts(spark, sf_dir, monkeypatch, held):
+    """The same model from a plain count of words and pairs: exactly, but for counts that the filter takes one level up."""
+    from dupeloom.llm import lm
+
+    monkeypatch.setattr(lm, "HELD", held)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    tokens = lambda t: [*(t or "").encode().lower().split(), None]
+    words, pairs = Counter(), Counter()
+    for d, t in rows:
+        if fold(d, 10):
+            words.update(tokens(t))
+            pairs.update(zip(["start", *tokens(t)[:-1]], tokens(t), strict=True))
+    n, v = sum(words.values()), len(words)
+    count = lambda c, seldom: lm.expected_count(np.asarray([1 + math.floor(math.log2(c)) if c else 0]), seldom)[0]
+    got = {r.doc_id: r for r in score_documents(docs.repartition(5)).collect()}
+    gaps = []
+    for d, t in rows:
+        total = 0.0
+        for before, word in zip(["start", *tokens(t)[:-1]], tokens(t), strict=True):
+            own, had, pair = count(words[word], lm.SELDOM), count(words[None if before == "start" else before], lm.SELDOM), count(pairs[before, word], 0.0)
+            total += math.log10((pair + lm.PRIOR * (own + 0.1) / (n + 0.1 * (v + 1))) / (max(had, pair) + lm.PRIOR))
+        gaps.append(abs(got[d].score - total) / len(tokens(t)))
+    assert np.median(gaps) < 0.02 and np.mean(gaps) < 0.05
