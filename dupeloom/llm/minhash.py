@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -300,7 +300,7 @@ def _joining(x: _Block, y: _Block, percent: int, most_bits: int) -> np.ndarray:
 
 
 def _crossed(percent: int, most_bits: int):
-    """What joins within blocks, and blocks that have others of their region, of rows in the order of region and root."""
+    """What joins within regions that are one block, and the blocks of the others, of rows in the order of region and root."""
 
     def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -308,52 +308,77 @@ def _crossed(percent: int, most_bits: int):
         for piece, alone in _pieces(batches):
             piece = piece.combine_chunks()
             sketches = np.frombuffer(b"".join(piece.column(3).to_pylist()), np.int64).reshape(-1, 2)
-            members = np.concatenate([piece.column(1).to_numpy()[:, None], piece.column(2).to_numpy()[:, None], sketches], axis=1).tobytes()
+            roots = piece.column(1).to_numpy()
+            members = np.concatenate([roots[:, None], piece.column(2).to_numpy()[:, None], sketches], axis=1).tobytes()
             sets = None if piece.column(4).null_count else b"".join(piece.column(4).to_pylist())
-            block = _Block(members, sets)
-            low, high = int(block.roots[0]), int(block.roots[-1])
-            if low != high:
+            if not alone:
+                yield pa.RecordBatch.from_arrays([*none(2, 1), *[pa.array([int(v)], pa.int64()) for v in (piece.column(0)[0].as_py(), number, roots[0], roots[-1])], pa.array([members], pa.binary()), pa.array([sets], pa.binary())], _names(_CROSSED))
+                number += 1
+            elif roots[0] != roots[-1]:
+                block = _Block(members, sets)
                 pairs = _joining(block, block, percent, most_bits)
                 if len(pairs):
                     yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in pairs.T], *none(4, len(pairs)), *[pa.nulls(len(pairs), pa.binary())] * 2], _names(_CROSSED))
-            if not alone:
-                yield pa.RecordBatch.from_arrays([*none(2, 1), *[pa.array([v], pa.int64()) for v in (piece.column(0)[0].as_py(), number, low, high)], pa.array([members], pa.binary()), pa.array([sets], pa.binary())], _names(_CROSSED))
-                number += 1
 
     return crossed
 
 
 def _between(percent: int, most_bits: int):
-    """What joins two blocks."""
+    """What joins two groups of blocks, or one group with itself: rows (region, x, y, side, members, shingles) in their order; the first side is held, the other passes by."""
 
     def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, block = None, [], None
+        whole = lambda: _Block(b"".join(m for m, _ in held), None if held[0][1] is None else b"".join(s for _, s in held))
+
+        def joined(one: _Block, two: _Block) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in _joining(one, two, percent, most_bits).T], _names(_JOINED))
+
         for batch in batches:
-            for parts in zip(*(batch.column(i) for i in range(4)), strict=True):
-                x, x_sets, y, y_sets = (p.as_buffer() if p.is_valid else None for p in parts)
-                pairs = _joining(_Block(x, x_sets), _Block(y, y_sets), percent, most_bits)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in pairs.T], _names(_JOINED))
+            for *key, side, members, sets in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), batch.column(5), strict=True):
+                if key != now:
+                    if held and now[1] == now[2]:
+                        yield joined(one := whole(), one)
+                    now, held, block = key, [], None
+                members, sets = members.as_buffer(), sets.as_buffer() if sets.is_valid else None
+                if side == 0:
+                    held.append((bytes(members), None if sets is None else bytes(sets)))
+                else:
+                    block = block or whole()
+                    yield joined(block, _Block(members, sets))
+        if held and now[1] == now[2]:
+            yield joined(one := whole(), one)
 
     return between
 
 
 def _across(crowd: DataFrame, percent: int, most_bits: int) -> DataFrame:
-    """root_a, root_b that join the roots between which a pair of a region links, or may link where ``crowd`` (region, root, class, n, sketch, shingles) has no shingles."""
+    """root_a, root_b that join the roots between which a pair of a region links, or may link where ``crowd`` (region, root, class, n, sketch, shingles) has no shingles.
+
+    The blocks that tasks make of a region are put together, in their order, to groups of about CROWD rows and
+    MOST_SHINGLES, however many tasks there were; groups of a region that hold different roots meet.
+    """
     parts = int(crowd.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = crowd.repartitionByRange(parts, "region", "root", "class").sortWithinPartitions("region", "root", "class").select("region", "root", "n", "sketch", "shingles")
     crossed = cut(ordered.mapInArrow(_crossed(percent, most_bits), _CROSSED))
-    blocks = crossed.where("block is not null").select("region", "block", "low", "high")
-    # blocks of one root meet those of others; mixed ones meet all; so no two blocks of the same root alone are paired
-    mixed, pure = blocks.where("low < high"), blocks.where("low = high").select("region", "block", F.col("low").alias("root"))
-    as_x, as_y = ([F.col("block").alias(f"block_{side}")] for side in "xy")
-    of_mixed = mixed.select("region", *as_x).join(mixed.select("region", *as_y), "region").where("block_x < block_y")
-    with_pure = mixed.select("region", *as_x).join(pure.select("region", *as_y), "region")
+    blocks = crossed.where("block is not null")
+    weight = F.greatest(F.length("members") / (32 * CROWD), F.coalesce(F.length("shingles"), F.lit(0)) / (8 * MOST_SHINGLES))
+    before = Window.partitionBy("region").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    weighed = blocks.select("region", "block", "low", "high", weight.alias("weight"))
+    placed = cut(weighed.select("region", "block", "low", "high", F.floor(F.coalesce(F.sum("weight").over(before), F.lit(0.0))).cast("long").alias("part")))
+    groups = cut(placed.groupBy("region", "part").agg(F.min("low").alias("low"), F.max("high").alias("high")))
+    # groups of one root meet those of others; mixed ones meet all and themselves; so none of the same root alone are paired
+    mixed, pure = groups.where("low < high"), groups.where("low = high").select("region", "part", F.col("low").alias("root"))
+    as_x, as_y = F.col("part").alias("x"), F.col("part").alias("y")
+    of_mixed = mixed.select("region", as_x).join(mixed.select("region", as_y), "region").where("x <= y")
+    with_pure = mixed.select("region", as_x).join(pure.select("region", as_y), "region")
     runs = pure.select("region", "root").distinct()
-    apart = runs.select("region", F.col("root").alias("x")).join(runs.select("region", F.col("root").alias("y")), "region").where("x < y")
-    of_pure = apart.join(pure.select("region", F.col("root").alias("x"), *as_x), ["region", "x"]).join(pure.select("region", F.col("root").alias("y"), *as_y), ["region", "y"])
-    met = of_mixed.unionByName(with_pure).unionByName(of_pure.select("region", "block_x", "block_y"))
-    held = crossed.where("block is not null")
-    one, two = (held.select(F.col("block").alias(f"block_{side}"), F.col("members").alias(side), F.col("shingles").alias(f"{side}_sets")) for side in "xy")
-    far = met.join(one, "block_x").join(two, "block_y").select("x", "x_sets", "y", "y_sets").mapInArrow(_between(percent, most_bits), _JOINED)
+    apart = runs.select("region", F.col("root").alias("root_x")).join(runs.select("region", F.col("root").alias("root_y")), "region").where("root_x < root_y")
+    of_pure = apart.join(pure.select("region", F.col("root").alias("root_x"), as_x), ["region", "root_x"]).join(pure.select("region", F.col("root").alias("root_y"), as_y), ["region", "root_y"])
+    met = cut(of_mixed.unionByName(with_pure).unionByName(of_pure.select("region", "x", "y")))
+    side = lambda n, c: met.where("x < y" if n else "true").join(placed.select("region", F.col("part").alias(c), "block"), ["region", c]).select("region", "x", "y", F.lit(n).alias("side"), "block")
+    sent = side(0, "x").unionByName(side(1, "y")).join(blocks.select("block", "members", "shingles"), "block")
+    in_order = sent.repartition(parts, "region", "x", "y").sortWithinPartitions("region", "x", "y", "side", "block").select("region", "x", "y", "side", "members", "shingles")
+    far = in_order.mapInArrow(_between(percent, most_bits), _JOINED)
     return cut(crossed.where("root_a is not null").select("root_a", "root_b").unionByName(far).distinct())
 
 

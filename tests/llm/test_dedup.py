@@ -181,6 +181,10 @@ def test_roots_that_meet_are_joined_as_by_all_pairs(spark, monkeypatch):
     assert len(wanted) > 20
     crowd = spark.createDataFrame(rows, "region long, root long, class long, n long, sketch binary, shingles binary").repartition(3)
     assert joined(map(tuple, minhash._across(crowd, 85, 40).collect())) == wanted
+    monkeypatch.setattr(minhash, "CROWD", 15)  # many groups of blocks
+    assert joined(map(tuple, minhash._across(crowd, 85, 40).collect())) == wanted
+    one_root = spark.createDataFrame([(r[0], r[0] + (r[2] % 1000 >= 200), *r[2:]) for r in rows], crowd.schema)  # groups of one root among them
+    assert joined(map(tuple, minhash._across(one_root, 85, 40).collect())) == linked([tuple(r) for r in one_root.collect()])
     for often in (2, 48):
         monkeypatch.setattr(minhash, "FREQUENT", often)
         for region in (0, 2, 4):
