@@ -3,7 +3,8 @@
 Each language is a distribution over hashed letter trigrams, counted over all training rows.  A document is a
 mixture of languages: expectation-maximisation finds the proportions that make its trigrams likeliest, and the
 set of languages is chosen by the likelihood less half a logarithm of the trigrams for each language beyond the
-first, among the nested sets of its weightiest languages.
+first, among the nested sets of its weightiest languages.  The set may be empty: then no language makes the
+trigrams as likely as drawing them evenly from all buckets, and the document is in none.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Hash buckets of trigrams, what is added to each count, and steps of expectation-maximisation.
 GRAMS, ADDED, STEPS = 1 << 15, 0.5, 12
-#: Distinct trigrams of documents that are worked on at once.
-AT_ONCE = 150_000
+#: Distinct trigrams of documents that are worked on at once, and the most languages that are learned (256 KB each).
+AT_ONCE, MOST_LANGUAGES = 150_000, 1024
 UNDETERMINED = "und"
 
 #: A letter's byte stays (every byte beyond ASCII counts as one), all else is a space.
@@ -28,10 +31,10 @@ _FOLD = np.asarray([b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range
 
 
 def gram_counts(text: str) -> np.ndarray:
-    """How often each hashed trigram of bytes stands in the whole text, in lower case; those with two spaces are left out."""
+    """How often each hashed trigram of bytes with a letter in its middle stands in the whole text, in lower case."""
     raw = _FOLD[np.frombuffer(b" " + text.lower().encode() + b" ", np.uint8)].astype(np.uint32)
     grams = raw[:-2] << np.uint32(16) | raw[1:-1] << np.uint32(8) | raw[2:]
-    grams = grams[(raw[:-2] != 32) & (raw[1:-1] != 32) | (raw[1:-1] != 32) & (raw[2:] != 32)]
+    grams = grams[raw[1:-1] != 32]
     return np.bincount((grams * np.uint32(0x9E3779B1)) >> np.uint32(17), minlength=GRAMS)
 
 
@@ -59,8 +62,8 @@ class Languages:
         table[counts["gram"].to_numpy(), np.searchsorted(np.asarray(self.names, object), counts["lang"].to_numpy())] += counts["n"].to_numpy()
         self.chances = (table / table.sum(axis=0)).astype(np.float64) if self.names else table
 
-    def mixtures(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The proportions of each text's languages; zeros for those outside the chosen set, all zeros without trigrams."""
+    def mixtures(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bool]]:
+        """The proportions of each text's languages, zeros for those outside the chosen set, all zeros without trigrams; and whether a language is better than none."""
         held: list[tuple[np.ndarray, np.ndarray]] = []
         n = 0
         for i, text in enumerate(texts):
@@ -82,8 +85,8 @@ class Languages:
         each = (chances * np.repeat(weights, sizes, axis=0)).sum(axis=1)
         return weights, np.add.reduceat(counts * np.log(np.maximum(each, 1e-300)), first)
 
-    def _chosen(self, held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:
-        out = np.zeros((len(held), len(self.names)))
+    def _chosen(self, held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, bool]]:
+        out, some = np.zeros((len(held), len(self.names))), np.zeros(len(held), np.bool_)
         docs = [i for i, (grams, _) in enumerate(held) if len(grams)]
         if docs and self.names:
             sizes = np.asarray([len(held[i][0]) for i in docs])
@@ -113,7 +116,8 @@ class Languages:
                     best[at[better]] = value[better]
                     open_[at[~better]] = False
             out[docs] = weights
-        yield from out
+            some[docs] = best > totals * np.log(1 / GRAMS)
+        yield from zip(out, some.tolist(), strict=True)
 
 
 def held_out(doc_id: str, fold: int, remainder: int) -> Column:
@@ -124,26 +128,34 @@ def held_out(doc_id: str, fold: int, remainder: int) -> Column:
 def learn_languages(docs: DataFrame) -> Broadcast:
     """Languages of ``docs`` (text, lang), from all rows whose lang is not null and whose text has a letter.
 
-    Counts are summed in each task, then by (language, trigram): what reaches the driver is at most GRAMS rows a language.
+    Counts are summed in each task, then by (language, trigram): what reaches the driver and the workers is at most
+    GRAMS rows a language.  More than MOST_LANGUAGES languages raise an error: then lang does not hold languages.
     """
     counts = docs.where(F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(_learned, "lang string, gram int, n long")
-    return docs.sparkSession.sparkContext.broadcast(Languages(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()))
+    counts = cut(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    if (n := counts.select("lang").distinct().count()) > MOST_LANGUAGES:
+        raise ValueError(f"lang has {n} values; at most {MOST_LANGUAGES} languages can be learned")
+    return docs.sparkSession.sparkContext.broadcast(Languages(counts.toPandas()))
 
 
 def language_of(text: Column, languages: Broadcast) -> Column:
-    """struct(lang_pred, score, languages) of a text: the weightiest language, its proportion, and all of them as name:proportion."""
+    """struct(lang_pred, score, languages, identified) of a text: the weightiest language, its proportion, all of them as name:proportion, and whether it is in any.
+
+    A text without a letter is not identified; if no language was learned, every other is.
+    """
 
-    @F.pandas_udf("lang_pred string, score double, languages string")
+    @F.pandas_udf("lang_pred string, score double, languages string, identified boolean")
     def predicted(texts: pd.Series) -> pd.DataFrame:
         model = languages.value
         some = [i for i, t in enumerate(texts) if has_letter(t)]
-        preds, scores, lists = [UNDETERMINED] * len(texts), [0.0] * len(texts), [""] * len(texts)
-        for i, w in zip(some, model.mixtures([texts.iloc[i] for i in some]), strict=True):
+        preds, scores, lists, identified = [UNDETERMINED] * len(texts), [0.0] * len(texts), [""] * len(texts), [False] * len(texts)
+        for i, (w, better) in zip(some, model.mixtures([texts.iloc[i] for i in some]), strict=True):
+            identified[i] = better or not model.names
             if model.names:
                 top = int(w.argmax())
                 preds[i], scores[i] = model.names[top], min(1.0, float(w[top]))
                 lists[i] = ",".join(f"{model.names[k]}:{w[k]:.3f}" for k in np.argsort(-w, kind="stable") if w[k] > 0.0005)
-        return pd.DataFrame({"lang_pred": preds, "score": scores, "languages": lists})
+        return pd.DataFrame({"lang_pred": preds, "score": scores, "languages": lists, "identified": identified})
 
     return predicted(text)
 
@@ -161,6 +173,10 @@ def identify_languages(docs: DataFrame, fold: int = 4, remainder: int = 2) -> Da
 
 
 def keep_identified(docs: DataFrame, fold: int = 4, remainder: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose language is determined, with all their columns."""
+    """The rows of ``docs`` whose text is in some language, with all their columns.
+
+    What goes: nulls, texts without a letter, and texts whose set of languages is empty.  If nothing can be learned
+    (no lang, or no row outside the held-out fold), all texts with a letter stay.
+    """
     languages = learn_languages(docs.where(~held_out("doc_id", fold, remainder)))
-    return docs.where(language_of(F.col("text"), languages)["lang_pred"] != UNDETERMINED)
+    return docs.where(language_of(F.col("text"), languages)["identified"])

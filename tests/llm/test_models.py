@@ -39,12 +39,68 @@ def test_mixtures_find_both_languages(spark, sf_dir):
         sums[r.lang] = sums.get(r.lang, 0) + gram_counts(r.text)
     model = Languages(pd.DataFrame([(k, g, v[g]) for k, v in sums.items() for g in np.flatnonzero(v)], columns=["lang", "gram", "n"]))
     texts = {lang: next(r.text for r in rows[150:] if r.lang == lang and len(r.text) > 1500)[:1500] for lang in ("en", "de")}
-    both, one = model.mixtures([texts["en"] + " " + texts["de"], texts["de"]])
+    (both, some), (one, _), (_, none), (_, nothing) = model.mixtures([texts["en"] + " " + texts["de"], texts["de"], "xqzvk jwqpx zzkqw vvxqj qqzzx", "12"])
+    assert some and not none and not nothing
     named = dict(zip(model.names, both, strict=True))
     assert named["en"] > 0.35 and named["de"] > 0.35 and abs(both.sum() - 1) < 1e-9
     assert model.names[one.argmax()] == "de" and one.max() > 0.95
 
 
+def plain_mixture(grams, chances):
+    """Proportions by the docstring's rule, in plain Python; chances: {gram: [of each language]}; None for the empty set."""
+    n, names = sum(grams.values()), range(len(next(iter(chances.values()))))
+    likelihood = lambda w: sum(c * math.log(sum(p * q for p, q in zip(w, chances[g], strict=True))) for g, c in grams.items())
+
+    def fit(w):
+        for _ in range(12):
+            new = [0.0 for _ in names]
+            for g, c in grams.items():
+                joint = [p * q for p, q in zip(w, chances[g], strict=True)]
+                for k in names:
+                    new[k] += c * joint[k] / sum(joint) / n
+            w = new
+        return w
+
+    alone = [[float(k == j) for j in names] for k in names]
+    best = max(alone, key=likelihood)
+    value = likelihood(best)
+    full = fit([1 / len(names) for _ in names])
+    for k in range(2, len(names) + 1):
+        kept = sorted(names, key=lambda j: -full[j])[:k]
+        start = [max(full[j], 1e-6) if j in kept else 0.0 for j in names]
+        w = fit([x / sum(start) for x in start])
+        new = likelihood(w) - (k - 1) * 0.5 * math.log(n)
+        if new <= value:
+            break
+        best, value = w, new
+    return best, value > n * math.log(1 / GRAMS)
+
+
+def test_mixtures_equal_plain_expectation_maximisation(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    sums = {}
+    for r in rows[:120]:
+        sums[r.lang] = sums.get(r.lang, 0) + gram_counts(r.text)
+    model = Languages(pd.DataFrame([(k, g, v[g]) for k, v in sums.items() for g in np.flatnonzero(v)], columns=["lang", "gram", "n"]))
+    texts = [r.text[:300] for r in rows[120:135]] + [rows[i].text[:200] + rows[i + 1].text[:90] for i in range(120, 150)] + ["a b c d e f", "xqzvk jwqpx zzkqw vvxqj", "x"]
+    seen = set()
+    for text, (got, better) in zip(texts, model.mixtures(texts), strict=True):
+        grams = {int(g): int(c) for g, c in enumerate(gram_counts(text)) if c}
+        wanted, some = plain_mixture(grams, {g: model.chances[g].tolist() for g in grams})
+        assert np.allclose(got, wanted, atol=1e-9) and better == some
+        seen.add((int((got > 0).sum()), better))
+    assert len(seen) >= 3
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    from dupeloom.llm import langid
+
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 5)
+    docs = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(40)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="lang has"):
+        identify_languages(docs)
+
+
 def test_language_edges(spark, edge_docs, no_docs):
     rows = identify_languages(edge_docs).collect()
     assert len(rows) == edge_docs.count()
@@ -53,9 +109,14 @@ def test_language_edges(spark, edge_docs, no_docs):
     assert identify_languages(no_docs).collect() == []
     nothing = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert identify_languages(nothing).first().lang_pred == "und"
+    short = spark.createDataFrame([(1, "a b c d e f", "en"), (3, "a b c a b c", "en"), (4, "x y z", "zz")], "doc_id long, text string, lang string")
+    assert all(r.score > 0 for r in identify_languages(short).collect())
+    unlearned = spark.createDataFrame([(1, "text", None), (2, "12", None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in keep_identified(unlearned).collect()] == [1]
     kept = keep_identified(edge_docs)
-    assert kept.columns == edge_docs.columns and kept.count() == sum(has_letter(r.text) for r in edge_docs.collect())
-    assert not has_letter("12 !?") and has_letter("1é") and gram_counts("").sum() == 0 and len(gram_counts("x")) == GRAMS
+    texts = [r.text for r in kept.collect()]
+    assert kept.columns == edge_docs.columns and all(map(has_letter, texts)) and "same words again and again and again" in texts
+    assert not has_letter("12 !?") and has_letter("1é") and gram_counts("").sum() == 0 and gram_counts("x").sum() == 1 and len(gram_counts("x")) == GRAMS
 
 
 def base_scores(rows):

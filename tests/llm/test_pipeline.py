@@ -5,9 +5,11 @@ import re
 import pytest
 
 import corpus_pipeline
+from dupeloom.llm.langid import GRAMS, gram_counts, has_letter
 from dupeloom.llm.secretscan import find_secrets
 
 from .test_dedup import brute_force, shingles
+from .test_models import fold, plain_mixture
 from .test_scans import base_spans
 from .test_tokens import check_packing
 
@@ -16,7 +18,7 @@ from .test_tokens import check_packing
 def stages(spark, sf_dir, tmp_path_factory):
     """What each stage returns, written and read again; junk is added to the documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    junk = spark.createDataFrame([(10**6, "12 34 !!", "en", "s", 8), (10**6 + 1, None, None, None, None), (10**6 + 2, "", "en", "s", 0), (10**6 + 3, "token: abcdefgh in a short text", "en", "s", 31)], docs.schema)
+    junk = spark.createDataFrame([(10**6, "12 34 !!", "en", "s", 8), (10**6 + 1, None, None, None, None), (10**6 + 2, "", "en", "s", 0), (10**6 + 3, "token: abcdefgh in a short text", "en", "s", 31), (10**6 + 4, "xqzvk jwqpx zzkqw vvxqj qqzzx", "en", "s", 29)], docs.schema)
     out = [docs.unionByName(junk)]
     for name, stage in corpus_pipeline.STAGES:
         folder = str(tmp_path_factory.mktemp(name) / "out")
@@ -31,9 +33,21 @@ def test_stages_return_the_columns_of_documents(stages):
         assert docs.columns == stages[0].columns and docs.dtypes == stages[0].dtypes
 
 
-def test_only_texts_without_letters_go(stages):
+def test_texts_in_no_language_go(stages):
+    """Plain sums over the training rows: what stays is what some mixture makes likelier than even chances."""
     before, after = ({r.doc_id: r for r in d.collect()} for d in stages[:2])
-    assert after == {i: r for i, r in before.items() if r.text and any(c.isalpha() for c in r.text)}
+    sums = {}
+    for r in before.values():
+        if fold(r.doc_id, 4) != 2 and r.lang is not None and has_letter(r.text):
+            sums[r.lang] = sums.get(r.lang, 0) + gram_counts(r.text) * 1.0
+    tables = [v + 0.5 for _, v in sorted(sums.items())]
+    chances = {g: [float(t[g] / t.sum()) for t in tables] for g in range(GRAMS)}
+    wanted = set()
+    for r in before.values():
+        if has_letter(r.text) and plain_mixture({g: int(c) for g, c in enumerate(gram_counts(r.text[:20_000])) if c}, chances)[1]:
+            wanted.add(r.doc_id)
+    assert after == {i: before[i] for i in wanted}
+    assert set(before) - wanted == {10**6, 10**6 + 1, 10**6 + 2, 10**6 + 4}
 
 
 def test_one_of_each_group_stays(stages):
