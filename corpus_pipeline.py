@@ -18,7 +18,7 @@ from dupeloom.llm.secretscan import redact_secrets
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be determined (no letter in them) go."""
+    """Documents in no language go: without a letter, or with trigrams that no mixture of languages makes likelier than chance."""
     return keep_identified(docs)
 
 
