@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import ScanConfig
 from ..functions.measures import jaccard, pair_tier
+from .components import cut
 
 #: A hash that this many fragments share counts as frequent, and comes last in a fragment's order.
 FREQUENT = 24
@@ -23,13 +24,30 @@ def exact_candidates(prints: DataFrame) -> DataFrame:
     return a.join(b, "root_hash").where("left_id < right_id").select("left_id", "right_id")
 
 
+def classes(prints: DataFrame) -> DataFrame:
+    """frag_id, rep_id: the members of each class of equal root hashes, and the smallest of them, which stands for all.
+
+    A class is a star, however many copies it has: nothing here grows with the pairs of a class.
+    """
+    heads = cut(prints.groupBy("root_hash").agg(F.min("frag_id").alias("rep_id")))
+    return prints.select("frag_id", "root_hash").join(heads, "root_hash").select("frag_id", "rep_id")
+
+
+def expanded(links: DataFrame, members: DataFrame) -> DataFrame:
+    """Links (left_id, right_id, ...) between representatives as pairs of all members, the smaller id on the left."""
+    a, b = (members.select(F.col("rep_id").alias(f"{s}_id"), F.col("frag_id").alias(f"{s}_member")) for s in ("left", "right"))
+    met = links.join(a, "left_id").join(b, "right_id")
+    rest = [c for c in links.columns if c not in ("left_id", "right_id")]
+    return met.select(F.least("left_member", "right_member").alias("left_id"), F.greatest("left_member", "right_member").alias("right_id"), *rest)
+
+
 def by_rarity(prints: DataFrame) -> DataFrame:
     """The fragments with ``ordered``: their hashes, rare ones first and frequent ones by frequency, in one order for all.
 
     Only frequent hashes are counted out and joined, so what meets the postings is small.
     """
     postings = prints.select("frag_id", F.explode("shingles").alias("shingle"))
-    frequent = postings.groupBy("shingle").agg(F.count("*").alias("df")).where(F.col("df") >= FREQUENT)
+    frequent = cut(postings.groupBy("shingle").agg(F.count("*").alias("df")).where(F.col("df") >= FREQUENT))  # made, so that the join can split a hot one
     known = postings.join(frequent, "shingle").groupBy("frag_id").agg(F.collect_list(F.struct("df", "shingle")).alias("frequent"))
     joined = prints.join(known, "frag_id", "left")
     rare = F.array_except("shingles", F.coalesce(F.transform("frequent", lambda x: x["shingle"]), F.array().cast("array<bigint>")))
@@ -97,15 +115,19 @@ def accepted_pairs(prints: DataFrame, config: ScanConfig, method: str = "exact")
 
     Pairs of equal root hashes are taken out of the fuzzy ones even where the exact tier refuses them.
     ``method``: 'exact' finds all similar pairs; 'minhash' those that share a band, with the same scores.
+    Equal root hashes have equal fingerprints: candidates and scores are those of one member of each class, and
+    only what is found is written out for all.
     """
     sizes = prints.select("frag_id", "exec_lines", "exec_stmts")
     exact = exact_candidates(prints)
+    members = cut(classes(prints))
+    heads = prints.join(members.where("frag_id = rep_id").select("frag_id"), "frag_id", "left_semi")
     if method == "minhash":
         bands, rows = band_shape(config.threshold)
-        fuzzy = scored(banded_candidates(minhash_signature(prints, bands * rows), bands, rows), prints)
+        fuzzy = scored(banded_candidates(minhash_signature(heads, bands * rows), bands, rows), heads).where(F.col("similarity") >= config.threshold)
     else:
-        fuzzy = similar_pairs(prints, config.threshold)
-    fuzzy = fuzzy.select("left_id", "right_id", "similarity").join(exact, ["left_id", "right_id"], "left_anti")
+        fuzzy = similar_pairs(heads, config.threshold)
+    fuzzy = expanded(cut(fuzzy.select("left_id", "right_id", "similarity")), members)
     both = exact.select("left_id", "right_id", F.lit(1.0).alias("similarity"), F.lit(True).alias("same")).unionByName(fuzzy.withColumn("same", F.lit(False)))
     a, b = (sizes.select(F.col("frag_id").alias(f"{s}_id"), F.col("exec_lines").alias(f"{s}_lines"), F.col("exec_stmts").alias(f"{s}_stmts")) for s in ("left", "right"))
     sized = both.join(a, "left_id").join(b, "right_id")
@@ -119,6 +141,19 @@ def ranked(pairs: DataFrame, limit: int | None = None) -> DataFrame:
     return out if limit is None else out.limit(limit)
 
 
+def with_rank(rows: DataFrame, *order: Column | str, rank: str = "rank") -> DataFrame:
+    """``rows`` with their number, from 1, in an order without ties: a sort over all tasks, and the sizes of those before."""
+    ordered = cut(rows.orderBy(*order)).withColumn(rank, F.monotonically_increasing_id())
+    task = F.shiftright(F.col(rank), 33)
+    sizes = ordered.groupBy(task.alias("task")).count().orderBy("task").collect()  # a number for each task
+    before, starts = 0, []
+    for r in sizes:
+        starts.append((r["task"], before))
+        before += r["count"]
+    start = ordered.sparkSession.createDataFrame(starts, "task long, start long")
+    return ordered.join(F.broadcast(start), task == F.col("task")).withColumn(rank, F.col("start") + F.col(rank).bitwiseAND((1 << 33) - 1) + 1).drop("task", "start")
+
+
 def in_focus(pairs: DataFrame, focus: DataFrame | None, left: str = "left_id", right: str = "right_id") -> DataFrame:
     """Pairs with a side in ``focus`` (frag_id): all for no focus, none for an empty one."""
     if focus is None:

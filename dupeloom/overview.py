@@ -11,9 +11,9 @@ from .operators.pairs import partners
 
 
 def best_partners(pairs: DataFrame) -> DataFrame:
-    """frag_id, partner_id, similarity, tier: the most similar partner, the first in rank order among equals."""
-    order = F.struct((-F.col("similarity")).alias("s"), "left_id", "right_id")
-    return partners(pairs).groupBy("frag_id").agg(F.min_by(F.struct("partner_id", "similarity", "tier"), order).alias("b")).select("frag_id", "b.*")
+    """frag_id, partner_id, similarity, tier: the most similar partner, the last in the order of pairs among equals."""
+    order = F.struct("similarity", "left_id", "right_id")
+    return partners(pairs).groupBy("frag_id").agg(F.max_by(F.struct("partner_id", "similarity", "tier"), order).alias("b")).select("frag_id", "b.*")
 
 
 def partner_lists(pairs: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Config, ContainmentConfig, ScanConfig
@@ -201,8 +201,8 @@ def similar_tier_pairs(spark, sf_dir):
 @query(f"WITH {JACCARD} SELECT left_id, right_id, round(similarity, 9) AS similarity, tier, row_number() OVER (ORDER BY similarity DESC, left_id, right_id) AS pair_rank FROM pairs")
 def pair_union_ranked(spark, sf_dir):
     """All accepted pairs in rank order."""
-    ranked = Window.orderBy(F.desc("similarity"), "left_id", "right_id")
-    return _pairs(spark, sf_dir).select("left_id", "right_id", F.round("similarity", 9).alias("similarity"), "tier", F.row_number().over(ranked).cast("long").alias("pair_rank"))
+    ranked = pairs_of.with_rank(_pairs(spark, sf_dir), F.desc("similarity"), "left_id", "right_id", rank="pair_rank")
+    return ranked.select("left_id", "right_id", F.round("similarity", 9).alias("similarity"), "tier", "pair_rank")
 
 
 @query(f"WITH {JACCARD} SELECT left_id, right_id, round(similarity, 9) AS similarity, tier FROM pairs ORDER BY pairs.similarity DESC, left_id, right_id LIMIT 50")
@@ -380,9 +380,9 @@ def file_overview_counts(spark, sf_dir):
 _BOTH_WAYS = "ways AS (SELECT left_id AS frag_id, right_id AS partner_id, * FROM pairs UNION ALL SELECT right_id, left_id, * FROM pairs)"
 
 
-@query(f"WITH {JACCARD}, {_BOTH_WAYS} SELECT frag_id, partner_id, round(similarity, 9) AS similarity, tier FROM ways QUALIFY row_number() OVER (PARTITION BY frag_id ORDER BY similarity DESC, left_id, right_id) = 1")
+@query(f"WITH {JACCARD}, {_BOTH_WAYS} SELECT frag_id, partner_id, round(similarity, 9) AS similarity, tier FROM ways QUALIFY row_number() OVER (PARTITION BY frag_id ORDER BY similarity DESC, left_id DESC, right_id DESC) = 1")
 def best_partner(spark, sf_dir):
-    """Each fragment's best partner, the first in rank order."""
+    """Each fragment's best partner, of equals the last in the order of pairs."""
     return best_partners(_pairs(spark, sf_dir)).withColumn("similarity", F.round("similarity", 9))
 
 
