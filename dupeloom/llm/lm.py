@@ -5,8 +5,8 @@ bucket of the hash space.  A bucket's blocks come to one task in order and are m
 bucket's distinct n-grams and a few blocks.  There is a bucket for each BUCKET_BYTES of text.  Each bucket also
 makes its segment of the Bloom filter: an n-gram counted c times is entered once for each level 1 to
 1 + floor(log2 c), so its level is found by asking for level after level, and level 0 is what was never counted.
-Segments are broadcast to the workers in parts of at most ``most_bytes``; with more than one part, texts pass once
-for each and carry the levels found so far.
+Segments are broadcast to the workers in parts of at most ``most_bytes``.  With more than one part, a task holds
+some blocks of texts and asks one part after the other, of which it holds one at a time: texts pass once.
 
 Exact base scores: the most frequent words of each bucket, ``hot_words`` in all, are broadcast with their counts;
 all others go, block by block, to their bucket, and come back as sums for each document.
@@ -34,7 +34,9 @@ END, START = xxhash.xxh64_intdigest(b"\n"), xxhash.xxh64_intdigest(b" ")
 #: Tokens that a task counts before it sends them on, and scores at once.
 FLUSH, BLOCK = 2_000_000, 600_000
 #: Text for which there is a bucket, the fewest and the most buckets, and entries that are held before they are merged.
-BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS, HELD = 8 << 20, 64, 1 << 16, 4_000_000
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS, HELD = 8 << 20, 16, 1 << 16, 4_000_000
+#: Tokens whose levels a task looks up together if the filter has more than one part.
+TOGETHER = 3_000_000
 #: Of what was never counted, one in 200 is taken for counted: (1 - exp(-5 / 12)) ** 5.
 BITS_PER_ENTRY, PROBES = 12, 5
 #: Weight of the prior in a pair's probability (of the powers of two times 25, about the best for held-out texts of the test tables), and what the count of an unseen word is taken for.
@@ -217,15 +219,52 @@ def _schema(ddl: str) -> pa.Schema:
     return pa.schema([(n, types[t]) for n, t in (x.split() for x in ddl.split(", "))])
 
 
-def _levels_of(tokens: np.ndarray, first: np.ndarray, filter_: Filter) -> np.ndarray:
-    """Levels of each token, of what stands before it, and of the pair."""
-    before = np.concatenate([[START], tokens[:-1]]).astype(np.uint64)
-    before[first] = START
-    distinct, back = np.unique(tokens, return_inverse=True)
-    own = filter_.levels(1, distinct)[back]
-    previous = np.concatenate([[0], own[:-1]]).astype(np.uint8)
-    previous[first] = filter_.levels(1, np.asarray([END], np.uint64))[0]  # as many starts as ends
-    return np.stack([own, previous, filter_.levels(2, pair_hashes(before, tokens))])
+class _Asked:
+    """What a block of texts asks of the filter: its distinct words and its pairs, and the levels found so far."""
+
+    def __init__(self, tokens: np.ndarray, first: np.ndarray):
+        before = np.concatenate([[START], tokens[:-1]]).astype(np.uint64)
+        before[first] = START
+        self.first, self.pairs = first, pair_hashes(before, tokens)
+        self.words, self.back = np.unique(tokens, return_inverse=True)
+        self.own, self.pair, self.start = np.zeros(len(self.words), np.uint8), np.zeros(len(tokens), np.uint8), 0
+
+    def ask(self, part: Filter) -> None:
+        """Adds the levels of one part: what another part holds is 0 in it."""
+        self.own += part.levels(1, self.words)
+        self.pair += part.levels(2, self.pairs)
+        self.start += int(part.levels(1, np.asarray([END], np.uint64))[0])  # as many starts as ends
+
+    def levels(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Levels of each token, of what stands before it, and of the pair."""
+        own = self.own[self.back]
+        previous = np.concatenate([[0], own[:-1]]).astype(np.uint8)
+        previous[self.first] = self.start
+        return own, previous, self.pair
+
+
+def _all_asked(blocks: Iterator[tuple], parts: list[Broadcast]) -> Iterator[tuple]:
+    """The blocks (rows, tokens, first) with all their levels; of several parts a worker holds one at a time."""
+    held: list[tuple] = []
+
+    def answered() -> Iterator[tuple]:
+        for part in parts:
+            filter_ = part.value
+            for *_, asked in held:
+                asked.ask(filter_)
+            if len(parts) > 1:
+                del filter_, part._value  # it is read again from the worker's copy
+        yield from held
+        held.clear()
+
+    n = 0
+    for rows, tokens, first in blocks:
+        held.append((rows, tokens, first, _Asked(tokens, first)))
+        n += len(tokens)
+        if len(parts) == 1 or n >= TOGETHER:
+            yield from answered()
+            n = 0
+    yield from answered()
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -242,32 +281,14 @@ def _blocks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[p
                 held, start, n = [], i + 1, 0
 
 
-def _with_levels(part: Broadcast):
-    """Adds one part's levels to those that a row carries."""
-
-    def with_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, tokens, first in _blocks(batches, 2):
-            found = _levels_of(tokens, first, part.value)
-            ends = [*first[1:].tolist(), len(tokens)]
-            added = []
-            for i, (a, b) in enumerate(zip(first.tolist(), ends, strict=True)):
-                old = rows.column(3)[i].as_py()
-                added.append((found[:, a:b] if old is None else found[:, a:b] + np.frombuffer(old, np.uint8).reshape(3, -1)).tobytes())
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(added, pa.binary())], ["doc_id", "held_out", "text", "levels"])
-
-    return with_levels
-
-
-def _scored(part: Broadcast, hot: Broadcast, buckets: int, n_train: int, n_words: int):
+def _scored(parts: list[Broadcast], hot: Broadcast, buckets: int, n_train: int, n_words: int):
     below = n_train + 0.1 * (n_words + 1)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_hashes, hot_counts = hot.value
         block = TaskContext.get().partitionId() << 32
-        for rows, tokens, first in _blocks(batches, 2):
-            levels = _levels_of(tokens, first, part.value)
-            if rows.column(3).null_count < rows.num_rows:
-                levels = levels + np.concatenate([np.frombuffer(x, np.uint8).reshape(3, -1) for x in rows.column(3).to_pylist()], axis=1)
+        for rows, tokens, first, asked in _all_asked(_blocks(batches, 2), parts):
+            levels = asked.levels()
             own, before, pair = levels[0], expected_count(levels[1], SELDOM), expected_count(levels[2], 0.0)
             prior = (expected_count(own, SELDOM) + 0.1) / below if below > 0 else np.ones(len(own))
             chance = np.log10((pair + PRIOR * prior) / (np.maximum(before, pair) + PRIOR))
@@ -374,10 +395,7 @@ def score_documents(docs: DataFrame, fold: int = 10, hot_words: int = 1 << 19, m
     hashes = np.concatenate([h for h, _ in hot]) if hot else np.zeros(0, np.uint64)
     order = np.argsort(hashes)
     hot_table = context.broadcast((hashes[order], np.concatenate([c for _, c in hot])[order] if hot else np.zeros(0, np.int64)))
-    now = rows.withColumn("levels", F.lit(None).cast("binary"))
-    for earlier in parts[:-1]:
-        now = cut(now.mapInArrow(_with_levels(earlier), "doc_id long, held_out boolean, text string, levels binary"))
-    scored = cut(now.mapInArrow(_scored(parts[-1], hot_table, buckets, n_train, n_words), _SCORED))
+    scored = cut(rows.mapInArrow(_scored(parts, hot_table, buckets, n_train, n_words), _SCORED))
     asked = scored.where("slot is null").select("block", "bucket", "hashes", "owners", "times")
     cold = table.where("kind = 1").select("bucket", "hashes", "counts")
     found = asked.groupBy("bucket").cogroup(cold.groupBy("bucket")).applyInPandas(_looked_up(below), _PARTS)
