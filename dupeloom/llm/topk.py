@@ -59,7 +59,7 @@ def search_in_place(shards: DataFrame, n_shards: int, queries: DataFrame, search
     ``search`` gets (ids, vectors) of the block and a list of shards' columns, all as buffers.  A task holds at most
     TOGETHER shards at a time; each block of queries is sent to each task once.
     """
-    parts = -(-n_shards // TOGETHER)
+    parts = max(-(-n_shards // TOGETHER), min(n_shards, shards.sparkSession.sparkContext.defaultParallelism))
     graph = F.col("graph") if "graph" in shards.columns else F.lit(None).cast("binary").alias("graph")
     still = shards.select((F.col("shard") % parts).alias("part"), F.lit(-1).cast("long").alias("block"), "ids", "vectors", graph)
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
