@@ -6,6 +6,7 @@ Fragments need frag_id, root_hash, exec_lines, exec_stmts, shingles (array of ha
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,9 +84,15 @@ def scored(candidates: DataFrame, prints: DataFrame) -> DataFrame:
     return counted.withColumn("similarity", jaccard(F.col("shared"), F.col("n_left"), F.col("n_right")))
 
 
-def minhash_signature(prints: DataFrame, seeds: int) -> DataFrame:
-    """The fragments with ``signature``: the smallest of each seed's hashes of their elements."""
-    return prints.withColumn("signature", F.transform(F.sequence(F.lit(1), F.lit(seeds)), lambda s: F.array_min(F.transform("shingles", lambda x: F.xxhash64(x, s)))))
+def minhash_signature(prints: DataFrame, seeds: int, hashed: Callable[[Column, Column], Column] = F.xxhash64) -> DataFrame:
+    """The fragments with ``signature``: the smallest of each seed's hashes (``hashed`` of element and seed) of their elements."""
+    return prints.withColumn("signature", F.transform(F.sequence(F.lit(1), F.lit(seeds)), lambda s: F.array_min(F.transform("shingles", lambda x: hashed(x, s)))))
+
+
+def _bands(signed: DataFrame, bands: int, rows: int, key: Callable[[Column, Column], Column]) -> DataFrame:
+    """frag_id, band: the key (``key`` of a slice of the signature and its number) of each band of each fragment."""
+    slices = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: key(F.slice("signature", b * rows + 1, F.lit(rows)), b))
+    return signed.where(F.col("n") > 0).select("frag_id", F.explode(slices).alias("band"))
 
 
 def band_shape(threshold: float, seeds: int = 128, recall: float = 0.99) -> tuple[int, int]:
@@ -95,18 +102,16 @@ def band_shape(threshold: float, seeds: int = 128, recall: float = 0.99) -> tupl
     return seeds // rows, rows
 
 
-def banded_candidates(signed: DataFrame, bands: int, rows: int) -> DataFrame:
+def banded_candidates(signed: DataFrame, bands: int, rows: int, key: Callable[[Column, Column], Column] = F.xxhash64) -> DataFrame:
     """left_id < right_id of fragments that share a band of their signatures."""
-    slices = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.slice("signature", b * rows + 1, F.lit(rows)), b))
-    keyed = signed.where(F.col("n") > 0).select("frag_id", F.explode(slices).alias("band"))
+    keyed = _bands(signed, bands, rows, key)
     a, b = (keyed.select("band", F.col("frag_id").alias(name)) for name in ("left_id", "right_id"))
     return a.join(b, "band").where("left_id < right_id").select("left_id", "right_id").distinct()
 
 
-def bucket_occupancy(signed: DataFrame, bands: int, rows: int) -> DataFrame:
+def bucket_occupancy(signed: DataFrame, bands: int, rows: int, key: Callable[[Column, Column], Column] = F.xxhash64) -> DataFrame:
     """entries, buckets, p99 and max size of the buckets of all bands: whether banding is selective."""
-    slices = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.slice("signature", b * rows + 1, F.lit(rows)), b))
-    sizes = signed.where(F.col("n") > 0).select(F.explode(slices).alias("band")).groupBy("band").count()
+    sizes = _bands(signed, bands, rows, key).groupBy("band").count()
     return sizes.agg(F.coalesce(F.sum("count"), F.lit(0)).cast("long").alias("entries"), F.count("*").alias("buckets"), F.percentile("count", F.lit(0.99)).alias("p99"), F.max("count").alias("largest"))
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Config, ContainmentConfig, ScanConfig
-from .functions.globs import glob_to_regex, in_scope
-from .functions.measures import balance, containment, has_file_directive, has_inline_directive, line_iou, source_head
+from .functions.globs import in_scope
+from .functions.measures import balance, containment, distinct_lines, has_file_directive, has_inline_directive, line_iou, source_head
 from .operators import containment as runs_of
 from .operators import pairs as pairs_of
 from .operators.components import clusters, cut
@@ -17,9 +17,11 @@ from .plans.scan import scan_files
 from .report import format_json, format_sarif
 from .sources.pyast import python_fragments
 from .sources.textfrag import fingerprints, reportable, shingle_lines, text_fragments, text_shingles
-from .stats import scan_statistics
+from .stats import pair_counts, scan_statistics
 
 SCAN, CONTAINMENT = ScanConfig(), ContainmentConfig(enabled=True)
+#: Settings in which the similar tier decides about the test tables' texts, most of which are short.
+LOOSE = ScanConfig(threshold=0.6, min_lines=3)
 #: The scope query's patterns over the paths of pages.
 INCLUDE, EXCLUDE = ("**/en/*", "**/de/*", "fr/**"), ("**/5*", "**/*7")
 FOCUS_SOURCE = "src3"
@@ -52,13 +54,13 @@ def _prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(reportable(fingerprints(_fragments(spark, sf_dir))).select("frag_id", "source", "exec_lines", "exec_stmts", "root_hash", "shingles", "n"))
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut(pairs_of.accepted_pairs(_prints(spark, sf_dir), SCAN))
+def _pairs(spark: SparkSession, sf_dir: str, config: ScanConfig = SCAN, prints: DataFrame | None = None) -> DataFrame:
+    return cut(pairs_of.accepted_pairs(_prints(spark, sf_dir) if prints is None else prints, config))
 
 
-def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _findings(spark: SparkSession, sf_dir: str, prints: DataFrame | None = None) -> DataFrame:
     fragments = _fragments(spark, sf_dir)
-    return cut(runs_of.find_containments(fragments, _prints(spark, sf_dir), cut(shingle_lines(fragments)), CONTAINMENT))
+    return cut(runs_of.find_containments(fragments, _prints(spark, sf_dir) if prints is None else prints, cut(shingle_lines(fragments)), CONTAINMENT))
 
 
 # The SQL of the same relations. Shingles are compared as text there, as hashes here.
@@ -76,7 +78,14 @@ sh AS (SELECT DISTINCT frag_id, array_to_string(words[i : i + 4], ' ') AS s FROM
 fp AS (SELECT z.frag_id, any_value(z.source) AS source, any_value(z.exec_lines) AS exec_lines, any_value(z.root_hash) AS root_hash, count(*) AS n FROM sized z JOIN sh USING (frag_id) GROUP BY z.frag_id)"""
 EXACT = SHINGLES + """,
 exact AS (SELECT a.frag_id AS left_id, b.frag_id AS right_id, least(a.exec_lines, b.exec_lines) AS lines FROM fp a JOIN fp b ON a.root_hash = b.root_hash AND a.frag_id < b.frag_id)"""
-JACCARD = EXACT + """,
+
+
+def _jaccard(threshold: str, exact: int, similar: int) -> str:
+    """Pairs at a threshold, and those that the tiers with these floors accept."""
+    return _JACCARD.replace("0.85", threshold).replace("lines >= 5", f"lines >= {exact}").replace("lines >= 9", f"lines >= {similar}")
+
+
+_JACCARD = EXACT + """,
 jac AS (
     SELECT left_id, right_id, shared, a.n AS n_left, b.n AS n_right, least(a.exec_lines, b.exec_lines) AS lines, shared / (a.n + b.n - shared) AS similarity
     FROM (SELECT x.frag_id AS left_id, y.frag_id AS right_id, count(*) AS shared FROM sh x JOIN sh y ON x.s = y.s AND x.frag_id < y.frag_id GROUP BY 1, 2) o
@@ -88,7 +97,8 @@ pairs AS (
     UNION ALL
     SELECT left_id, right_id, similarity, 'similar' FROM jac j WHERE lines >= 9 AND NOT EXISTS (SELECT 1 FROM exact e WHERE e.left_id = j.left_id AND e.right_id = j.right_id)
 )"""
-CLUSTERS = JACCARD + """,
+JACCARD, LOOSE_PAIRS = _jaccard("0.85", 5, 9), _jaccard("0.6", 3, 3)
+CLUSTERS = LOOSE_PAIRS + """,
 edges AS (SELECT left_id AS a, right_id AS b FROM pairs UNION SELECT right_id, left_id FROM pairs),
 reach AS (SELECT a AS node, a AS seen FROM edges UNION SELECT r.node, e.b FROM reach r JOIN edges e ON r.seen = e.a),
 members AS (SELECT min(seen) AS cluster_id, node AS frag_id FROM reach GROUP BY node)"""
@@ -133,15 +143,15 @@ findings AS (
 @query(f"WITH {FRAG} SELECT frag_id, exec_lines::INT AS exec_lines, len(list_distinct(lines))::INT AS distinct_lines, len(words)::INT AS n_words FROM sized")
 def line_measure(spark, sf_dir):
     """Executable lines, distinct lines and words of each text."""
-    return _fragments(spark, sf_dir).select("frag_id", "exec_lines", F.size(F.array_distinct("lines")).alias("distinct_lines"), F.size("words").alias("n_words"))
+    return _fragments(spark, sf_dir).select("frag_id", "exec_lines", distinct_lines(F.array("lines")).alias("distinct_lines"), F.size("words").alias("n_words"))
 
 
-def _scope_sql() -> str:
-    any_of = lambda globs: "(" + " OR ".join(f"regexp_matches(path, '{glob_to_regex(g)}')" for g in globs) + ")"
-    return f"SELECT page_id, path, {any_of(INCLUDE)} AND NOT {any_of(EXCLUDE)} AS in_scope FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://[^/]*/|[?#].*$', '', 'g') AS path FROM pages)"
-
-
-@query(_scope_sql())
+@query(
+    """SELECT page_id, path,
+        (regexp_matches(path, '^(.*/)?en/[^/]*$') OR regexp_matches(path, '^(.*/)?de/[^/]*$') OR starts_with(path, 'fr/') AND length(path) > 3)
+        AND NOT (starts_with(parse_filename(path), '5') OR ends_with(path, '7')) AS in_scope
+    FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://[^/]*/|[?#].*$', '', 'g') AS path FROM pages)"""
+)
 def glob_scope(spark, sf_dir):
     """Include and exclude patterns over paths."""
     paths = _table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", r"^[a-z]+://[^/]*/|[?#].*$", "").alias("path"))
@@ -192,10 +202,10 @@ def jaccard_pairs(spark, sf_dir):
     return pairs_of.similar_pairs(_prints(spark, sf_dir), SCAN.threshold).select("left_id", "right_id", "shared", "n_left", "n_right", F.round("similarity", 9).alias("similarity"))
 
 
-@query(f"WITH {JACCARD} SELECT left_id, right_id, round(similarity, 9) AS similarity FROM pairs WHERE tier = 'similar'")
+@query(f"WITH {LOOSE_PAIRS} SELECT left_id, right_id, round(similarity, 9) AS similarity FROM pairs WHERE tier = 'similar'")
 def similar_tier_pairs(spark, sf_dir):
     """Fuzzy pairs that are no exact candidates and pass the similar tier."""
-    return _pairs(spark, sf_dir).where("tier = 'similar'").select("left_id", "right_id", F.round("similarity", 9).alias("similarity"))
+    return _pairs(spark, sf_dir, LOOSE).where("tier = 'similar'").select("left_id", "right_id", F.round("similarity", 9).alias("similarity"))
 
 
 @query(f"WITH {JACCARD} SELECT left_id, right_id, round(similarity, 9) AS similarity, tier, row_number() OVER (ORDER BY similarity DESC, left_id, right_id) AS pair_rank FROM pairs")
@@ -205,10 +215,10 @@ def pair_union_ranked(spark, sf_dir):
     return ranked.select("left_id", "right_id", F.round("similarity", 9).alias("similarity"), "tier", "pair_rank")
 
 
-@query(f"WITH {JACCARD} SELECT left_id, right_id, round(similarity, 9) AS similarity, tier FROM pairs ORDER BY pairs.similarity DESC, left_id, right_id LIMIT 50")
+@query(f"WITH {LOOSE_PAIRS} SELECT left_id, right_id, round(similarity, 9) AS similarity, tier FROM pairs ORDER BY pairs.similarity DESC, left_id, right_id LIMIT 50")
 def top_k_pairs(spark, sf_dir):
     """The first of the ranked pairs (O5): here the limit is what is asked for."""
-    return pairs_of.ranked(_pairs(spark, sf_dir), 50).select("left_id", "right_id", F.round("similarity", 9).alias("similarity"), "tier")
+    return pairs_of.ranked(_pairs(spark, sf_dir, LOOSE), 50).select("left_id", "right_id", F.round("similarity", 9).alias("similarity"), "tier")
 
 
 @query(
@@ -219,17 +229,23 @@ def top_k_pairs(spark, sf_dir):
 )
 def md5_minhash_bands(spark, sf_dir):
     """Three bands of two MinHash slots each, with a hash that any engine has."""
-    texts = text_shingles(_fragments(spark, sf_dir))
-    slots = texts.groupBy("frag_id").agg(*[F.min(F.md5(F.concat(F.lit(f"{k}:"), "s"))).alias(f"m{k}") for k in range(1, 7)])
-    keyed = slots.select("frag_id", F.posexplode(F.array(*[F.concat(f"m{k}", f"m{k + 1}") for k in (1, 3, 5)])).alias("band", "key"))
-    a, b = (keyed.select("band", "key", F.col("frag_id").alias(name)) for name in ("left_id", "right_id"))
-    return a.join(b, ["band", "key"]).where("left_id < right_id").select("left_id", "right_id").distinct()
+    return pairs_of.banded_candidates(_md5_signed(spark, sf_dir, 6), 3, 2, _md5_key)
+
+
+def _md5_signed(spark, sf_dir, seeds: int) -> DataFrame:
+    """Signatures of the texts' shingles by the engine's operator, with a hash that any engine has."""
+    texts = text_shingles(_fragments(spark, sf_dir)).groupBy("frag_id").agg(F.collect_set("s").alias("shingles"), F.count("*").alias("n"))
+    return pairs_of.minhash_signature(texts, seeds, lambda x, s: F.md5(F.concat(s.cast("string"), F.lit(":"), x)))
+
+
+def _md5_key(part, band):
+    return F.concat(band.cast("string"), F.lit(":"), F.array_join(part, ""))
 
 
 @query(f"WITH RECURSIVE {CLUSTERS} SELECT cluster_id, frag_id FROM members")
 def clone_clusters(spark, sf_dir):
     """Connected components of accepted pairs (A2)."""
-    return clusters(_pairs(spark, sf_dir))[0]
+    return clusters(_pairs(spark, sf_dir, LOOSE))[0]
 
 
 @query(
@@ -239,7 +255,7 @@ def clone_clusters(spark, sf_dir):
 )
 def cluster_summary(spark, sf_dir):
     """Size, lowest similarity and weakest tier of each cluster (A3, O3)."""
-    return clusters(_pairs(spark, sf_dir))[1].select("cluster_id", "size", F.round("min_similarity", 9).alias("min_similarity"), "tier")
+    return clusters(_pairs(spark, sf_dir, LOOSE))[1].select("cluster_id", "size", F.round("min_similarity", 9).alias("min_similarity"), "tier")
 
 
 def _runs(spark, sf_dir, role):
@@ -293,21 +309,21 @@ def containment_findings(spark, sf_dir):
 
 
 @query(
-    """WITH spans AS (SELECT event_id AS frag_id, user_id, event_id % 13 AS s, event_id % 13 + event_id % 7 AS e FROM events)
-    SELECT a.frag_id AS contained_id, b.frag_id AS container_id FROM spans a JOIN spans b ON a.user_id = b.user_id AND a.frag_id < b.frag_id
-    WHERE NOT (a.s >= b.s AND a.e <= b.e OR b.s >= a.s AND b.e <= a.e)"""
+    f"""WITH {LOOSE_PAIRS}, spans AS (SELECT frag_id, frag_id % 2 AS file, frag_id % 13 AS s, frag_id % 13 + frag_id % 7 AS e FROM frag)
+    SELECT left_id AS contained_id, right_id AS container_id FROM pairs JOIN spans a ON a.frag_id = left_id JOIN spans b ON b.frag_id = right_id
+    WHERE a.file <> b.file OR NOT (a.s >= b.s AND a.e <= b.e OR b.s >= a.s AND b.e <= a.e)"""
 )
 def nested_filter(spark, sf_dir):
-    """Pairs whose spans do not enclose one another (F12), over made-up spans in the file of a user's events."""
-    spans = _table(spark, sf_dir, "events").selectExpr("event_id as frag_id", "user_id as file_path", "event_id % 13 as byte_start", "event_id % 13 + event_id % 7 as byte_end")
-    a, b = spans.select("file_path", F.col("frag_id").alias("contained_id")), spans.select("file_path", F.col("frag_id").alias("container_id"))
-    return runs_of.drop_nested(a.join(b, "file_path").where("contained_id < container_id").select("contained_id", "container_id"), spans)
+    """Findings whose spans do not enclose one another (F12): the similar pairs, over made-up spans in two files."""
+    spans = _fragments(spark, sf_dir).selectExpr("frag_id", "frag_id % 2 as file_path", "frag_id % 13 as byte_start", "frag_id % 13 + frag_id % 7 as byte_end")
+    return runs_of.drop_nested(_pairs(spark, sf_dir, LOOSE).select(F.col("left_id").alias("contained_id"), F.col("right_id").alias("container_id")), spans)
 
 
 @query(f"""WITH {FINDINGS.replace(SHINGLES, JACCARD)} SELECT left_id, right_id, tier FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM findings f WHERE least(contained_id, container_id) = left_id AND greatest(contained_id, container_id) = right_id)""")
 def superseded_pairs(spark, sf_dir):
     """Accepted pairs without those that a containment describes better."""
-    return pairs_of.not_superseded(_pairs(spark, sf_dir), _findings(spark, sf_dir)).select("left_id", "right_id", "tier")
+    prints = _prints(spark, sf_dir)
+    return pairs_of.not_superseded(_pairs(spark, sf_dir, SCAN, prints), _findings(spark, sf_dir, prints)).select("left_id", "right_id", "tier")
 
 
 @query(f"WITH {JACCARD} SELECT left_id, right_id, tier FROM pairs WHERE left_id IN (SELECT frag_id FROM fp WHERE source = '{FOCUS_SOURCE}') OR right_id IN (SELECT frag_id FROM fp WHERE source = '{FOCUS_SOURCE}')")
@@ -335,34 +351,29 @@ def benchmark_contamination(spark, sf_dir):
 
 
 @query(
-    f"""WITH {JACCARD}, ends AS (SELECT left_id AS frag_id FROM pairs UNION SELECT right_id FROM pairs)
-    SELECT (SELECT count(*) FROM documents) AS files_scanned, (SELECT count(*) FROM fp) AS fragments, (SELECT count(*) FROM pairs) AS clone_pairs, 0::BIGINT AS containment_findings,
+    f"""WITH {FINDINGS.replace(SHINGLES, JACCARD)}, ends AS (SELECT left_id AS frag_id FROM pairs UNION SELECT right_id FROM pairs)
+    SELECT (SELECT count(*) FROM documents) AS files_scanned, (SELECT count(*) FROM fp) AS fragments, (SELECT count(*) FROM pairs) AS clone_pairs, (SELECT count(*) FROM findings) AS containment_findings,
         (SELECT count(*) FROM ends) AS fragments_in_clones, (SELECT count(DISTINCT source) FROM ends JOIN fp USING (frag_id)) AS files_with_clones,
         (SELECT round(min(similarity), 9) FROM pairs) AS min_similarity, (SELECT round(max(similarity), 9) FROM pairs) AS max_similarity, (SELECT round(avg(similarity), 9) FROM pairs) AS avg_similarity,
         coalesce(round(100 * (SELECT count(*) FROM ends) / nullif((SELECT count(*) FROM fp), 0), 9), 0) AS percent_in_clones"""
 )
 def scan_stats(spark, sf_dir):
     """The scan's counts and similarities in one row."""
-    prints, pairs = _prints(spark, sf_dir), _pairs(spark, sf_dir)
-    row = scan_statistics(prints.withColumn("file_path", F.col("source")), pairs, None, _table(spark, sf_dir, "documents").select(F.count("*").alias("files_scanned")))
+    prints = _prints(spark, sf_dir)
+    row = scan_statistics(prints.withColumn("file_path", F.col("source")), _pairs(spark, sf_dir, SCAN, prints), _findings(spark, sf_dir, prints), _table(spark, sf_dir, "documents").select(F.count("*").alias("files_scanned")))
     return row.select("files_scanned", "fragments", "clone_pairs", "containment_findings", "fragments_in_clones", "files_with_clones", *[F.round(c, 9).alias(c) for c in ("min_similarity", "max_similarity", "avg_similarity", "percent_in_clones")])
 
 
-@query(f"WITH {JACCARD} SELECT count(*) FILTER (WHERE tier = 'exact') AS exact_pairs, count(*) FILTER (WHERE tier = 'similar') AS similar_pairs FROM pairs")
+@query(f"WITH {LOOSE_PAIRS} SELECT count(*) FILTER (WHERE tier = 'exact') AS exact_pairs, count(*) FILTER (WHERE tier = 'similar') AS similar_pairs FROM pairs")
 def tier_histogram(spark, sf_dir):
     """Pairs by tier."""
-    return _pairs(spark, sf_dir).agg(F.count_if(F.col("tier") == "exact").alias("exact_pairs"), F.count_if(F.col("tier") == "similar").alias("similar_pairs"))
+    return _pairs(spark, sf_dir, LOOSE).agg(*pair_counts()).select("exact_pairs", "similar_pairs")
 
 
-@query(f"WITH {JACCARD} SELECT count(*) FILTER (WHERE similarity = 1) AS identical, count(*) FILTER (WHERE similarity < 1 AND similarity >= 0.9) AS high, count(*) FILTER (WHERE similarity < 0.9) AS rest FROM pairs")
+@query(f"WITH {LOOSE_PAIRS} SELECT count(*) FILTER (WHERE similarity = 1) AS identical, count(*) FILTER (WHERE similarity < 1 AND similarity >= 0.9) AS high, count(*) FILTER (WHERE similarity < 0.9) AS rest FROM pairs")
 def score_histogram(spark, sf_dir):
     """Pairs by score (A7): an identical fingerprint need not be of the exact tier."""
-    return scan_score_counts(_pairs(spark, sf_dir))
-
-
-def scan_score_counts(pairs: DataFrame) -> DataFrame:
-    s = F.col("similarity")
-    return pairs.agg(F.count_if(s == 1).alias("identical"), F.count_if((s < 1) & (s >= 0.9)).alias("high"), F.count_if(s < 0.9).alias("rest"))
+    return _pairs(spark, sf_dir, LOOSE).agg(*pair_counts()).select("identical", "high", "rest")
 
 
 @query(
@@ -373,23 +384,23 @@ def scan_score_counts(pairs: DataFrame) -> DataFrame:
 )
 def file_overview_counts(spark, sf_dir):
     """Fragments with findings for each source."""
-    prints = _prints(spark, sf_dir).withColumn("file_path", F.col("source"))
-    return file_overview(prints, _pairs(spark, sf_dir), _findings(spark, sf_dir)).select("file_path", "clone_count", "containment_count")
+    prints = _prints(spark, sf_dir)
+    return file_overview(prints.withColumn("file_path", F.col("source")), _pairs(spark, sf_dir, SCAN, prints), _findings(spark, sf_dir, prints)).select("file_path", "clone_count", "containment_count")
 
 
 _BOTH_WAYS = "ways AS (SELECT left_id AS frag_id, right_id AS partner_id, * FROM pairs UNION ALL SELECT right_id, left_id, * FROM pairs)"
 
 
-@query(f"WITH {JACCARD}, {_BOTH_WAYS} SELECT frag_id, partner_id, round(similarity, 9) AS similarity, tier FROM ways QUALIFY row_number() OVER (PARTITION BY frag_id ORDER BY similarity DESC, left_id DESC, right_id DESC) = 1")
+@query(f"WITH {LOOSE_PAIRS}, {_BOTH_WAYS} SELECT frag_id, partner_id, round(similarity, 9) AS similarity, tier FROM ways QUALIFY row_number() OVER (PARTITION BY frag_id ORDER BY similarity DESC, left_id DESC, right_id DESC) = 1")
 def best_partner(spark, sf_dir):
     """Each fragment's best partner, of equals the last in the order of pairs."""
-    return best_partners(_pairs(spark, sf_dir)).withColumn("similarity", F.round("similarity", 9))
+    return best_partners(_pairs(spark, sf_dir, LOOSE)).withColumn("similarity", F.round("similarity", 9))
 
 
-@query(f"WITH {JACCARD}, {_BOTH_WAYS} SELECT frag_id, string_agg(partner_id::VARCHAR, ',' ORDER BY similarity DESC, partner_id) AS partners FROM ways GROUP BY 1")
+@query(f"WITH {LOOSE_PAIRS}, {_BOTH_WAYS} SELECT frag_id, string_agg(partner_id::VARCHAR, ',' ORDER BY similarity DESC, partner_id) AS partners FROM ways GROUP BY 1")
 def partner_list(spark, sf_dir):
     """All partners of each fragment, best first (K4)."""
-    return partner_lists(_pairs(spark, sf_dir)).select("frag_id", F.array_join("partners.partner_id", ",").alias("partners"))
+    return partner_lists(_pairs(spark, sf_dir, LOOSE)).select("frag_id", F.array_join("partners.partner_id", ",").alias("partners"))
 
 
 @query(
@@ -398,14 +409,11 @@ def partner_list(spark, sf_dir):
 )
 def bucket_occupancy(spark, sf_dir):
     """Sizes of four bands' buckets."""
-    texts = text_shingles(_fragments(spark, sf_dir))
-    keys = texts.groupBy("frag_id").agg(*[F.min(F.md5(F.concat(F.lit(f"{k}:"), "s"))).alias(f"m{k}") for k in range(1, 5)])
-    sizes = keys.select(F.posexplode(F.array(*[f"m{k}" for k in range(1, 5)])).alias("band", "key")).groupBy("band", "key").agg(F.count("*").alias("c"))
-    return sizes.agg(F.sum("c").alias("entries"), F.count("*").alias("buckets"), F.round(F.percentile("c", F.lit(0.99)), 9).alias("p99"), F.max("c").alias("largest"))
+    return pairs_of.bucket_occupancy(_md5_signed(spark, sf_dir, 4), 4, 1, _md5_key).withColumn("p99", F.round("p99", 9))
 
 
-_TRUTH = "SELECT l_orderkey % 500 AS source_file, l_linenumber * 10 AS source_start, l_linenumber * 10 + 8 AS source_end, l_partkey % 400 AS target_file, 5 AS target_start, 5 + CAST(l_quantity AS INT) AS target_end, l_returnflag AS tier, concat(l_orderkey, ':', l_linenumber, ':', l_partkey, ':', CAST(round(l_extendedprice * 100) AS BIGINT)) AS entry_id FROM lineitem WHERE l_linenumber <= 2"
-_FOUND = "SELECT l_partkey % 400 AS left_file, 7 AS left_start, 5 + CAST(l_quantity AS INT) AS left_end, l_orderkey % 500 AS right_file, l_linenumber * 10 + l_suppkey % 5 AS right_start, l_linenumber * 10 + 8 AS right_end, concat(l_orderkey, ':', l_linenumber, ':', l_partkey, ':', CAST(round(l_extendedprice * 100) AS BIGINT)) AS pair_id FROM lineitem WHERE l_linenumber % 2 = 0 OR l_suppkey % 3 = 0"
+_TRUTH = "SELECT l_orderkey % 500 AS source_file, l_linenumber * 10 AS source_start, l_linenumber * 10 + 8 AS source_end, l_partkey % 400 AS target_file, 5 AS target_start, 5 + CAST(l_quantity AS INT) AS target_end, l_returnflag AS tier, concat(l_orderkey, ':', l_linenumber, ':', l_partkey, ':', CAST(round(l_extendedprice * 100) AS BIGINT)) AS entry_id FROM lineitem"
+_FOUND = "SELECT l_partkey % 400 AS left_file, 7 AS left_start, 5 + CAST(l_quantity AS INT) AS left_end, l_orderkey % 500 AS right_file, l_linenumber * 10 + l_suppkey % 5 AS right_start, l_linenumber * 10 + 8 AS right_end, concat(l_orderkey, ':', l_linenumber, ':', l_partkey, ':', CAST(round(l_extendedprice * 100) AS BIGINT)) AS pair_id FROM lineitem"
 
 
 def _match_sql() -> str:
@@ -516,6 +524,37 @@ def ast_suggestions(spark, sf_dir):
     return _named(report, report.suggestions, "left", "right").select("left_name", "right_name", "score", "hole_count")
 
 
+# Pairs of functions that differ in the number of m of nine calls; m and the tree's parts give score and similarity.
+_SITES = "def f_{k}(rows_{k}):\n    total = 0\n" + "".join(f"    total += work_{i}({{v{i}}}, rows_{{k}})\n" for i in range(9)) + "    return total\n"
+
+
+def _site_sources(spark, sf_dir) -> DataFrame:
+    k, c = F.col("p_partkey").cast("string"), F.floor(F.col("p_partkey") / 2)
+    text = F.replace(F.lit(_SITES), F.lit("{k}"), k)
+    for i in range(9):
+        text = F.replace(text, F.lit(f"{{v{i}}}"), F.when(F.lit(i) < c % 9, k).otherwise(c.cast("string")))
+    rows = _table(spark, sf_dir, "part")
+    return rows.select(F.concat(F.lit("src/f"), F.lpad(k, 12, "0"), F.lit(".py")).alias("file_path"), F.encode(text, "UTF-8").alias("source"), F.lit("ok").alias("status"))
+
+
+#: A call and the addition that holds it tell m of nine apart; nine statements, the block and the function never do.
+_SITE_PAIRS = "(SELECT concat('f_', a.p_partkey) AS left_name, concat('f_', b.p_partkey) AS right_name, a.p_partkey // 2 % 9 AS m FROM part a JOIN part b ON a.p_partkey // 2 = b.p_partkey // 2 AND a.p_partkey < b.p_partkey)"
+
+
+@query(f"SELECT left_name, right_name, round((29 - 2 * m) / (29 + 2 * m), 9) AS similarity, CASE WHEN m = 0 THEN 'exact' ELSE 'similar' END AS tier FROM {_SITE_PAIRS} WHERE (29 - 2 * m) / (29 + 2 * m) >= 0.5")
+def ast_similar_pairs(spark, sf_dir):
+    """Functions that are alike to different degrees (P9, P18, J2, J3, F7): m of nine numbers differ."""
+    report = scan_files(_site_sources(spark, sf_dir), Config().with_settings("scan", threshold=0.5))
+    return _named(report, report.pairs, "left", "right").select("left_name", "right_name", F.round("similarity", 9).alias("similarity"), "tier")
+
+
+@query(f"SELECT left_name, right_name, round((83 - m) / 83, 9) AS score, m::INT AS hole_count FROM {_SITE_PAIRS} WHERE m <= 3")
+def ast_holes(spark, sf_dir):
+    """Templates with a hole for each number that differs; those with too many are suppressed."""
+    report = scan_files(_site_sources(spark, sf_dir), Config().with_settings("scan", threshold=0.5).with_settings("suggest", enabled=True, max_holes=3))
+    return _named(report, report.suggestions, "left", "right").select("left_name", "right_name", F.round("score", 9).alias("score"), "hole_count")
+
+
 @query("SELECT concat('part_', s_suppkey) AS contained_name, concat('host_', s_suppkey) AS container_name, 'prefix' AS role, 13::INT AS start_line, 22::INT AS end_line, 6::INT AS statement_count, 1.0::DOUBLE AS score, 'exact' AS tier FROM supplier")
 def ast_containment(spark, sf_dir):
     """Functions that are a leading run of another's statements."""
@@ -523,6 +562,16 @@ def ast_containment(spark, sf_dir):
     return _named(report, report.containments, "contained", "container").select("contained_name", "container_name", "role", "start_line", "end_line", "statement_count", "score", "tier")
 
 
+_AT_END = "def part_{k}(rows_{k}):\n" + _BODY + "\ndef host_{k}(rows_{k}, total):\n" + "".join(f"    step_{i} = call_{i}({{c}}, total, {i})\n" for i in range(5)) + _BODY
+
+
+@query("SELECT concat('part_', s_suppkey) AS contained_name, concat('host_', s_suppkey) AS container_name, 'suffix' AS role, 18::INT AS start_line, 27::INT AS end_line, 6::INT AS statement_count, 1.0::DOUBLE AS score, 'exact' AS tier FROM supplier")
+def ast_suffix_containment(spark, sf_dir):
+    """Functions that are a trailing run of another's statements, whose names are numbered anew."""
+    report = scan_files(_sources(_table(spark, sf_dir, "supplier"), "s_suppkey", _AT_END, 1), Config().with_settings("containment", enabled=True, min_fragment_lines=8))
+    return _named(report, report.containments, "contained", "container").select("contained_name", "container_name", "role", "start_line", "end_line", "statement_count", "score", "tier")
+
+
 @query()
 def report_json(spark, sf_dir):
     """The report of a scan as JSON, one row (K2)."""
