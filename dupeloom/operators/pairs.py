@@ -19,10 +19,23 @@ from .components import cut
 FREQUENT = 24
 
 
+def _sides(rows: DataFrame, key: str, id_: str = "frag_id", *more: str) -> DataFrame:
+    """left_id < right_id (and left_, right_ of ``more``) of rows with one key; if rows are marked ``fresh``, with a fresh side."""
+    marked = "fresh" in rows.columns
+    side = lambda s, part: part.select(key, F.col(id_).alias(f"{s}_id"), *[F.col(c).alias(f"{s}_{c}") for c in more])
+    columns = ["left_id", "right_id", *[f"{s}_{c}" for s in ("left", "right") for c in more]]
+    if not marked:
+        return side("left", rows).join(side("right", rows), key).where("left_id < right_id").select(*columns)
+    new, old = rows.where("fresh"), rows.where("not fresh")
+    among = side("left", new).join(side("right", new), key).where("left_id < right_id")
+    first = side("left", new).join(side("right", old), key).where("left_id < right_id")
+    last = side("left", old).join(side("right", new), key).where("left_id < right_id")
+    return among.select(*columns).unionByName(first.select(*columns)).unionByName(last.select(*columns))
+
+
 def exact_candidates(prints: DataFrame) -> DataFrame:
-    """left_id < right_id of fragments with equal root hashes."""
-    a, b = (prints.select("root_hash", F.col("frag_id").alias(name)) for name in ("left_id", "right_id"))
-    return a.join(b, "root_hash").where("left_id < right_id").select("left_id", "right_id")
+    """left_id < right_id of fragments with equal root hashes; with a column ``fresh``, those with a fresh side."""
+    return _sides(prints, "root_hash")
 
 
 def classes(prints: DataFrame) -> DataFrame:
@@ -36,9 +49,12 @@ def classes(prints: DataFrame) -> DataFrame:
 
 def expanded(links: DataFrame, members: DataFrame) -> DataFrame:
     """Links (left_id, right_id, ...) between representatives as pairs of all members, the smaller id on the left."""
-    a, b = (members.select(F.col("rep_id").alias(f"{s}_id"), F.col("frag_id").alias(f"{s}_member")) for s in ("left", "right"))
+    fresh = ["fresh"] if "fresh" in members.columns else []
+    a, b = (members.select(F.col("rep_id").alias(f"{s}_id"), F.col("frag_id").alias(f"{s}_member"), *[F.col(c).alias(f"{s}_{c}") for c in fresh]) for s in ("left", "right"))
     met = links.join(a, "left_id").join(b, "right_id")
     rest = [c for c in links.columns if c not in ("left_id", "right_id")]
+    if "fresh" in members.columns:
+        rest.append((F.col("left_fresh") | F.col("right_fresh")).alias("fresh"))
     return met.select(F.least("left_member", "right_member").alias("left_id"), F.greatest("left_member", "right_member").alias("right_id"), *rest)
 
 
@@ -64,15 +80,16 @@ def similar_pairs(prints: DataFrame, threshold: float) -> DataFrame:
     """left_id < right_id, shared, n_left, n_right, similarity: all pairs of Jaccard similarity ``threshold`` (above 0) or more.
 
     Exact, without approximation: sets that are so similar share one of their first (1 - threshold) * n + 1 hashes
-    in any common order.  With rare hashes first, a phrase that many texts share makes no candidates.
+    in any common order.  With rare hashes first, a phrase that many texts share makes no candidates.  With a column
+    ``fresh``, pairs with a fresh side alone.
     """
     if not threshold > 0:
         raise ValueError("threshold must be above 0")
-    ordered = by_rarity(prints.select("frag_id", "shingles", "n"))
-    entries = ordered.select("frag_id", "n", F.explode(F.slice("ordered", F.lit(1), prefix_length(F.col("n"), threshold))).alias("shingle"))
-    a, b = (entries.select("shingle", F.col("frag_id").alias(f"{side}_id"), F.col("n").alias(f"n_{side}")) for side in ("left", "right"))
-    sizes = F.least("n_left", "n_right") >= F.greatest("n_left", "n_right") * F.lit(threshold) - 1e-9
-    candidates = a.join(b, "shingle").where((F.col("left_id") < F.col("right_id")) & sizes).select("left_id", "right_id").distinct()
+    marked = ["fresh"] if "fresh" in prints.columns else []
+    ordered = by_rarity(prints.select("frag_id", "shingles", "n", *marked))
+    entries = ordered.select("frag_id", "n", *marked, F.explode(F.slice("ordered", F.lit(1), prefix_length(F.col("n"), threshold))).alias("shingle"))
+    sizes = F.least("left_n", "right_n") >= F.greatest("left_n", "right_n") * F.lit(threshold) - 1e-9
+    candidates = _sides(entries, "shingle", "frag_id", "n").where(sizes).select("left_id", "right_id").distinct()
     return scored(candidates, prints).where(F.col("similarity") >= threshold)
 
 
@@ -127,12 +144,17 @@ def accepted_pairs(prints: DataFrame, config: ScanConfig, method: str = "exact")
     exact = exact_candidates(prints)
     members = cut(classes(prints))
     heads = prints.join(members.where("frag_id = rep_id").select("frag_id"), "frag_id", "left_semi")
+    if "fresh" in prints.columns:  # a class with a fresh member is fresh
+        members = cut(members.join(prints.select("frag_id", "fresh"), "frag_id"))
+        heads = heads.drop("fresh").join(members.groupBy(F.col("rep_id").alias("frag_id")).agg(F.max("fresh").alias("fresh")), "frag_id")
     if method == "minhash":
         bands, rows = band_shape(config.threshold)
         fuzzy = scored(banded_candidates(minhash_signature(heads, bands * rows), bands, rows), heads).where(F.col("similarity") >= config.threshold)
     else:
         fuzzy = similar_pairs(heads, config.threshold)
     fuzzy = expanded(cut(fuzzy.select("left_id", "right_id", "similarity")), members)
+    if "fresh" in prints.columns:
+        fuzzy = fuzzy.where("fresh").drop("fresh")
     both = exact.select("left_id", "right_id", F.lit(1.0).alias("similarity"), F.lit(True).alias("same")).unionByName(fuzzy.withColumn("same", F.lit(False)))
     a, b = (sizes.select(F.col("frag_id").alias(f"{s}_id"), F.col("exec_lines").alias(f"{s}_lines"), F.col("exec_stmts").alias(f"{s}_stmts")) for s in ("left", "right"))
     sized = both.join(a, "left_id").join(b, "right_id")

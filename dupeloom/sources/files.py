@@ -63,10 +63,12 @@ def discover_files(root: str | Path, scan: ScanConfig | None = None) -> list[str
     return sorted(found)
 
 
-def read_files(spark: SparkSession, path: str | Path | Iterable[str], scan: ScanConfig | None = None, suppress: Iterable[str] = ()) -> DataFrame:
-    """file_path, source, status of files: 'ok', 'suppressed' (by glob; not read further), 'unreadable'.
+def read_files(spark: SparkSession, path: str | Path | Iterable[str], scan: ScanConfig | None = None, suppress: Iterable[str] = (), base: str | None = None) -> DataFrame:
+    """file_path, source, status of files: 'ok', 'suppressed' (by glob; not read), 'unreadable'.
 
-    A list of paths is read as it is; a folder is listed by Spark, and its paths, relative to it, are filtered in the plan.
+    A list of paths is read as it is, by tasks that must see the driver's files (a scan of this machine); for
+    ``suppress`` they count from ``base``, their common folder if there is none.  A folder, of any store that Spark reads, is listed by Spark, and
+    its paths, relative to it, are filtered in the plan.
     """
     scan = scan or ScanConfig()
     if isinstance(path, (str, Path)):
@@ -76,14 +78,21 @@ def read_files(spark: SparkSession, path: str | Path | Iterable[str], scan: Scan
         files = files.select(relative.alias("file_path"), "content").where(in_scope(F.col("file_path"), scan.include, scan.exclude))
         return files.select("file_path", F.when(~any_glob(F.col("file_path"), suppress), F.col("content")).alias("source"), F.when(any_glob(F.col("file_path"), suppress), "suppressed").otherwise("ok").alias("status"))
     paths = list(path)
-    listed = spark.createDataFrame([(p,) for p in paths], "file_path string").repartition(max(1, min(len(paths) or 1, 64)))
+    base = base or (os.path.commonpath([os.path.dirname(p) for p in paths]) if paths else "")
+    kept_out = [re.compile(glob_to_regex(g)) for g in suppress]
+    rows = [(p, any(g.match(os.path.relpath(p, base)) for g in kept_out)) for p in paths]
+    listed = spark.createDataFrame(rows, "file_path string, suppressed boolean").repartition(max(1, min(len(paths), 4 * spark.sparkContext.defaultParallelism)))
 
     def contents(batches):
         import pyarrow as pa
 
         for batch in batches:
             sources, status = [], []
-            for name in batch.column(0).to_pylist():
+            for name, suppressed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if suppressed:
+                    sources.append(None)
+                    status.append("suppressed")
+                    continue
                 try:
                     with open(name, "rb") as f:
                         sources.append(f.read())

@@ -1,6 +1,7 @@
 """Findings of changed texts against a growing corpus, as a stream (an extension: scans themselves are batches).
 
-Each micro-batch's fingerprints are joined with those written before, and then written too.
+Each micro-batch's fingerprints are compared with themselves and with those written before, and then written too;
+those written before are not compared with one another again.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import ScanConfig
-from ..operators.pairs import accepted_pairs, in_focus
+from ..operators.pairs import accepted_pairs
 from ..sources.textfrag import fingerprints, reportable, text_fragments
 
 
@@ -26,8 +27,7 @@ def duplicate_stream(docs: DataFrame, prints_path: str, pairs_path: str, checkpo
         new = reportable(fingerprints(text_fragments(rows))).select("frag_id", "exec_lines", "exec_stmts", "root_hash", "shingles", "n")
         new.write.mode("overwrite").parquet(f"{prints_path}/batch={number}")
         known = spark.read.parquet(prints_path).where(F.col("batch") <= number)
-        fresh = known.where(F.col("batch") == number).select("frag_id")
-        pairs = in_focus(accepted_pairs(known.drop("batch"), config), fresh)
+        pairs = accepted_pairs(known.withColumn("fresh", F.col("batch") == number).drop("batch"), config)
         pairs.write.mode("overwrite").parquet(f"{pairs_path}/batch={number}")
 
     return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

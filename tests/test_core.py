@@ -188,15 +188,16 @@ def test_templates():
     a, b = ([packed_tree(f["tree"]) for f in found(s)[1]][0] for s in (FIRST, FIRST.replace('"small"', '"large"').replace("    flush(kept)\n", "")))
     template = generalise(a, b)
     kinds = [h.kind for h in holes_of(template)]
-    assert kinds[0] == "literal" and "optional_block" in kinds
+    assert kinds[0] == "literal" and "optional" in kinds
     settings = Config().suggest
     quality = judge(template, a, b, settings)
     assert quality.hole_count == len(kinds) and 0 < quality.score < 1
     text = render(template, FIRST[1:].encode(), 1)
-    assert '$HOLE_0  # left: "small", right: "large"' in text and text.startswith("def gather(rows, limit):")
+    assert 'log(row.name, $HOLE_0)' in text and '\n# $HOLE_0, literal: "small" | "large"' in text and "nothing" not in text.split("# $HOLE_0")[0]
+    assert text.startswith("def gather(rows, limit):") and "optional: a return | nothing" in text
     assert not list(holes_of(generalise(a, a))) and judge(generalise(a, a), a, a, settings).score == 1
     node = lambda kind: [kind, None, 0, 0, []]
-    assert [hole_kind(node(x), node(y)) for x, y in (("identifier", "identifier"), ("integer", "string"), ("call", "call"), ("if_statement", "block"), ("call", "list"))] == ["identifier", "literal", "method_call", "statement_block", "expression"]
+    assert [hole_kind(node(x), node(y)) for x, y in (("identifier", "identifier"), ("integer", "string"), ("call", "call"), ("if_statement", "block"), ("call", "list"))] == ["name", "literal", "call", "statements", "expression"]
 
 
 def test_reports_and_command_line(spark, tmp_path, capsys):
@@ -226,3 +227,53 @@ def test_bands_find_pairs_at_the_threshold():
         bands, rows = band_shape(threshold)
         assert bands * rows <= 128 and 1 - (1 - threshold**rows) ** bands >= 0.99
     assert band_shape(0.9)[1] > band_shape(0.5)[1]
+
+
+def test_odd_sources_end_no_scan(spark, tmp_path):
+    body = "    x = 1\n    y = 2\n    z = 3\n"
+    tree(tmp_path, sum="def a(v):\n" + body + "    return " + "+".join(["v"] * 1500) + "\n", chain="def b(v):\n" + body + "    return v" + ".a()" * 600 + "\n", deep="def c(v):\n" + body + "    return " + "+".join(["v"] * 90_000) + "\n", good=FIRST)
+    (tmp_path / "returns.py").write_bytes(b"def d(v):\r" + body.replace("\n", "\r").encode() + b"    return v\r")
+    (tmp_path / "latin.py").write_bytes("# coding: latin-1\ndef e(v):\n    x = 'é'\n    y = 2\n    z = 3\n    return v\n".encode("latin-1"))
+    (tmp_path / "gone.py").symlink_to(tmp_path / "nowhere.py")
+    report = scan(spark, tmp_path, Config().with_settings("suggest", enabled=True))
+    rows = {r.name: r for r in report.fragments.collect()}
+    assert set(rows) == {"a", "b", "d", "e", "gather"}
+    assert [(rows[n].start_line, rows[n].end_line, rows[n].exec_lines) for n in "de"] == [(0, 4, 5), (1, 5, 5)]
+    assert rows["d"].source_text.endswith("return v") and "'é'" in rows["e"].source_text
+    assert report.left_out() == 1 and {r.status for r in report.files.collect()} == {"ok", "unreadable"}
+
+
+def test_one_files_failure_is_its_status(spark, monkeypatch):
+    from dupeloom.sources import pyast
+
+    files = spark.createDataFrame([("a.py", b"def f(a):\n    b = 1\n    c = 2\n    d = 3\n    return b\n", "ok"), ("b.py", None, "ok")], "file_path string, source binary, status string")
+    rows = pyast.python_fragments(files, Config()).collect()
+    assert {r.status for r in rows if r.file_path == "b.py"} == {"file:ok"} and [r.name for r in rows if r.name] == ["f"]
+    broken = Config().with_settings("suppress", directive=None)
+    object.__setattr__(broken, "normalization", None)  # whatever goes wrong inside
+    assert {r.status for r in pyast.python_fragments(files.where("file_path = 'a.py'"), broken).collect()} == {"file:failed, AttributeError"}
+
+
+def test_parameters_keep_their_order_and_signs():
+    body = "    return [a, b, c, d]\n" + "    e = 1\n" * 5
+    kinds = lambda source: [n[0] for n in packed_tree(found(source)[1][0]["tree"])[4][1][4]]
+    assert kinds("def f(a, /, b, *, c, **d):\n" + body) == ["identifier", "positional_separator", "identifier", "keyword_separator", "identifier", "dictionary_splat_pattern"]
+    assert kinds("def f(a, b=1, *c, d=2):\n" + body) == ["identifier", "default_parameter", "list_splat_pattern", "default_parameter"]
+    one, two = (found(f"def f({p}):\n" + body)[1][0]["root_hash"] for p in ("a, b, *c, d", "p, q, *r, s"))
+    assert one != two and found("def f(a, b, *c, d):\n" + body)[1][0]["root_hash"] == found("def f(p, q, *r, s):\n" + body.replace("a, b, c, d", "p, q, r, s"))[1][0]["root_hash"]
+    assert found("def f(a, b, c, d):\n" + body)[1][0]["root_hash"] != found("def f(a, b, /, c, d):\n" + body)[1][0]["root_hash"]
+
+
+def test_suppressed_files_are_not_read(spark, tmp_path):
+    root = tree(tmp_path, a=FIRST, gen__b=RENAMED)
+    (root / "gen" / "c.py").symlink_to(root / "nowhere.py")
+    report = scan(spark, root, Config().with_settings("suppress", files=("gen/**",)))
+    assert report.suppressed()["config_files"] == 2 and report.left_out() == 0 and report.fragments.count() == 1
+
+
+def test_ranks_follow_the_order(spark):
+    from dupeloom.operators.pairs import with_rank
+
+    rows = [(i * 7919 % 1000, i) for i in range(1000)]
+    got = with_rank(spark.createDataFrame(rows, "a int, b int").repartition(7), "a", "b").collect()
+    assert [(r.a, r.b) for r in sorted(got, key=lambda r: r["rank"])] == sorted(rows) and sorted(r["rank"] for r in got) == list(range(1, 1001))
