@@ -277,3 +277,34 @@ def test_ranks_follow_the_order(spark):
     rows = [(i * 7919 % 1000, i) for i in range(1000)]
     got = with_rank(spark.createDataFrame(rows, "a int, b int").repartition(7), "a", "b").collect()
     assert [(r.a, r.b) for r in sorted(got, key=lambda r: r["rank"])] == sorted(rows) and sorted(r["rank"] for r in got) == list(range(1, 1001))
+
+
+@pytest.mark.parametrize("tier", ["exact", "renamed", "restructured", "augmented"])
+def test_mutated_functions_parse_and_differ_as_they_should(tier):
+    from dupeloom.operators.inject import mutated
+
+    source = FIRST.lstrip().replace('"', "'")  # as Python itself writes texts
+    text = mutated(source, tier, 7)
+    one, two = (found(s)[1][0] for s in (source, text))
+    shared = len(set(one["shingles"]) & set(two["shingles"]))
+    alike = shared / len(set(one["shingles"]) | set(two["shingles"]))
+    assert (text == source) == (tier == "exact") and (one["root_hash"] == two["root_hash"]) == (tier in ("exact", "renamed"))
+    assert alike == 1 if tier in ("exact", "renamed") else 0 < alike < 1
+
+
+def test_injected_duplicates_are_found(spark):
+    from dupeloom.operators.inject import inject, recall_of_injected
+
+    text = lambda i: f"import x{i}\n\n\ndef own_{i}(rows, limit):\n" + "".join(f"    a_{j} = call_{i}_{j}(rows, {i * 31 + j}, limit)\n    if a_{j} > {j} + limit:\n        log_{i}(a_{j}, rows[{j}])\n" for j in range(6)) + "    return limit\n"
+    files = spark.createDataFrame([(f"src/f{i:02}.py", text(i).encode(), "ok") for i in range(24)], "file_path string, source binary, status string")
+    longer, manifest = inject(files, 2)
+    rows = manifest.collect()
+    assert sorted(r.tier for r in rows) == sorted(["exact", "renamed", "restructured", "augmented", "semantic"] * 2)
+    sources = {r.file_path: bytes(r.source).decode().split("\n") for r in longer.collect()}
+    assert len(sources) == 24
+    for r in rows:
+        assert sources[r.target_file][r.target_start].startswith("def ") and sources[r.source_file][r.source_start].startswith("def ")
+        assert sources[r.target_file][r.target_end].strip() and sources[r.target_file][r.target_end + 1 :] == [""]
+    quality = {r.tier: r for r in recall_of_injected(files, Config().with_settings("scan", threshold=0.5), 2).collect()}
+    assert quality["exact"].recall == quality["renamed"].recall == 1 and quality["total"].fp == 0
+    assert sorted(map(tuple, inject(files, 2)[1].collect())) == sorted(map(tuple, rows))
