@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import ContainmentConfig
 from ..functions.measures import balance, containment, run_tier
+from .components import cut
 from .pairs import by_rarity, prefix_length
 
 #: Run lengths looked at for a host and role where they are strided.
@@ -61,28 +62,31 @@ def containment_candidates(prints: DataFrame, config: ContainmentConfig) -> Data
     """
     share = max(config.threshold * config.balance_floor, 1e-6)
     ordered = by_rarity(prints.select("frag_id", "exec_lines", "shingles", "n"))
-    probes = ordered.select(F.col("frag_id").alias("contained_id"), F.col("exec_lines").alias("contained_lines"), F.explode(F.slice("ordered", F.lit(1), prefix_length(F.col("n"), share))).alias("shingle"))
-    hosts = prints.select(F.col("frag_id").alias("host_id"), F.col("exec_lines").alias("host_lines"), F.explode("shingles").alias("shingle"))
-    guard = F.col("contained_lines") / F.col("host_lines") >= config.min_ratio
+    probes = ordered.select(F.col("frag_id").alias("contained_id"), F.col("exec_lines").alias("contained_lines"), F.col("n").alias("contained_n"), F.explode(F.slice("ordered", F.lit(1), prefix_length(F.col("n"), share))).alias("shingle"))
+    hosts = prints.select(F.col("frag_id").alias("host_id"), F.col("exec_lines").alias("host_lines"), F.col("n").alias("host_n"), F.explode("shingles").alias("shingle"))
+    # no run is larger than its host, and one that is too small for the contained set is out of balance
+    guard = (F.col("contained_lines") / F.col("host_lines") >= config.min_ratio) & (F.col("host_n") >= F.col("contained_n") * config.balance_floor - 1e-9)
     return probes.join(hosts, "shingle").where((F.col("contained_id") != F.col("host_id")) & guard).select("contained_id", "host_id").distinct()
 
 
 def containment_scores(prints: DataFrame, shingle_lines: DataFrame, runs: DataFrame, config: ContainmentConfig) -> DataFrame:
     """contained_id, host_id, role, length, start_line, end_line, shared, n_contained, n_run, score, balance of runs that a tier accepts, with tier."""
-    candidates = containment_candidates(prints, config)
+    candidates = cut(containment_candidates(prints, config))
     own = prints.select(F.col("frag_id").alias("contained_id"), F.explode("shingles").alias("shingle"))
     lines = shingle_lines.select(F.col("frag_id").alias("host_id"), "shingle", "first_end", "last_start")
     size = prints.select(F.col("frag_id").alias("host_id"), "exec_lines")
     met = candidates.join(own, "contained_id").join(lines, ["host_id", "shingle"]).join(size, "host_id")
     ends = F.array(F.struct(F.lit("prefix").alias("role"), F.col("first_end").alias("length")), F.struct(F.lit("suffix").alias("role"), (F.col("exec_lines") - F.col("last_start") + 1).alias("length")))
     new = met.select("contained_id", "host_id", F.explode(ends).alias("e")).groupBy("contained_id", "host_id", "e.role", "e.length").agg(F.count("*").alias("new"))
-    grid = candidates.join(runs, "host_id")
+    n = prints.select(F.col("frag_id").alias("contained_id"), F.col("n").alias("n_contained"))
+    # of a host's runs those alone whose size is in balance with the contained set
+    fine = balance(F.col("n_contained"), F.col("n")) >= config.balance_floor - 1e-12
+    grid = candidates.join(n, "contained_id").join(runs, "host_id").where(fine)
     # shared elements that end on lines between run lengths count for the next length: all lengths come before the running sum
     both = grid.select("contained_id", "host_id", "role", "length", F.lit(0).cast("long").alias("new")).unionByName(new.select("contained_id", "host_id", "role", "length", "new"))
     per_length = both.groupBy("contained_id", "host_id", "role", "length").agg(F.sum("new").alias("new"))
     along = Window.partitionBy("contained_id", "host_id", "role").orderBy("length")
     shared = per_length.withColumn("shared", F.sum("new").over(along))
-    n = prints.select(F.col("frag_id").alias("contained_id"), F.col("n").alias("n_contained"))
     sized = shared.join(runs.withColumnRenamed("n", "n_run"), ["host_id", "role", "length"]).join(n, "contained_id")
     scored = sized.withColumns({"score": containment(F.col("shared"), F.col("n_contained"), F.col("n_run")), "balance": balance(F.col("n_contained"), F.col("n_run"))})
     exact = (F.col("shared") == F.col("n_contained")) & (F.col("shared") == F.col("n_run"))
