@@ -1,4 +1,4 @@
-"""Command line: scan, stats, overview, guide.  Exit code 0 without findings, 1 with, 2 on errors; overview and stats give 0."""
+"""Command line: scan, stats, overview, guide, completions.  Exit code 0 without findings, 1 with, 2 on errors; overview and stats give 0."""
 
 from __future__ import annotations
 
@@ -16,6 +16,42 @@ GUIDE = {
 }
 
 
+#: Files that say how a project runs its checks, and what to add to them.
+PLACES = {
+    ".pre-commit-config.yaml": "a local hook with 'entry: python -m dupeloom scan .' and 'pass_filenames: false'",
+    ".github/workflows": "a step 'python -m dupeloom scan . --format sarif > dupeloom.sarif' and an upload of that file",
+    "tox.ini": "an environment with 'commands = python -m dupeloom scan .'",
+    "noxfile.py": "a session that runs 'python -m dupeloom scan .'",
+    "Makefile": "a target 'duplicates: ; python -m dupeloom scan .'",
+    "pyproject.toml": "settings in [tool.dupeloom]",
+}
+
+
+def guide(topic: str, folder: Path) -> str:
+    """A topic's text; for 'setup' also what the folder's own files suggest."""
+    found = [f"{name}: {advice}." for name, advice in PLACES.items() if (folder / name).exists()] if topic == "setup" else []
+    return "\n".join([GUIDE[topic], *(["Found here:", *(f"  {x}" for x in found)] if found else [])])
+
+
+def completions(shell: str) -> str:
+    """A script that completes commands and options in a shell."""
+    commands = {name: sorted(o for a in p._actions for o in a.option_strings if o.startswith("--")) for name, p in parser()._subparsers._group_actions[0].choices.items()}
+    if shell == "fish":
+        lines = [f"complete -c dupeloom -n __fish_use_subcommand -a '{' '.join(commands)}'"]
+        return "\n".join(lines + [f"complete -c dupeloom -n '__fish_seen_subcommand_from {name}' -l {o[2:]}" for name, options in commands.items() for o in options]) + "\n"
+    cases = "\n".join(f"    {name}) words='{' '.join(options)}' ;;" for name, options in commands.items())
+    head = "autoload -U +X bashcompinit && bashcompinit\n" if shell == "zsh" else ""
+    return f"""{head}_dupeloom() {{
+  local words='{" ".join(commands)}'
+  case "${{COMP_WORDS[1]}}" in
+{cases}
+  esac
+  COMPREPLY=($(compgen -f -W "$words" -- "${{COMP_WORDS[COMP_CWORD]}}"))
+}}
+complete -F _dupeloom dupeloom
+"""
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="dupeloom")
     sub = p.add_subparsers(dest="command", required=True)
@@ -39,6 +75,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("-v", "--verbose", action="count", default=0)
     g = sub.add_parser("guide")
     g.add_argument("topic", nargs="?", choices=sorted(GUIDE), default="setup")
+    sub.add_parser("completions").add_argument("shell", choices=("bash", "zsh", "fish"))
     return p
 
 
@@ -64,7 +101,10 @@ def resolved(args: argparse.Namespace) -> Config:
 def main(argv: list[str] | None = None, spark=None) -> int:
     args = parser().parse_args(argv)
     if args.command == "guide":
-        print(GUIDE[args.topic])
+        print(guide(args.topic, Path.cwd()))
+        return 0
+    if args.command == "completions":
+        print(completions(args.shell), end="")
         return 0
     logging.basicConfig(stream=sys.stderr, level=(logging.WARNING, logging.INFO, logging.DEBUG)[min(args.verbose, 2)])
     from .overview import file_overview, format_overview, function_entries, ordered_files, partner_lists

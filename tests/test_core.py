@@ -222,6 +222,17 @@ def test_reports_and_command_line(spark, tmp_path, capsys):
     assert main(["scan", str(root / "none")], spark) == 2 and main(["guide", "triage"]) == 0
 
 
+def test_guide_and_completions(tmp_path, monkeypatch, capsys):
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / "tox.ini").write_text("")
+    assert main(["guide"]) == 0 and "Found here:\n  tox.ini: an environment" in capsys.readouterr().out
+    assert main(["guide", "tune"]) == 0 and "Found" not in capsys.readouterr().out
+    for shell in ("bash", "zsh", "fish"):
+        assert main(["completions", shell]) == 0
+        text = capsys.readouterr().out
+        assert "overview" in text and "focus-from" in text and "completions" in text
+
+
 def test_bands_find_pairs_at_the_threshold():
     for threshold in (0.5, 0.7, 0.85, 0.95):
         bands, rows = band_shape(threshold)
