@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .operators.pairs import partners
@@ -47,9 +47,13 @@ def file_overview(fragments: DataFrame, pairs: DataFrame, containments: DataFram
     return sides.join(files, "frag_id").groupBy("file_path").agg(F.sum("clone").alias("clone_count"), F.sum("contained").alias("containment_count"))
 
 
-def ordered_files(overview: DataFrame) -> DataFrame:
+def file_order() -> tuple[Column, str]:
     """Most findings first, then by path."""
-    return overview.orderBy(F.desc(F.col("clone_count") + F.col("containment_count")), "file_path")
+    return F.desc(F.col("clone_count") + F.col("containment_count")), "file_path"
+
+
+def ordered_files(overview: DataFrame) -> DataFrame:
+    return overview.orderBy(*file_order())
 
 
 def format_overview(files: list[dict], entries: list[dict], names: dict[int, str], as_json: bool = False) -> str:

@@ -12,7 +12,9 @@ from .operators import containment as runs_of
 from .operators import pairs as pairs_of
 from .operators.components import clusters, cut
 from .operators.evaluate import match_pairs, precision_recall
-from .overview import best_partners, file_overview, partner_lists
+from .operators.inject import cluster_pairs
+from .overview import best_partners, file_overview, function_entries, partner_lists
+from .overview import file_order as overview_order
 from .plans.scan import scan_files
 from .report import format_json, format_sarif
 from .sources.pyast import python_fragments
@@ -572,6 +574,125 @@ def ast_suffix_containment(spark, sf_dir):
     return _named(report, report.containments, "contained", "container").select("contained_name", "container_name", "role", "start_line", "end_line", "statement_count", "score", "tier")
 
 
+# One function in many forms: for each, what it is changed to, and under which settings its root hash is still the same.
+_PLAIN = "def f_{k}(rows, limit):\n    kept = rows.first() + limit\n    if kept > limit:\n        report(kept, 'a', 7)\n    return kept\n"
+_FORMS = (
+    ("renamed", _PLAIN.replace("kept", "found").replace("rows", "items").replace("limit", "bound"), "TRUE", "TRUE", "TRUE"),
+    ("commented", _PLAIN.replace("    if", "    # why\n    if").replace("    kept = rows", '    "what it does"\n    kept = rows'), "TRUE", "TRUE", "TRUE"),
+    ("decorated", "@marked(1)\n" + _PLAIN, "TRUE", "TRUE", "TRUE"),
+    ("annotated", _PLAIN.replace("rows,", "rows: list,").replace("):", ") -> int:", 1), "FALSE", "FALSE", "FALSE"),
+    ("other_sign", _PLAIN.replace("> limit", "<= limit").replace("+ limit", "- limit"), "TRUE", "TRUE", "TRUE"),
+    ("other_literals", _PLAIN.replace("'a'", "'b'").replace("7", "8"), "FALSE", "TRUE", "FALSE"),
+    ("other_kind_of_literal", _PLAIN.replace("7", "'7'"), "FALSE", "FALSE", "FALSE"),
+    ("swapped", _PLAIN.replace("rows.first() + limit", "limit + rows.first()"), "FALSE", "FALSE", "TRUE"),
+    ("other_call", _PLAIN.replace("report", "log"), "FALSE", "FALSE", "FALSE"),
+    ("positional", _PLAIN.replace("rows, limit", "rows, /, limit"), "FALSE", "FALSE", "FALSE"),
+    ("longer", _PLAIN.replace("    return", "    kept = 2 * kept\n    return"), "FALSE", "FALSE", "FALSE"),
+)
+
+
+@query(
+    "SELECT p_partkey, form, plain, any_literal, any_order FROM part, (VALUES "
+    + ", ".join(f"('{name}', {a}, {b}, {c})" for name, _, a, b, c in _FORMS)
+    + ") AS forms(form, plain, any_literal, any_order)"
+)
+def ast_normalised_forms(spark, sf_dir):
+    """Whether forms of a function have its root hash: by default, with literals by kind, with commutative operands sorted."""
+    parts = _table(spark, sf_dir, "part").select("p_partkey")
+    k = F.col("p_partkey").cast("string")
+    out = None
+    for column, settings in (("plain", {}), ("any_literal", {"anonymize_literals": True}), ("any_order", {"sort_commutative": True})):
+        hashes = []
+        for name, text, *_ in (("", _PLAIN), *_FORMS):
+            rows = parts.select(F.concat(F.lit(f"{name}/"), k).alias("file_path"), F.encode(F.replace(F.lit(text), F.lit("{k}"), k), "UTF-8").alias("source"), F.lit("ok").alias("status"))
+            hashes.append(rows)
+        files = hashes[0]
+        for more in hashes[1:]:
+            files = files.unionByName(more)
+        config = Config().with_settings("scan", min_lines=1).with_settings("normalization", **settings)
+        made = cut(python_fragments(files, config).where("name is not null").select(F.substring_index("file_path", "/", 1).alias("form"), F.substring_index("file_path", "/", -1).cast("long").alias("p_partkey"), "root_hash"))
+        plain = made.where("form = ''").select("p_partkey", F.col("root_hash").alias("own"))
+        found = made.where("form <> ''").join(plain, "p_partkey").select("p_partkey", "form", (F.col("root_hash") == F.col("own")).alias(column))
+        out = found if out is None else out.join(found, ["p_partkey", "form"])
+    return out
+
+
+_BODIES = "CASE s_suppkey % 5 WHEN 0 THEN '    pass' WHEN 1 THEN '    ...' WHEN 2 THEN '    \"just words\"' WHEN 3 THEN '    pass' || chr(10) || '    return 1' ELSE '    x = 1' || chr(10) || '' || chr(10) || '    # words' || chr(10) || '    return x' END"
+
+
+@query("SELECT concat('f_', s_suppkey) AS name, s_suppkey % 5 >= 3 AS has_body, [1, 1, 0, 2, 2][s_suppkey % 5 + 1]::INT AS exec_stmts, [2, 2, 1, 3, 3][s_suppkey % 5 + 1]::INT AS exec_lines FROM supplier")
+def ast_bodies(spark, sf_dir):
+    """Whether a body does anything, its statements and its lines that count."""
+    body = F.expr(_BODIES.replace("chr(10)", "'\n'").replace('"just words"', '\\"just words\\"').replace('\\"', '"'))
+    rows = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("file_path"), F.encode(F.concat(F.lit("def f_"), F.col("s_suppkey"), F.lit("():\n"), body, F.lit("\n")), "UTF-8").alias("source"), F.lit("ok").alias("status"))
+    made = python_fragments(rows, Config().with_settings("scan", min_lines=1)).where("name is not null")
+    return made.select("name", "has_body", "exec_stmts", "exec_lines")
+
+
+@query(
+    """SELECT count(*) FILTER (WHERE s_suppkey % 4 = 0) AS config_files, count(*) FILTER (WHERE s_suppkey % 4 = 1) AS file_comments, count(*) FILTER (WHERE s_suppkey % 4 = 2) AS inline_functions,
+        count(*) FILTER (WHERE s_suppkey % 4 = 3) AS functions FROM supplier"""
+)
+def suppression_counts(spark, sf_dir):
+    """Files and functions that settings and comments keep out."""
+    k = F.col("s_suppkey")
+    status = F.when(k % 4 == 0, "suppressed").otherwise("ok")
+    mark = F.when(k % 4 == 1, "# dupeloom: ignore-file\n").when(k % 4 == 2, "# dupeloom: ignore -- why\n").otherwise("# none\n")
+    text = F.concat(mark, F.replace(F.replace(F.lit(_ALONE.split("\n", 1)[1]), F.lit("{k}"), k.cast("string")), F.lit("{c}"), k.cast("string")))
+    rows = _table(spark, sf_dir, "supplier").select(F.concat(F.lit("f"), k).alias("file_path"), F.when(k % 4 > 0, F.encode(text, "UTF-8")).alias("source"), status.alias("status"))
+    report = scan_files(rows, Config())
+    return spark.createDataFrame([(*report.suppressed().values(), report.fragments.count())], "config_files long, file_comments long, inline_functions long, functions long")
+
+
+@query(
+    f"""SELECT left_name, right_name, concat('def f_', k, '(rows_', k, '):', chr(10), '    total = 0', chr(10),
+        list_aggregate(list_transform(range(9), lambda i: concat('    total += work_', i, '(', CASE WHEN i < m THEN concat('$HOLE_', i) ELSE (k // 2)::VARCHAR END, ', rows_', k, ')', chr(10))), 'string_agg', ''), '    return total',
+        list_aggregate(list_transform(range(m), lambda i: concat(chr(10), '# $HOLE_', i, ', literal: ', k, ' | ', k + 1)), 'string_agg', '')) AS rendered
+    FROM (SELECT left_name, right_name, m, replace(left_name, 'f_', '')::BIGINT AS k FROM {_SITE_PAIRS}) WHERE m BETWEEN 1 AND 3"""
+)
+def ast_rendered_templates(spark, sf_dir):
+    """Templates as text: holes by name in the left source, and both sides of each."""
+    report = scan_files(_site_sources(spark, sf_dir), Config().with_settings("scan", threshold=0.5).with_settings("suggest", enabled=True, max_holes=3))
+    return _named(report, report.suggestions.where("hole_count > 0"), "left", "right").select("left_name", "right_name", "rendered")
+
+
+@query(
+    f"""WITH RECURSIVE {CLUSTERS},
+    summary AS (SELECT m.cluster_id, any_value(size) AS size, min(similarity) AS min_similarity FROM pairs p JOIN members m ON p.left_id = m.frag_id JOIN (SELECT cluster_id, count(*) AS size FROM members GROUP BY 1) s ON s.cluster_id = m.cluster_id GROUP BY 1)
+    SELECT cluster_id, row_number() OVER (ORDER BY min_similarity DESC, size DESC, cluster_id) AS place FROM summary"""
+)
+def cluster_order(spark, sf_dir):
+    """Clusters in the order of the report (O3)."""
+    summary = clusters(_pairs(spark, sf_dir, LOOSE))[1]
+    return pairs_of.with_rank(summary, F.desc("min_similarity"), F.desc("size"), "cluster_id", rank="place").select("cluster_id", "place")
+
+
+@query(f"WITH {FINDINGS}, o AS (SELECT contained_id, container_id, row_number() OVER (ORDER BY score DESC, container_id, contained_id) AS place FROM findings) SELECT frag_id, min_by(kind, place) AS kind, min_by(other, place) AS other_id FROM (SELECT container_id AS frag_id, 'contains' AS kind, contained_id AS other, place FROM o UNION ALL SELECT contained_id, 'contained_in', container_id, place FROM o) GROUP BY 1")
+def first_containment(spark, sf_dir):
+    """The first containment, in the order of the report, that a fragment is a side of."""
+    prints = _prints(spark, sf_dir)
+    none = _pairs(spark, sf_dir, SCAN, prints).where(F.lit(False))
+    return function_entries(prints.select("frag_id"), none, _findings(spark, sf_dir, prints)).select("frag_id", "containment.kind", "containment.other_id")
+
+
+@query(
+    f"""WITH {JACCARD}, ends AS (SELECT left_id AS frag_id FROM pairs UNION SELECT right_id FROM pairs), c AS (SELECT source, count(*) AS n FROM ends JOIN fp USING (frag_id) GROUP BY 1)
+    SELECT source AS file_path, row_number() OVER (ORDER BY n DESC, source) AS place FROM c"""
+)
+def file_order(spark, sf_dir):
+    """Files by their number of findings, then by path."""
+    prints = _prints(spark, sf_dir)
+    overview = file_overview(prints.withColumn("file_path", F.col("source")), _pairs(spark, sf_dir, SCAN, prints))
+    return pairs_of.with_rank(overview, *overview_order(), rank="place").select("file_path", "place")
+
+
+@query(f"WITH RECURSIVE {CLUSTERS} SELECT concat(a.frag_id, ':', b.frag_id) AS pair_id FROM members a JOIN members b ON a.cluster_id = b.cluster_id AND a.frag_id < b.frag_id")
+def cluster_member_pairs(spark, sf_dir):
+    """Each two members of a cluster, as an evaluation takes them (bench side)."""
+    fragments = _fragments(spark, sf_dir).select("frag_id", F.col("source").alias("file_path"), F.lit(1).alias("start_line"), F.col("exec_lines").alias("end_line"))
+    return cluster_pairs(clusters(_pairs(spark, sf_dir, LOOSE))[0], fragments).select("pair_id")
+
+
 @query()
 def report_json(spark, sf_dir):
     """The report of a scan as JSON, one row (K2)."""
