@@ -18,7 +18,7 @@ from .overview import file_order as overview_order
 from .plans.scan import scan_files
 from .report import format_json, format_sarif
 from .sources.pyast import python_fragments
-from .sources.textfrag import fingerprints, reportable, shingle_lines, text_fragments, text_shingles
+from .sources.textfrag import fingerprints, long_enough, reportable, shingle_lines, text_fragments, text_shingles
 from .stats import pair_counts, scan_statistics
 
 SCAN, CONTAINMENT = ScanConfig(), ContainmentConfig(enabled=True)
@@ -182,14 +182,13 @@ def reportable_fragments(spark, sf_dir):
 @query(f"WITH {SHINGLES} SELECT root_hash, count(*) AS members, min(frag_id) AS first_id FROM fp GROUP BY 1 HAVING count(*) > 1")
 def root_hash_groups(spark, sf_dir):
     """Groups of equal root hashes."""
-    prints = reportable(fingerprints(_fragments(spark, sf_dir)))
-    return prints.groupBy("root_hash").agg(F.count("*").alias("members"), F.min("frag_id").alias("first_id")).where("members > 1")
+    return long_enough(_fragments(spark, sf_dir)).groupBy("root_hash").agg(F.count("*").alias("members"), F.min("frag_id").alias("first_id")).where("members > 1")
 
 
 @query(f"WITH {EXACT} SELECT left_id, right_id FROM exact")
 def exact_pairs(spark, sf_dir):
     """Self-join on the root hash."""
-    return pairs_of.exact_candidates(reportable(fingerprints(_fragments(spark, sf_dir))).select("frag_id", "root_hash"))
+    return pairs_of.exact_candidates(long_enough(_fragments(spark, sf_dir)).select("frag_id", "root_hash"))
 
 
 @query(f"WITH {SHINGLES} SELECT z.frag_id, coalesce(fp.n, 0)::INT AS n FROM sized z LEFT JOIN fp USING (frag_id)")

@@ -35,7 +35,7 @@ def text_fragments(docs: DataFrame, key: str = "doc_id", extra: tuple[str, ...]
 
 def fingerprints(fragments: DataFrame, size: int = SHINGLE) -> DataFrame:
     """The fragments with ``shingles``, the hashes of their distinct word shingles, and ``n``, how many; too short texts have none."""
-    hashed = bound("words", lambda w: F.transform(_starts(w, size), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(size)), " "))))
+    hashed = bound("words", lambda w: F.transform(_starts(w, size), lambda i: F.xxhash64(F.slice(w, i, F.lit(size)))))
     return fragments.withColumn("shingles", F.array_distinct(hashed)).withColumn("n", F.size("shingles"))
 
 
@@ -50,6 +50,11 @@ def text_shingles(fragments: DataFrame, size: int = SHINGLE) -> DataFrame:
     return fragments.select("frag_id", F.explode(F.array_distinct(texts)).alias("s"))
 
 
+def long_enough(fragments: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """The fragments that have a fingerprint, without making it."""
+    return fragments.where(F.size("words") >= size)
+
+
 def reportable(prints: DataFrame, least_lines: int = 0) -> DataFrame:
     """Fragments with a fingerprint and enough lines: filtered before any join."""
     return prints.where((F.col("n") > 0) & (F.col("exec_lines") >= least_lines))
@@ -63,6 +68,6 @@ def shingle_lines(fragments: DataFrame, size: int = SHINGLE) -> DataFrame:
     placed = fragments.select("frag_id", F.posexplode("lines").alias("line", "content")).select("frag_id", (F.col("line") + 1).alias("line"), F.filter(F.split("content", BETWEEN_WORDS), lambda word: word != "").alias("words"))
     in_order = placed.groupBy("frag_id").agg(F.array_sort(F.collect_list(F.struct("line", "words"))).alias("all"))
     flat = F.flatten(F.transform("all", lambda r: F.transform(r["words"], lambda w: F.struct(r["line"].alias("line"), w.alias("word")))))
-    place = lambda w, i: F.struct(F.xxhash64(F.array_join(F.transform(F.slice(w, i, F.lit(size)), lambda x: x["word"]), " ")).alias("shingle"), F.element_at(w, i)["line"].alias("starts"), F.element_at(w, i + (size - 1))["line"].alias("ends"))
+    place = lambda w, i: F.struct(F.xxhash64(F.transform(F.slice(w, i, F.lit(size)), lambda x: x["word"])).alias("shingle"), F.element_at(w, i)["line"].alias("starts"), F.element_at(w, i + (size - 1))["line"].alias("ends"))
     each = in_order.select("frag_id", F.explode(bound(flat, lambda w: F.transform(_starts(w, size), lambda i: place(w, i)))).alias("s"))
     return each.groupBy("frag_id", F.col("s.shingle").alias("shingle")).agg(F.min("s.ends").alias("first_end"), F.max("s.starts").alias("last_start"))
