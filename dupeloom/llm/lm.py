@@ -6,7 +6,9 @@ bucket's distinct n-grams and a few blocks.  There is a bucket for each BUCKET_B
 makes its segment of the Bloom filter: an n-gram counted c times is entered once for each level 1 to
 1 + floor(log2 c), so its level is found by asking for level after level, and level 0 is what was never counted.
 Segments are broadcast to the workers in parts of at most ``most_bytes``.  With more than one part, a task holds
-some blocks of texts and asks one part after the other, of which it holds one at a time: texts pass once.
+some blocks of texts and asks one part after the other, of which it holds one at a time: texts pass once.  With more
+than ``most_parts``, the filter is not sent around any more: what a block asks, each n-gram once, goes to the task that
+holds its segment, and the levels come back to the block.
 
 Exact base scores: the most frequent words of each bucket, ``hot_words`` in all, are broadcast with their counts;
 all others go, block by block, to their bucket, and come back as sums for each document.
@@ -42,6 +44,8 @@ BITS_PER_ENTRY, PROBES = 12, 5
 #: Weight of the prior in a pair's probability (of the powers of two times 25, about the best for held-out texts of the test tables), and what the count of an unseen word is taken for.
 PRIOR, SELDOM = 200.0, 0.5
 
+_ASKS = "block long, kind int, bucket int, ids binary, held binary, first binary, payload binary"
+_LEVELS = "block long, kind int, bucket int, payload binary"
 _COUNTS = "kind int, bucket int, hashes binary, counts binary"
 _TABLE = "kind int, bucket int, n long, total long, hashes binary, counts binary, hot_hashes binary, hot_counts binary, bits binary"
 _SCORED = "block long, slot int, doc_id long, held_out boolean, n_tokens long, score double, base_score double, n_known long, bucket int, hashes binary, owners binary, times binary"
@@ -68,6 +72,11 @@ def pair_hashes(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return _mixed(_mixed(before) + word) & ~np.uint64(0xFFFF)
 
 
+def _before(tokens: np.ndarray) -> np.ndarray:
+    """What stands before each token, a start before the first; in whole numbers, for a Python int beside them can make doubles."""
+    return np.concatenate([np.asarray([START], np.uint64), tokens[:-1]])
+
+
 def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - (buckets.bit_length() - 1))).astype(np.int64) if buckets > 1 else np.zeros(len(hashes), np.int64)
 
@@ -98,7 +107,7 @@ def _counted(buckets: int):
 
         def sent() -> Iterator[pa.RecordBatch]:
             tokens = np.concatenate(held)
-            before = np.concatenate([[START], tokens[:-1]]).astype(np.uint64)
+            before = _before(tokens)
             before[np.flatnonzero(before == END)] = START
             for kind, grams in ((1, tokens), (2, pair_hashes(before, tokens))):
                 hashes, counts = _summed(grams)
@@ -223,7 +232,7 @@ class _Asked:
     """What a block of texts asks of the filter: its distinct words and its pairs, and the levels found so far."""
 
     def __init__(self, tokens: np.ndarray, first: np.ndarray):
-        before = np.concatenate([[START], tokens[:-1]]).astype(np.uint64)
+        before = _before(tokens)
         before[first] = START
         self.first, self.pairs = first, pair_hashes(before, tokens)
         self.words, self.back = np.unique(tokens, return_inverse=True)
@@ -281,53 +290,137 @@ def _blocks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[p
                 held, start, n = [], i + 1, 0
 
 
-def _scored(parts: list[Broadcast], hot: Broadcast, buckets: int, n_train: int, n_words: int):
-    below = n_train + 0.1 * (n_words + 1)
-
+def _block_rows(block: int, ids: list, held: list, tokens: np.ndarray, first: np.ndarray, levels: tuple[np.ndarray, ...], hot: tuple[np.ndarray, np.ndarray], buckets: int, below: float) -> pa.RecordBatch:
+    """Rows of _SCORED of a block: one for each text, with its score and what the hot words give to the base score, and one for each bucket that is asked for the rest."""
+    hot_hashes, hot_counts = hot
+    own, before, pair = levels[0], expected_count(levels[1], SELDOM), expected_count(levels[2], 0.0)
+    prior = (expected_count(own, SELDOM) + 0.1) / below if below > 0 else np.ones(len(own))
+    chance = np.log10((pair + PRIOR * prior) / (np.maximum(before, pair) + PRIOR))
+    ends = np.concatenate([first[1:], [len(tokens)]])
+    owner = np.repeat(np.arange(len(first)), ends - first)
+    at = np.minimum(np.searchsorted(hot_hashes, tokens), max(0, len(hot_hashes) - 1))
+    is_hot = hot_hashes[at] == tokens if len(hot_hashes) else np.zeros(len(tokens), np.bool_)
+    known = np.where(is_hot, np.log10((hot_counts[at] + 0.1) / below), 0.0) if len(hot_hashes) else np.zeros(len(tokens))
+    cold = np.flatnonzero(~is_hot)
+    order = cold[np.lexsort((owner[cold], tokens[cold]))]
+    new = np.flatnonzero(np.concatenate([[True], (tokens[order][1:] != tokens[order][:-1]) | (owner[order][1:] != owner[order][:-1])])) if len(order) else np.zeros(0, np.int64)
+    times, order = np.diff(np.concatenate([new, [len(order)]])), order[new]
+    places = np.searchsorted(_bucket_of(tokens[order], buckets), np.arange(buckets + 1))
+    some = [b for b in range(buckets) if places[b] < places[b + 1]]
+    n, m = len(first), len(some)
+    cut_out = lambda x, kind: [x[places[b] : places[b + 1]].astype(kind).tobytes() for b in some]
+    none = lambda k: [None] * k
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([block] * (n + m), pa.int64()),
+            pa.array([*range(n), *none(m)], pa.int32()),
+            pa.array(ids + none(m), pa.int64()),
+            pa.array(held + none(m), pa.bool_()),
+            pa.array([*(ends - first).tolist(), *none(m)], pa.int64()),
+            pa.array([*np.add.reduceat(chance, first).tolist(), *none(m)], pa.float64()),
+            pa.array([*np.add.reduceat(known, first).tolist(), *none(m)], pa.float64()),
+            pa.array([*np.add.reduceat(is_hot.astype(np.int64), first).tolist(), *none(m)], pa.int64()),
+            pa.array([*none(n), *some], pa.int32()),
+            pa.array(none(n) + cut_out(tokens[order], "<u8"), pa.binary()),
+            pa.array(none(n) + cut_out(owner[order], "<u4"), pa.binary()),
+            pa.array(none(n) + cut_out(times, "<u4"), pa.binary()),
+        ],
+        [x.split()[0] for x in _SCORED.split(", ")],
+    )
+
+
+def _scored(parts: list[Broadcast], hot: Broadcast, buckets: int, below: float):
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_hashes, hot_counts = hot.value
         block = TaskContext.get().partitionId() << 32
         for rows, tokens, first, asked in _all_asked(_blocks(batches, 2), parts):
-            levels = asked.levels()
-            own, before, pair = levels[0], expected_count(levels[1], SELDOM), expected_count(levels[2], 0.0)
-            prior = (expected_count(own, SELDOM) + 0.1) / below if below > 0 else np.ones(len(own))
-            chance = np.log10((pair + PRIOR * prior) / (np.maximum(before, pair) + PRIOR))
-            ends = np.concatenate([first[1:], [len(tokens)]])
-            owner = np.repeat(np.arange(len(first)), ends - first)
-            at = np.minimum(np.searchsorted(hot_hashes, tokens), max(0, len(hot_hashes) - 1))
-            is_hot = hot_hashes[at] == tokens if len(hot_hashes) else np.zeros(len(tokens), np.bool_)
-            known = np.where(is_hot, np.log10((hot_counts[at] + 0.1) / below), 0.0) if len(hot_hashes) else np.zeros(len(tokens))
-            cold = np.flatnonzero(~is_hot)
-            order = cold[np.lexsort((owner[cold], tokens[cold]))]
-            new = np.flatnonzero(np.concatenate([[True], (tokens[order][1:] != tokens[order][:-1]) | (owner[order][1:] != owner[order][:-1])])) if len(order) else np.zeros(0, np.int64)
-            times, order = np.diff(np.concatenate([new, [len(order)]])), order[new]
-            places = np.searchsorted(_bucket_of(tokens[order], buckets), np.arange(buckets + 1))
-            some = [b for b in range(buckets) if places[b] < places[b + 1]]
-            n, m = len(first), len(some)
-            cut_out = lambda x, kind: [x[places[b] : places[b + 1]].astype(kind).tobytes() for b in some]  # noqa: B023, E731
-            none = lambda k: [None] * k
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([block] * (n + m), pa.int64()),
-                    pa.array([*range(n), *none(m)], pa.int32()),
-                    pa.array(rows.column(0).to_pylist() + none(m), pa.int64()),
-                    pa.array(rows.column(1).to_pylist() + none(m), pa.bool_()),
-                    pa.array([*(ends - first).tolist(), *none(m)], pa.int64()),
-                    pa.array([*np.add.reduceat(chance, first).tolist(), *none(m)], pa.float64()),
-                    pa.array([*np.add.reduceat(known, first).tolist(), *none(m)], pa.float64()),
-                    pa.array([*np.add.reduceat(is_hot.astype(np.int64), first).tolist(), *none(m)], pa.int64()),
-                    pa.array([*none(n), *some], pa.int32()),
-                    pa.array(none(n) + cut_out(tokens[order], "<u8"), pa.binary()),
-                    pa.array(none(n) + cut_out(owner[order], "<u4"), pa.binary()),
-                    pa.array(none(n) + cut_out(times, "<u4"), pa.binary()),
-                ],
-                [x.split()[0] for x in _SCORED.split(", ")],
-            )
+            yield _block_rows(block, rows.column(0).to_pylist(), rows.column(1).to_pylist(), tokens, first, asked.levels(), hot.value, buckets, below)
             block += 1
 
     return scored
 
 
+def _asking(buckets: int):
+    """Each block of texts, as kind 0, and its distinct words and pairs, in order, for each bucket."""
+
+    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for rows, tokens, first in _blocks(batches, 2):
+            ids, asked = rows.column(0), _Asked(tokens, first)
+            flags = np.asarray([2 * (i is None) + h for i, h in zip(ids.to_pylist(), rows.column(1).to_pylist(), strict=True)], np.uint8)
+            out = [(block, 0, -1, ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes(), flags.tobytes(), first.astype("<i8").tobytes(), tokens.tobytes())]
+            for kind, grams in ((1, asked.words), (2, np.unique(asked.pairs))):
+                ends = np.searchsorted(_bucket_of(grams, buckets), np.arange(buckets + 1))
+                out += [(block, kind, b, None, None, None, grams[ends[b] : ends[b + 1]].tobytes()) for b in range(buckets) if ends[b] < ends[b + 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _schema(_ASKS).types, strict=True)], schema=_schema(_ASKS))
+            block += 1
+
+    return asking
+
+
+def _answering(buckets: int):
+    """Levels of what blocks ask: rows (bucket, kind, block, payload) in their order, a segment (block null) before those that ask it."""
+
+    def answering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, segment = None, Filter({}, buckets)
+        for batch in batches:
+            out = []
+            for bucket, kind, block, payload in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+                if (bucket, kind) != at:
+                    at, segment = (bucket, kind), Filter({}, buckets)
+                if block is None:
+                    segment = Filter({(kind, bucket): bytes(payload.as_buffer())}, buckets)
+                else:
+                    out.append((block, kind, bucket, segment.levels(kind, np.frombuffer(payload.as_buffer(), np.uint64)).tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _schema(_LEVELS).types, strict=True)], schema=_schema(_LEVELS))
+
+    return answering
+
+
+def _assembled(hot: Broadcast, buckets: int, below: float):
+    """Scores of blocks: rows (block, kind, bucket, ids, held, first, payload) in their order, a block before its levels."""
+
+    def finished(own: tuple, levels: dict[int, list[bytes]]) -> pa.RecordBatch:
+        block, ids, flags, first, tokens = own
+        asked = _Asked(tokens, first)
+        distinct, back = np.unique(asked.pairs, return_inverse=True)
+        asked.own = np.frombuffer(b"".join(levels[1]), np.uint8)
+        asked.pair = np.frombuffer(b"".join(levels[2]), np.uint8)[back]
+        asked.start = int(asked.own[np.searchsorted(asked.words, np.uint64(END))])
+        return _block_rows(block, [None if f > 1 else i for i, f in zip(ids.tolist(), flags.tolist(), strict=True)], [bool(f & 1) for f in flags.tolist()], tokens, first, asked.levels(), hot.value, buckets, below)
+
+    def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, levels = None, {1: [], 2: []}
+        for batch in batches:
+            for block, kind, ids, held, first, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *(batch.column(i) for i in range(3, 7)), strict=True):
+                raw = bytes(payload.as_buffer())
+                if kind:
+                    levels[kind].append(raw)
+                    continue
+                if own is not None:
+                    yield finished(own, levels)
+                own = (block, np.frombuffer(ids.as_py(), "<i8"), np.frombuffer(held.as_py(), np.uint8), np.frombuffer(first.as_py(), "<i8"), np.frombuffer(raw, np.uint64))
+                levels = {1: [], 2: []}
+        if own is not None:
+            yield finished(own, levels)
+
+    return assembled
+
+
+def _routed(rows: DataFrame, table: DataFrame, hot: Broadcast, buckets: int, below: float) -> DataFrame:
+    """What ``_scored`` gives, with the filter's segments left in their tasks: n-grams travel."""
+    asks = cut(rows.mapInArrow(_asking(buckets), _ASKS))
+    segments = table.select("bucket", "kind", F.lit(None).cast("long").alias("block"), F.col("bits").alias("payload"))
+    met = segments.unionByName(asks.where("kind > 0").select("bucket", "kind", "block", "payload"))
+    in_order = met.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", F.col("block").asc_nulls_first())
+    levels = in_order.mapInArrow(_answering(buckets), _LEVELS)
+    none = F.lit(None).cast("binary")
+    back = asks.where("kind = 0").unionByName(levels.select("block", "kind", "bucket", none.alias("ids"), none.alias("held"), none.alias("first"), "payload"))
+    blocks = max(1, asks.where("kind = 0").count())
+    together = back.repartition(min(blocks, 4 * buckets), "block").sortWithinPartitions("block", "kind", "bucket")
+    return together.mapInArrow(_assembled(hot, buckets, below), _SCORED)
+
+
 def _looked_up(below: float):
     def looked_up(asked: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
         hashes = np.frombuffer(table["hashes"].iloc[0], np.uint64) if len(table) else np.zeros(0, np.uint64)
@@ -360,7 +453,7 @@ def _finished(n_train: int):
     return finished
 
 
-def score_documents(docs: DataFrame, fold: int = 10, hot_words: int = 1 << 19, most_bytes: int = 64 << 20, buckets: int | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, fold: int = 10, hot_words: int = 1 << 19, most_bytes: int = 64 << 20, buckets: int | None = None, most_parts: int = 16) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of ``docs`` (doc_id, text).
 
     Rows whose crc32(doc_id as text) mod ``fold`` is 0 are held out; the others are counted.  score is the sum of
@@ -368,7 +461,7 @@ def score_documents(docs: DataFrame, fold: int = 10, hot_words: int = 1 << 19, m
     A null text counts as empty: one token, the end.  A null doc_id counts as empty text, so is held out, and
     stays null; repeated rows count and are returned each; an empty table gives no rows; without training rows
     N and V are 0 and base scores 0.  Other columns are ignored.  ``buckets`` (a power of two) follows the bytes of
-    text; what is broadcast at a time is at most ``most_bytes`` of filter and ``hot_words`` counts.
+    text; what is broadcast is at most ``most_parts`` times ``most_bytes`` of filter and ``hot_words`` counts.
     """
     spark = docs.sparkSession
     context = spark.sparkContext
@@ -383,19 +476,22 @@ def score_documents(docs: DataFrame, fold: int = 10, hot_words: int = 1 << 19, m
     sums = table.where("kind = 1").agg(F.sum("n"), F.sum("total")).first()
     n_words, n_train = int(sums[0] or 0), int(sums[1] or 0)
     below = n_train + 0.1 * (n_words + 1)
-    parts, part, size = [], {}, 0
-    for kind, bucket, raw in table.where(F.length("bits") > 0).select("kind", "bucket", "bits").orderBy("kind", "bucket").toLocalIterator():
-        if part and size + len(raw) > most_bytes:
-            parts.append(context.broadcast(Filter(part, buckets)))
-            part, size = {}, 0
-        part[kind, bucket] = bytes(raw)
-        size += len(raw)
-    parts.append(context.broadcast(Filter(part, buckets)))
     hot = [(np.frombuffer(h, np.uint64), np.frombuffer(c, np.int64)) for h, c in table.where("kind = 1").select("hot_hashes", "hot_counts").collect()]
     hashes = np.concatenate([h for h, _ in hot]) if hot else np.zeros(0, np.uint64)
     order = np.argsort(hashes)
     hot_table = context.broadcast((hashes[order], np.concatenate([c for _, c in hot])[order] if hot else np.zeros(0, np.int64)))
-    scored = cut(rows.mapInArrow(_scored(parts, hot_table, buckets, n_train, n_words), _SCORED))
+    if (table.agg(F.sum(F.length("bits"))).first()[0] or 0) > most_parts * most_bytes:
+        scored = cut(_routed(rows, table, hot_table, buckets, below))
+    else:
+        parts, part, size = [], {}, 0
+        for kind, bucket, raw in table.where(F.length("bits") > 0).select("kind", "bucket", "bits").orderBy("kind", "bucket").toLocalIterator():
+            if part and size + len(raw) > most_bytes:
+                parts.append(context.broadcast(Filter(part, buckets)))
+                part, size = {}, 0
+            part[kind, bucket] = bytes(raw)
+            size += len(raw)
+        parts.append(context.broadcast(Filter(part, buckets)))
+        scored = cut(rows.mapInArrow(_scored(parts, hot_table, buckets, below), _SCORED))
     asked = scored.where("slot is null").select("block", "bucket", "hashes", "owners", "times")
     cold = table.where("kind = 1").select("bucket", "hashes", "counts")
     found = asked.groupBy("bucket").cogroup(cold.groupBy("bucket")).applyInPandas(_looked_up(below), _PARTS)

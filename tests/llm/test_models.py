@@ -126,7 +126,7 @@ def base_scores(rows):
     return sorted(((d, fold(d, 10) == 0, len(tokens(t)), sum(w in counts for w in tokens(t)), n, sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens(t))) for d, t in rows), key=str)
 
 
-@pytest.mark.parametrize("options", [{}, {"hot_words": 64, "buckets": 8}, {"hot_words": 1, "buckets": 1, "most_bytes": 4000}])
+@pytest.mark.parametrize("options", [{}, {"hot_words": 64, "buckets": 8}, {"hot_words": 1, "buckets": 1, "most_bytes": 4000}, {"hot_words": 64, "buckets": 8, "most_bytes": 1000, "most_parts": 1}])
 def test_base_scores_equal_plain_python(spark, sf_dir, edge_docs, options):
     for docs in (spark.read.parquet(f"{sf_dir}/documents.parquet"), edge_docs.select("doc_id", "text")):
         wanted = base_scores([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
@@ -141,11 +141,13 @@ def test_parts_of_the_filter_give_the_same_scores(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     one = {r.doc_id: r.score for r in score_documents(docs, buckets=8).collect()}
     many = {r.doc_id: r.score for r in score_documents(docs, buckets=8, most_bytes=8000).collect()}
-    assert one.keys() == many.keys() and np.allclose([one[k] for k in one], [many[k] for k in one])
+    routed = {r.doc_id: r.score for r in score_documents(docs.repartition(3), buckets=8, most_bytes=8000, most_parts=2).collect()}
+    assert one.keys() == many.keys() == routed.keys()
+    assert np.allclose([one[k] for k in one], [many[k] for k in one]) and np.allclose([one[k] for k in one], [routed[k] for k in one])
 
 
 def test_no_training_rows(spark, no_docs):
-    assert score_documents(no_docs).collect() == []
+    assert score_documents(no_docs).collect() == [] and score_documents(no_docs, most_parts=-1).collect() == []
     held = next(i for i in range(100) if fold(i, 10) == 0)
     row = score_documents(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).first()
     assert (row.n_tokens, row.n_known, row.train_tokens) == (3, 0, 0) and abs(row.base_score) < 1e-9
