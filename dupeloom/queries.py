@@ -100,10 +100,11 @@ pairs AS (
     SELECT left_id, right_id, similarity, 'similar' FROM jac j WHERE lines >= 9 AND NOT EXISTS (SELECT 1 FROM exact e WHERE e.left_id = j.left_id AND e.right_id = j.right_id)
 )"""
 JACCARD, LOOSE_PAIRS = _jaccard("0.85", 5, 9), _jaccard("0.6", 3, 3)
-CLUSTERS = LOOSE_PAIRS + """,
+_MEMBERS = """,
 edges AS (SELECT left_id AS a, right_id AS b FROM pairs UNION SELECT right_id, left_id FROM pairs),
 reach AS (SELECT a AS node, a AS seen FROM edges UNION SELECT r.node, e.b FROM reach r JOIN edges e ON r.seen = e.a),
 members AS (SELECT min(seen) AS cluster_id, node AS frag_id FROM reach GROUP BY node)"""
+CLUSTERS = LOOSE_PAIRS + _MEMBERS
 RUNS = SHINGLES + r""",
 line_words AS (SELECT frag_id, k AS line, unnest(list_filter(regexp_split_to_array(lines[k], '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS word, generate_subscripts(list_filter(regexp_split_to_array(lines[k], '[^\p{L}\p{N}]+'), lambda w: w <> ''), 1) AS place FROM (SELECT frag_id, lines, unnest(range(1, len(lines) + 1)) AS k FROM sized)),
 in_order AS (SELECT frag_id, line, word, row_number() OVER (PARTITION BY frag_id ORDER BY line, place) AS i FROM line_words),
@@ -352,8 +353,8 @@ def benchmark_contamination(spark, sf_dir):
 
 
 @query(
-    f"""WITH {FINDINGS.replace(SHINGLES, JACCARD)}, ends AS (SELECT left_id AS frag_id FROM pairs UNION SELECT right_id FROM pairs)
-    SELECT (SELECT count(*) FROM documents) AS files_scanned, (SELECT count(*) FROM fp) AS fragments, (SELECT count(*) FROM pairs) AS clone_pairs, (SELECT count(*) FROM findings) AS containment_findings,
+    f"""WITH RECURSIVE {FINDINGS.replace(SHINGLES, JACCARD + _MEMBERS)}, ends AS (SELECT left_id AS frag_id FROM pairs UNION SELECT right_id FROM pairs)
+    SELECT (SELECT count(*) FROM documents) AS files_scanned, (SELECT count(DISTINCT cluster_id) FROM members) AS clusters, (SELECT count(*) FROM fp) AS fragments, (SELECT count(*) FROM pairs) AS clone_pairs, (SELECT count(*) FROM findings) AS containment_findings,
         (SELECT count(*) FROM ends) AS fragments_in_clones, (SELECT count(DISTINCT source) FROM ends JOIN fp USING (frag_id)) AS files_with_clones,
         (SELECT round(min(similarity), 9) FROM pairs) AS min_similarity, (SELECT round(max(similarity), 9) FROM pairs) AS max_similarity, (SELECT round(avg(similarity), 9) FROM pairs) AS avg_similarity,
         coalesce(round(100 * (SELECT count(*) FROM ends) / nullif((SELECT count(*) FROM fp), 0), 9), 0) AS percent_in_clones"""
@@ -361,8 +362,10 @@ def benchmark_contamination(spark, sf_dir):
 def scan_stats(spark, sf_dir):
     """The scan's counts and similarities in one row."""
     prints = _prints(spark, sf_dir)
-    row = scan_statistics(prints.withColumn("file_path", F.col("source")), _pairs(spark, sf_dir, SCAN, prints), _findings(spark, sf_dir, prints), _table(spark, sf_dir, "documents").select(F.count("*").alias("files_scanned")))
-    return row.select("files_scanned", "fragments", "clone_pairs", "containment_findings", "fragments_in_clones", "files_with_clones", *[F.round(c, 9).alias(c) for c in ("min_similarity", "max_similarity", "avg_similarity", "percent_in_clones")])
+    pairs = _pairs(spark, sf_dir, SCAN, prints)
+    scanned = _table(spark, sf_dir, "documents").select(F.count("*").alias("files_scanned"))
+    row = scan_statistics(prints.withColumn("file_path", F.col("source")), pairs, _findings(spark, sf_dir, prints), scanned, clusters(pairs)[1])
+    return row.select("files_scanned", "clusters", "fragments", "clone_pairs", "containment_findings", "fragments_in_clones", "files_with_clones", *[F.round(c, 9).alias(c) for c in ("min_similarity", "max_similarity", "avg_similarity", "percent_in_clones")])
 
 
 @query(f"WITH {LOOSE_PAIRS} SELECT count(*) FILTER (WHERE tier = 'exact') AS exact_pairs, count(*) FILTER (WHERE tier = 'similar') AS similar_pairs FROM pairs")
