@@ -5,7 +5,8 @@ point's neighbours; pruning takes the nearest and drops what is nearer to it, by
 the point, until ``degree`` edges are kept; edges back are added and pruned alike.  Queries search every shard's graph
 by a beam, and the best of all shards are merged.  Largest inner products become smallest distances by one
 more component, which makes all points of a shard equally long.  A shard's equal vectors are one point.  Searches
-begin at a point near the mean and at one of each piece that no path reaches, so every point can be found.
+begin at a point near the mean, at some at random and at one of each piece that no path reaches, so every point can
+be found.
 Shards stay where they are: a task holds a few and blocks of queries come to it, one after the other.
 """
 
@@ -23,7 +24,10 @@ from .topk import QUERIES, SHARD, first_of_each, packed_blocks, search_in_place,
 
 #: Searches that advance together.
 TOGETHER = 512
-DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAX = 28, 48, 96, 1.2
+DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAX = 28, 48, 112, 1.2
+#: Points at random that are proposed to each new point beside those that a search finds, and where searches begin:
+#: in a crowd of near copies a search finds copies alone, and pruning leaves no way out of it.
+FAR, STARTS = 16, 48
 
 _GRAPH = "shard long, ids binary, vectors binary, graph binary"
 _FOUND = "query_id long, vec_id long, score double"
@@ -74,6 +78,11 @@ def robust_prune(points: np.ndarray, own: np.ndarray, candidates: np.ndarray, de
     squares = (theirs**2).sum(axis=2)
     between = squares[:, :, None] + squares[:, None, :] - 2 * np.matmul(theirs, theirs.transpose(0, 2, 1))
     away[(candidates < 0) | (candidates == own[:, None])] = np.inf
+    by_number = np.argsort(candidates, axis=1, kind="stable")
+    sorted_ = np.take_along_axis(candidates, by_number, axis=1)
+    again = np.zeros(candidates.shape, np.bool_)
+    np.put_along_axis(again, by_number[:, 1:], sorted_[:, 1:] == sorted_[:, :-1], axis=1)
+    away[again] = np.inf
     kept = np.full((n, degree), -1, np.int64)
     rows = np.arange(n)
     for k in range(min(degree, width)):
@@ -87,10 +96,10 @@ def robust_prune(points: np.ndarray, own: np.ndarray, candidates: np.ndarray, de
     return kept
 
 
-def entries(graph: np.ndarray, start: int) -> np.ndarray:
-    """``start``, and a point of each piece of the graph that cannot be reached from those before it."""
+def entries(graph: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """``starts``, and a point of each piece of the graph that cannot be reached from those before it."""
     reached = np.zeros(len(graph), np.bool_)
-    out, front = [start], np.asarray([start])
+    out, front = starts.tolist(), starts
     while True:
         while len(front):
             reached[front] = True
@@ -104,16 +113,18 @@ def entries(graph: np.ndarray, start: int) -> np.ndarray:
 
 
 def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, relax: float = RELAX) -> tuple[np.ndarray, np.ndarray]:
-    """(neighbours (points, degree) padded with -1, the points where searches start: the one nearest to the mean, and those that ``entries`` adds)."""
+    """(neighbours (points, degree) padded with -1, the points where searches start: the one nearest to the mean, some at random, and those that ``entries`` adds)."""
     n = len(points)
     graph = np.full((n, degree), -1, np.int64)
     start = int(((points - points.mean(axis=0)) ** 2).sum(axis=1).argmin())
-    order = np.random.default_rng(n).permutation(n)
+    rng = np.random.default_rng(n)
+    order = rng.permutation(n)
     order = np.concatenate([[start], order[order != start]])
     done = 1
     while done < n:
         new = order[done : done + min(TOGETHER, max(1, done))]
-        found, _ = beam_search(points[new], points, graph, order[:1], beam)
+        found, _ = beam_search(points[new], points, graph, order[: min(done, STARTS)], beam)
+        found = np.concatenate([found, order[rng.integers(0, done, (len(new), FAR))]], axis=1)
         graph[new] = robust_prune(points, new, found, degree, relax)
         # edges back: to each point, its edges so far and those that now lead from it
         source, target = np.repeat(new, degree), graph[new].ravel()
@@ -136,7 +147,7 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM
             some = hard[i : i + TOGETHER]
             graph[touched[some]] = robust_prune(points, touched[some], both[some], degree, relax)
         done += len(new)
-    return graph, entries(graph, start)
+    return graph, entries(graph, order[:STARTS])
 
 
 def distinct_points(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -83,7 +83,7 @@ def test_all_points_of_a_graph_are_found(spark):
     assert (found[:, 0] == np.arange(1500)).mean() > 0.98
     cut = np.full((9, 2), -1)
     cut[0, 0], cut[3, 0], cut[4, 0] = 1, 4, 3
-    assert entries(cut, 0).tolist() == [0, 2, 3, 5, 6, 7, 8]
+    assert entries(cut, np.asarray([0])).tolist() == [0, 2, 3, 5, 6, 7, 8]
     rows = [(i, v.tolist()) for i, v in enumerate(vectors[:19])]
     few = nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20, 1)
     assert few.count() == 19 * 18
@@ -110,3 +110,16 @@ def test_copies_and_odd_vectors(spark, odd_vectors):
     got = {(r.query_id, r.rank): r.vec_id for r in nearest_neighbours(vectors, 20, 60).collect()}
     assert np.mean([got[q, n] == i for q, n, i, _ in wanted]) > 0.9
     assert nearest_neighbours(odd_vectors.where("false")).collect() == []
+
+
+def test_recall_beside_a_crowd_of_near_copies(spark):
+    """A third of the points are one vector with a little noise: searches must not be caught among them."""
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(3000, 32))
+    vectors[::3] = vectors[0] + rng.normal(size=(1000, 32)) * 0.01
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    rows = dict(enumerate(vectors.tolist()))
+    wanted = brute_force(rows, 20, 50, False)
+    truth = {(q, i) for q, _, i, _ in wanted}
+    found = nearest_neighbours(spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>"), 20, 50, shard=1000).collect()
+    assert len(found) == len(truth) and sum((r.query_id, r.vec_id) in truth for r in found) / len(truth) >= 0.95
