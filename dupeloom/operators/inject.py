@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from ..config import Config
 from .evaluate import precision_recall
 
+#: Kinds of duplicates, and the least lines and statements of a function that is chosen. Fixed values.
 TIERS = ("exact", "renamed", "restructured", "augmented", "semantic")
-#: A function is chosen from this many lines and statements on.
 LEAST_LINES, LEAST_STATEMENTS = 12, 3
 
 _CHOSEN = "file_path string, name string, start_line int, end_line int, text string"
