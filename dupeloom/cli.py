@@ -72,6 +72,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--method", choices=("exact", "minhash"), default="exact")
         c.add_argument("--focus", action="append", help="report findings that touch this file")
         c.add_argument("--focus-from", help="file with a path on each line, or - for standard input")
+        c.add_argument("--save", metavar="FOLDER", help="also write all relations of the report there, as Parquet")
         c.add_argument("-v", "--verbose", action="count", default=0)
     g = sub.add_parser("guide")
     g.add_argument("topic", nargs="?", choices=sorted(GUIDE), default="setup")
@@ -109,7 +110,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     logging.basicConfig(stream=sys.stderr, level=(logging.WARNING, logging.INFO, logging.DEBUG)[min(args.verbose, 2)])
     from .overview import file_overview, format_overview, function_entries, ordered_files, partner_lists
     from .plans.scan import scan
-    from .report import FORMATS, _rows
+    from .report import FORMATS, _rows, save
     from .sources.files import read_focus_list
     from .stats import format_stats
 
@@ -125,6 +126,8 @@ def main(argv: list[str] | None = None, spark=None) -> int:
 
             spark = SparkSession.builder.appName("dupeloom").config("spark.ui.enabled", "false").getOrCreate()
         report = scan(spark, args.path, config, focus, args.method)
+        if args.save:
+            save(report, args.save)
         as_json = config.output.format == "json"
         if args.command == "stats":
             print(format_stats(report.statistics().first().asDict(), report.suppressed(), as_json), end="")

@@ -215,6 +215,9 @@ def test_reports_and_command_line(spark, tmp_path, capsys):
     assert main(["scan", str(root), "--format", "json"], spark) == 1
     assert json.loads(capsys.readouterr().out)["clusters"]
     assert main(["scan", str(root), "--focus", str(root / "d.py")], spark) == 0
+    assert main(["scan", str(root), "--suggest", "--save", str(tmp_path / "out")], spark) == 1
+    assert {p.name: spark.read.parquet(str(p)).count() for p in (tmp_path / "out").iterdir()} == {"files": 4, "functions": 3, "members": 2, "clusters": 1, "pairs": 1, "suggestions": 1}
+    assert capsys.readouterr().out
     assert main(["overview", str(root)], spark) == 0 and "gather (lines 2-14): like collect" in capsys.readouterr().out
     assert main(["stats", str(root), "--format", "json"], spark) == 0
     assert json.loads(capsys.readouterr().out)["clone_pairs"] == 1
