@@ -487,7 +487,13 @@ _ALONE = "# file {k}\ndef f_{k}(rows_{k}, limit={c}):\n" + _BODY + "    return k
 _INSIDE = "def part_{k}(rows_{k}):\n" + _BODY + "\ndef host_{k}(rows_{k}):\n" + _BODY + "".join(f"    step_{i} = call_{i}({{c}}, total, {i})\n" for i in range(5)) + "    return step_1, step_2\n"
 
 
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Keys dealt over all cores: a column of numbers is one task's worth to read, and the sources made from it are not."""
+    return rows.select(key).repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def _sources(rows: DataFrame, key: str, template: str, every: int) -> DataFrame:
+    rows = _dealt(rows, key)
     k = F.col(key).cast("string")
     c = F.floor(F.col(key) / every).cast("string")
     text = F.replace(F.replace(F.lit(template), F.lit("{k}"), k), F.lit("{c}"), c)
@@ -537,7 +543,7 @@ def _site_sources(spark, sf_dir) -> DataFrame:
     text = F.replace(F.lit(_SITES), F.lit("{k}"), k)
     for i in range(9):
         text = F.replace(text, F.lit(f"{{v{i}}}"), F.when(F.lit(i) < c % 9, k).otherwise(c.cast("string")))
-    rows = _table(spark, sf_dir, "part")
+    rows = _dealt(_table(spark, sf_dir, "part"), "p_partkey")
     return rows.select(F.concat(F.lit("src/f"), F.lpad(k, 12, "0"), F.lit(".py")).alias("file_path"), F.encode(text, "UTF-8").alias("source"), F.lit("ok").alias("status"))
 
 

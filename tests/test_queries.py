@@ -55,7 +55,12 @@ def test_a_stream_finds_what_a_batch_finds(spark, sf_dir, tmp_path):
     assert rounded(found.collect()) == rounded(wanted.collect())
 
 
-@pytest.mark.parametrize("name", ["ast_rendered_templates", "ast_holes", "ast_suggestions"])
+@pytest.mark.parametrize("name", ["ast_rendered_templates", "ast_holes", "ast_suggestions", "ast_suffix_containment"])
 def test_trees_are_not_taken_for_small(spark, sf_dir, name):
     """By its columns alone a relation of trees that were made from a few numbers looks small enough to be broadcast."""
     assert "BroadcastHashJoin" not in queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_sources_of_a_small_table_are_dealt_over_all_cores(spark, sf_dir):
+    files = queries._sources(queries._table(spark, sf_dir, "supplier"), "s_suppkey", queries._AT_END, 1)
+    assert files.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
