@@ -56,8 +56,18 @@ def _prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(reportable(fingerprints(_fragments(spark, sf_dir))).select("frag_id", "source", "exec_lines", "exec_stmts", "root_hash", "shingles", "n"))
 
 
+def _lean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reportable fragments without their fingerprints, which take more room than the texts."""
+    return cut(long_enough(_fragments(spark, sf_dir)).select("frag_id", "source", "exec_lines", "exec_stmts", "root_hash"))
+
+
+def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprints by class, made anew whenever they are read."""
+    return fingerprints(long_enough(_fragments(spark, sf_dir))).select(F.xxhash64("root_hash").alias("id"), "frag_id", "exec_lines", "shingles", "n")
+
+
 def _pairs(spark: SparkSession, sf_dir: str, config: ScanConfig = SCAN, prints: DataFrame | None = None) -> DataFrame:
-    return cut(pairs_of.accepted_pairs(_prints(spark, sf_dir) if prints is None else prints, config))
+    return cut(pairs_of.accepted_pairs(_lean(spark, sf_dir) if prints is None else prints, config, sets=_sets(spark, sf_dir)))
 
 
 def _findings(spark: SparkSession, sf_dir: str, prints: DataFrame | None = None) -> DataFrame:

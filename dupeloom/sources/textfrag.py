@@ -35,7 +35,8 @@ def text_fragments(docs: DataFrame, key: str = "doc_id", extra: tuple[str, ...]
 
 def fingerprints(fragments: DataFrame, size: int = SHINGLE) -> DataFrame:
     """The fragments with ``shingles``, the hashes of their distinct word shingles, and ``n``, how many; too short texts have none."""
-    hashed = bound("words", lambda w: F.transform(_starts(w, size), lambda i: F.xxhash64(F.slice(w, i, F.lit(size)))))
+    # the hash of an array of words; a slice would copy all of the words each time
+    hashed = bound("words", lambda w: F.transform(_starts(w, size), lambda i: F.xxhash64(*[F.get(w, i + (k - 1)) for k in range(size)])))
     return fragments.withColumn("shingles", F.array_distinct(hashed)).withColumn("n", F.size("shingles"))
 
 

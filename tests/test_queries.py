@@ -64,3 +64,45 @@ def test_trees_are_not_taken_for_small(spark, sf_dir, name):
 def test_sources_of_a_small_table_are_dealt_over_all_cores(spark, sf_dir):
     files = queries._sources(queries._table(spark, sf_dir, "supplier"), "s_suppkey", queries._AT_END, 1)
     assert files.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+LOOSE_QUERIES = ["nested_filter"]
+
+
+@pytest.mark.parametrize("name", LOOSE_QUERIES)
+def test_pairs_keep_no_fingerprints(spark, sf_dir, name, monkeypatch):
+    """What is written to the shared folder has sets only of texts that may have a partner; fingerprints of all take more room than the texts."""
+    from dupeloom.operators import components, pairs
+
+    written = []
+    keep = lambda df: written.append((df.columns, kept := components.cut(df), kept.count())[::2]) or kept
+    monkeypatch.setattr(pairs, "cut", keep)
+    monkeypatch.setattr(queries, "cut", keep)
+    queries.QUERIES[name](spark, sf_dir)
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    assert written and all("shingles" not in columns or rows < texts / 2 for columns, rows in written)
+
+
+def test_similar_classes_are_similar_pairs(spark, monkeypatch):
+    """Frequent elements, repeated rows, broadcasts in parts, sizes at the threshold's edge: the same pairs as from kept sets."""
+    import random
+
+    from dupeloom.operators import pairs
+
+    monkeypatch.setattr(pairs, "FREQUENT", 5)
+    monkeypatch.setattr(pairs, "AT_ONCE", 7)
+    deal = random.Random(4)
+    rows = []
+    for i in range(120):
+        own = [deal.getrandbits(60) - (1 << 59) for _ in range(deal.randint(1, 30))]
+        rows.append((i, list({*own, *range(deal.randint(0, 8))})))
+        for j in range(i % 3):
+            changed = set(own[: max(1, len(own) - deal.randint(0, len(own) // 2))]) | set(range(j * 3))
+            rows.append((1000 * (j + 1) + i, list(changed)))
+    rows += rows[:10]
+    sets = spark.createDataFrame([(i, s, len(s)) for i, s in rows], "id long, shingles array<long>, n int").repartition(5)
+    plain = sets.dropDuplicates(["id"]).withColumnRenamed("id", "frag_id")
+    for threshold in (0.3, 0.6, 0.85, 1.0):
+        found = pairs.similar_classes(sets, threshold).collect()
+        wanted = pairs.similar_pairs(plain, threshold).select("left_id", "right_id", "similarity").collect()
+        assert rounded(found) == rounded(wanted) and wanted
