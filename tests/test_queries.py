@@ -66,7 +66,7 @@ def test_sources_of_a_small_table_are_dealt_over_all_cores(spark, sf_dir):
     assert files.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
-LOOSE_QUERIES = ["nested_filter"]
+LOOSE_QUERIES = ["nested_filter", "tier_histogram"]
 
 
 @pytest.mark.parametrize("name", LOOSE_QUERIES)
