@@ -61,14 +61,19 @@ def reportable(prints: DataFrame, least_lines: int = 0) -> DataFrame:
     return prints.where((F.col("n") > 0) & (F.col("exec_lines") >= least_lines))
 
 
+def shingle_places(fragments: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """The fragments with ``places``: an array of (shingle, starts, ends) of each place where a shingle stands, with its lines."""
+    of_line = lambda content, i: F.transform(F.filter(F.split(content, BETWEEN_WORDS), lambda word: word != ""), lambda w: F.struct((i + 1).alias("line"), w.alias("word")))
+    flat = F.flatten(F.transform("lines", of_line))
+    at = lambda w, i, k: F.get(w, i + (k - 1))
+    place = lambda w, i: F.struct(F.xxhash64(*[at(w, i, k)["word"] for k in range(size)]).alias("shingle"), at(w, i, 0)["line"].alias("starts"), at(w, i, size - 1)["line"].alias("ends"))
+    return fragments.withColumn("places", bound(flat, lambda w: F.transform(_starts(w, size), lambda i: place(w, i))))
+
+
 def shingle_lines(fragments: DataFrame, size: int = SHINGLE) -> DataFrame:
     """frag_id, shingle, first_end, last_start: of each distinct shingle the first line it ends on and the last it starts on.
 
     A leading run of k lines has just the shingles with first_end <= k; one that begins at line s those with last_start >= s.
     """
-    placed = fragments.select("frag_id", F.posexplode("lines").alias("line", "content")).select("frag_id", (F.col("line") + 1).alias("line"), F.filter(F.split("content", BETWEEN_WORDS), lambda word: word != "").alias("words"))
-    in_order = placed.groupBy("frag_id").agg(F.array_sort(F.collect_list(F.struct("line", "words"))).alias("all"))
-    flat = F.flatten(F.transform("all", lambda r: F.transform(r["words"], lambda w: F.struct(r["line"].alias("line"), w.alias("word")))))
-    place = lambda w, i: F.struct(F.xxhash64(F.transform(F.slice(w, i, F.lit(size)), lambda x: x["word"])).alias("shingle"), F.element_at(w, i)["line"].alias("starts"), F.element_at(w, i + (size - 1))["line"].alias("ends"))
-    each = in_order.select("frag_id", F.explode(bound(flat, lambda w: F.transform(_starts(w, size), lambda i: place(w, i)))).alias("s"))
+    each = shingle_places(fragments, size).select("frag_id", F.explode("places").alias("s"))
     return each.groupBy("frag_id", F.col("s.shingle").alias("shingle")).agg(F.min("s.ends").alias("first_end"), F.max("s.starts").alias("last_start"))

@@ -66,21 +66,23 @@ def test_sources_of_a_small_table_are_dealt_over_all_cores(spark, sf_dir):
     assert files.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
-LOOSE_QUERIES = ["nested_filter", "tier_histogram"]
+LOOSE_QUERIES = ["nested_filter", "tier_histogram", "containment_findings", "containment_scores", "first_containment", "scan_stats", "file_overview_counts", "superseded_pairs", "clone_clusters", "cluster_order", "cluster_member_pairs"]
 
 
 @pytest.mark.parametrize("name", LOOSE_QUERIES)
 def test_pairs_keep_no_fingerprints(spark, sf_dir, name, monkeypatch):
     """What is written to the shared folder has sets only of texts that may have a partner; fingerprints of all take more room than the texts."""
-    from dupeloom.operators import components, pairs
+    from dupeloom.operators import components, containment, pairs
 
     written = []
     keep = lambda df: written.append((df.columns, kept := components.cut(df), kept.count())[::2]) or kept
-    monkeypatch.setattr(pairs, "cut", keep)
+    for module in (pairs, containment):
+        monkeypatch.setattr(module, "cut", keep)
+        monkeypatch.setattr(module, "cut_and_drop", keep, raising=False)
     monkeypatch.setattr(queries, "cut", keep)
     queries.QUERIES[name](spark, sf_dir)
     texts = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
-    assert written and all("shingles" not in columns or rows < texts / 2 for columns, rows in written)
+    assert written and all(not {"shingles", "shingle"} & {*columns} or rows < texts / 2 for columns, rows in written)
 
 
 def test_similar_classes_are_similar_pairs(spark, monkeypatch):
@@ -106,3 +108,30 @@ def test_similar_classes_are_similar_pairs(spark, monkeypatch):
         found = pairs.similar_classes(sets, threshold).collect()
         wanted = pairs.similar_pairs(plain, threshold).select("left_id", "right_id", "similarity").collect()
         assert rounded(found) == rounded(wanted) and wanted
+
+
+def test_runs_of_texts_are_those_of_kept_sets(spark, monkeypatch):
+    """Copies, a host that holds its own copy, runs at both ends, frequent lines: the same accepted runs as from kept fingerprints and lines."""
+    import random
+
+    from dupeloom.operators import containment, pairs
+
+    monkeypatch.setattr(pairs, "FREQUENT", 4)
+    deal = random.Random(6)
+    line = lambda: " ".join(deal.choice("abcdefghijkl") + str(deal.randint(0, 40)) for _ in range(deal.randint(1, 9)))
+    texts = []
+    for _ in range(25):
+        own = [line() for _ in range(deal.randint(8, 24))]
+        more = [line() for _ in range(deal.randint(2, 8))]
+        near = [x if deal.random() > 0.04 else line() for x in own]
+        texts += [own, own + more, more + own, near, near + more, ["the same line for all of them"] * 3 + own, ["one line that is there again and again"] * 20]
+    rows = [(i, "\n".join(t), "s") for i, t in enumerate([*texts, *texts[:30], ["a b"], []])] + [(9999, None, "s")]
+    fragments = queries.text_fragments(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3))
+    prints = queries.reportable(queries.fingerprints(fragments))
+    lines = queries.shingle_lines(fragments)
+    wanted = containment.containment_scores(prints, lines, containment.line_runs(lines, fragments, queries.CONTAINMENT), queries.CONTAINMENT)
+    sets = queries.fingerprints(queries.long_enough(fragments)).selectExpr("xxhash64(root_hash) as id", "frag_id", "exec_lines", "shingles", "n")
+    places = queries.shingle_places(queries.long_enough(fragments)).select("frag_id", "exec_lines", "places")
+    found = containment.text_containment_scores(queries.long_enough(fragments), sets, places, queries.CONTAINMENT)
+    columns = [*wanted.columns]
+    assert rounded(found.select(*columns).collect()) == rounded(wanted.collect()) and wanted.count() > 100
