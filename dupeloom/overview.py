@@ -40,10 +40,15 @@ def function_entries(fragments: DataFrame, pairs: DataFrame, containments: DataF
 
 def file_overview(fragments: DataFrame, pairs: DataFrame, containments: DataFrame | None = None) -> DataFrame:
     """file_path, clone_count, containment_count: fragments with findings in each file that has any."""
+    return overview_of_ends(fragments, _sides(pairs, "left_id", "right_id"), None if containments is None else _sides(containments, "contained_id", "container_id"))
+
+
+def overview_of_ends(fragments: DataFrame, clones: DataFrame, contained: DataFrame | None = None) -> DataFrame:
+    """file_overview, from the fragments (frag_id) in pairs and those in containments."""
     files = fragments.select("frag_id", "file_path")
-    sides = _sides(pairs, "left_id", "right_id").select("frag_id", F.lit(1).alias("clone"), F.lit(0).alias("contained"))
-    if containments is not None:
-        sides = sides.unionByName(_sides(containments, "contained_id", "container_id").select("frag_id", F.lit(0).alias("clone"), F.lit(1).alias("contained")))
+    sides = clones.select("frag_id", F.lit(1).alias("clone"), F.lit(0).alias("contained"))
+    if contained is not None:
+        sides = sides.unionByName(contained.select("frag_id", F.lit(0).alias("clone"), F.lit(1).alias("contained")))
     return sides.join(files, "frag_id").groupBy("file_path").agg(F.sum("clone").alias("clone_count"), F.sum("contained").alias("containment_count"))
 
 

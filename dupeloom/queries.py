@@ -13,7 +13,7 @@ from .operators import pairs as pairs_of
 from .operators.components import clusters, cut
 from .operators.evaluate import match_pairs, precision_recall
 from .operators.inject import cluster_pairs
-from .overview import best_partners, file_overview, function_entries, partner_lists
+from .overview import best_partners, file_overview, function_entries, overview_of_ends, partner_lists
 from .overview import file_order as overview_order
 from .plans.scan import scan_files
 from .report import format_json, format_sarif
@@ -70,6 +70,23 @@ def _pairs(spark: SparkSession, sf_dir: str, config: ScanConfig = SCAN, prints:
     return cut(pairs_of.accepted_pairs(_lean(spark, sf_dir) if prints is None else prints, config, sets=_sets(spark, sf_dir)))
 
 
+def _links(spark: SparkSession, sf_dir: str, config: ScanConfig = SCAN, prints: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The accepted pairs as links of classes of equal texts, and the members of those."""
+    return pairs_of.accepted_links(_lean(spark, sf_dir) if prints is None else prints, _sets(spark, sf_dir), config)
+
+
+def _spanning(spark: SparkSession, sf_dir: str, config: ScanConfig = SCAN) -> DataFrame:
+    """So many of the accepted pairs that their clusters are those of all: all of them grow with the square of a text's copies."""
+    return cut(pairs_of.spanning_pairs(*_links(spark, sf_dir, config)))
+
+
+def _finding_links(spark: SparkSession, sf_dir: str, prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The findings as links of classes of equal texts, and the members of those."""
+    places = shingle_places(long_enough(_fragments(spark, sf_dir))).select("frag_id", "exec_lines", "places")
+    scores, members = runs_of.class_scores(prints, _sets(spark, sf_dir), places, CONTAINMENT)
+    return cut(runs_of.finding_links(scores, members)), members
+
+
 def _scores(spark: SparkSession, sf_dir: str, prints: DataFrame | None = None) -> DataFrame:
     places = shingle_places(long_enough(_fragments(spark, sf_dir))).select("frag_id", "exec_lines", "places")
     return runs_of.text_containment_scores(_lean(spark, sf_dir) if prints is None else prints, _sets(spark, sf_dir), places, CONTAINMENT)
@@ -383,13 +400,13 @@ def scan_stats(spark, sf_dir):
 @query(f"WITH {LOOSE_PAIRS} SELECT count(*) FILTER (WHERE tier = 'exact') AS exact_pairs, count(*) FILTER (WHERE tier = 'similar') AS similar_pairs FROM pairs")
 def tier_histogram(spark, sf_dir):
     """Pairs by tier."""
-    return _pairs(spark, sf_dir, LOOSE).agg(*pair_counts()).select("exact_pairs", "similar_pairs")
+    return _links(spark, sf_dir, LOOSE)[0].agg(*pair_counts(F.col("weight"))).select("exact_pairs", "similar_pairs")
 
 
 @query(f"WITH {LOOSE_PAIRS} SELECT count(*) FILTER (WHERE similarity = 1) AS identical, count(*) FILTER (WHERE similarity < 1 AND similarity >= 0.9) AS high, count(*) FILTER (WHERE similarity < 0.9) AS rest FROM pairs")
 def score_histogram(spark, sf_dir):
     """Pairs by score (A7): an identical fingerprint need not be of the exact tier."""
-    return _pairs(spark, sf_dir, LOOSE).agg(*pair_counts()).select("identical", "high", "rest")
+    return _links(spark, sf_dir, LOOSE)[0].agg(*pair_counts(F.col("weight"))).select("identical", "high", "rest")
 
 
 @query(

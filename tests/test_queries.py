@@ -135,3 +135,59 @@ def test_runs_of_texts_are_those_of_kept_sets(spark, monkeypatch):
     found = containment.text_containment_scores(queries.long_enough(fragments), sets, places, queries.CONTAINMENT)
     columns = [*wanted.columns]
     assert rounded(found.select(*columns).collect()) == rounded(wanted.collect()) and wanted.count() > 100
+
+
+COPIES = [{"text": "\n".join(f"line {i} of text {t} has words {i * t} and {i + t}" for i in range(24)), "n": n} for t, n in ((3, 60), (5, 50), (7, 1))]
+
+
+@pytest.fixture(scope="module")
+def copies(spark, tmp_path_factory):
+    """Many copies of a text, of a longer one that begins with it and of a near copy, and one text alone: few texts and many pairs."""
+    folder = tmp_path_factory.mktemp("copies")
+    plain = COPIES[0]["text"]
+    texts = [x["text"] for x in COPIES for _ in range(x["n"])] + [plain + "\nand one more line at the end of it"] * 40
+    texts += [plain + "".join(f"\nno other text has row {i} or {i * i}" for i in range(5))] * 30
+    rows = [(i, t, f"src{i % 4}") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(2).write.parquet(str(folder / "documents.parquet"))
+    return str(folder), len(rows)
+
+
+LINKED_QUERIES = ["tier_histogram"]
+
+
+@pytest.mark.parametrize("name", LINKED_QUERIES)
+def test_what_is_written_does_not_grow_with_the_pairs_of_copies(spark, copies, name, monkeypatch):
+    """Thousands of pairs of a few texts' copies: links of texts are written, not pairs, and the result is that of the SQL."""
+    from dupeloom.operators import components, containment, pairs
+
+    folder, texts = copies
+    rows = []
+    keep = lambda df: rows.append((kept := components.cut(df)).count()) or kept
+    for module in (pairs, containment, queries):
+        monkeypatch.setattr(module, "cut", keep)
+        monkeypatch.setattr(module, "cut_and_drop", keep, raising=False)
+    df = queries.QUERIES[name](spark, folder)
+    tables = duckdb.connect()
+    tables.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    wanted = tables.sql(queries.ORACLE_SQL[name])
+    columns = sorted(df.columns)
+    places = [wanted.columns.index(c) for c in columns]
+    assert rounded(df.select(*columns).collect()) == rounded(tuple(r[i] for i in places) for r in wanted.fetchall())
+    assert rows and max(rows) <= 2 * texts
+
+
+def test_blocks_score_as_sets_do(spark, monkeypatch):
+    """Groups larger than a block, sets that are in no candidate, repeated rows: the similarities of scored."""
+    import random
+
+    from dupeloom.operators import pairs
+
+    monkeypatch.setattr(pairs, "BLOCK", 4)
+    deal = random.Random(8)
+    rows = [(i - 30, deal.sample(range(-40, 40), deal.randint(1, 30))) for i in range(60)]
+    met = [(a, b) for a in range(-30, 30) for b in range(a + 1, 30) if a % 3 == b % 3 and deal.random() < 0.7 and b < 25]
+    sets = spark.createDataFrame([(i, s, len(s)) for i, s in rows + rows[:9]], "id long, shingles array<long>, n int").repartition(4)
+    candidates = spark.createDataFrame(met, "left_id long, right_id long")
+    plain = sets.dropDuplicates(["id"]).withColumnRenamed("id", "frag_id")
+    wanted = pairs.scored(candidates, plain).select("left_id", "right_id", "similarity").collect()
+    assert rounded(pairs.scored_in_blocks(candidates, sets).collect()) == rounded(wanted) and len(wanted) == len(met)
