@@ -700,7 +700,7 @@ def ast_rendered_templates(spark, sf_dir):
 )
 def cluster_order(spark, sf_dir):
     """Clusters in the order of the report (O3)."""
-    summary = clusters(_pairs(spark, sf_dir, LOOSE))[1]
+    summary = clusters(_spanning(spark, sf_dir, LOOSE))[1]
     return pairs_of.with_rank(summary, F.desc("min_similarity"), F.desc("size"), "cluster_id", rank="place").select("cluster_id", "place")
 
 

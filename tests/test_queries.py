@@ -152,7 +152,7 @@ def copies(spark, tmp_path_factory):
     return str(folder), len(rows)
 
 
-LINKED_QUERIES = ["tier_histogram"]
+LINKED_QUERIES = ["tier_histogram", "cluster_order"]
 
 
 @pytest.mark.parametrize("name", LINKED_QUERIES)
