@@ -278,7 +278,7 @@ def _md5_key(part, band):
 @query(f"WITH RECURSIVE {CLUSTERS} SELECT cluster_id, frag_id FROM members")
 def clone_clusters(spark, sf_dir):
     """Connected components of accepted pairs (A2)."""
-    return clusters(_pairs(spark, sf_dir, LOOSE))[0]
+    return clusters(_spanning(spark, sf_dir, LOOSE))[0]
 
 
 @query(
@@ -288,7 +288,7 @@ def clone_clusters(spark, sf_dir):
 )
 def cluster_summary(spark, sf_dir):
     """Size, lowest similarity and weakest tier of each cluster (A3, O3)."""
-    return clusters(_pairs(spark, sf_dir, LOOSE))[1].select("cluster_id", "size", F.round("min_similarity", 9).alias("min_similarity"), "tier")
+    return clusters(_spanning(spark, sf_dir, LOOSE))[1].select("cluster_id", "size", F.round("min_similarity", 9).alias("min_similarity"), "tier")
 
 
 def _runs(spark, sf_dir, role):
