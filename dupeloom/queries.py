@@ -727,7 +727,7 @@ def file_order(spark, sf_dir):
 def cluster_member_pairs(spark, sf_dir):
     """Each two members of a cluster, as an evaluation takes them (bench side)."""
     fragments = _fragments(spark, sf_dir).select("frag_id", F.col("source").alias("file_path"), F.lit(1).alias("start_line"), F.col("exec_lines").alias("end_line"))
-    return cluster_pairs(clusters(_pairs(spark, sf_dir, LOOSE))[0], fragments).select("pair_id")
+    return cluster_pairs(clusters(_spanning(spark, sf_dir, LOOSE))[0], fragments).select("pair_id")
 
 
 @query()
