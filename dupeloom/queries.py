@@ -391,9 +391,10 @@ def benchmark_contamination(spark, sf_dir):
 def scan_stats(spark, sf_dir):
     """The scan's counts and similarities in one row."""
     prints = _lean(spark, sf_dir)
-    pairs = _pairs(spark, sf_dir, SCAN, prints)
+    links, members = _links(spark, sf_dir, SCAN, prints)
     scanned = _table(spark, sf_dir, "documents").select(F.count("*").alias("files_scanned"))
-    row = scan_statistics(prints.withColumn("file_path", F.col("source")), pairs, _findings(spark, sf_dir, prints), scanned, clusters(pairs)[1])
+    groups = clusters(pairs_of.spanning_pairs(links, members))[1]
+    row = scan_statistics(prints.withColumn("file_path", F.col("source")), links, _finding_links(spark, sf_dir, prints)[0], scanned, groups, pairs_of.ends_of_links(links, members))
     return row.select("files_scanned", "clusters", "fragments", "clone_pairs", "containment_findings", "fragments_in_clones", "files_with_clones", *[F.round(c, 9).alias(c) for c in ("min_similarity", "max_similarity", "avg_similarity", "percent_in_clones")])
 
 
