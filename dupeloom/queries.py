@@ -419,7 +419,8 @@ def score_histogram(spark, sf_dir):
 def file_overview_counts(spark, sf_dir):
     """Fragments with findings for each source."""
     prints = _lean(spark, sf_dir)
-    return file_overview(prints.withColumn("file_path", F.col("source")), _pairs(spark, sf_dir, SCAN, prints), _findings(spark, sf_dir, prints)).select("file_path", "clone_count", "containment_count")
+    clones, contained = _links(spark, sf_dir, SCAN, prints), _finding_links(spark, sf_dir, prints)
+    return overview_of_ends(prints.withColumn("file_path", F.col("source")), pairs_of.ends_of_links(*clones), pairs_of.ends_of_links(*contained)).select("file_path", "clone_count", "containment_count")
 
 
 _BOTH_WAYS = "ways AS (SELECT left_id AS frag_id, right_id AS partner_id, * FROM pairs UNION ALL SELECT right_id, left_id, * FROM pairs)"
