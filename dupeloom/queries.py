@@ -354,7 +354,9 @@ def nested_filter(spark, sf_dir):
 def superseded_pairs(spark, sf_dir):
     """Accepted pairs without those that a containment describes better."""
     prints = _lean(spark, sf_dir)
-    return pairs_of.not_superseded(_pairs(spark, sf_dir, SCAN, prints), _findings(spark, sf_dir, prints)).select("left_id", "right_id", "tier")
+    links, members = _links(spark, sf_dir, SCAN, prints)
+    known = _finding_links(spark, sf_dir, prints)[0].select(F.col("left_id").alias("contained_id"), F.col("right_id").alias("container_id"))
+    return pairs_of.pairs_of_links(cut(pairs_of.not_superseded(links, known)), members).select("left_id", "right_id", "tier")
 
 
 @query(f"WITH {JACCARD} SELECT left_id, right_id, tier FROM pairs WHERE left_id IN (SELECT frag_id FROM fp WHERE source = '{FOCUS_SOURCE}') OR right_id IN (SELECT frag_id FROM fp WHERE source = '{FOCUS_SOURCE}')")

@@ -152,7 +152,7 @@ def copies(spark, tmp_path_factory):
     return str(folder), len(rows)
 
 
-LINKED_QUERIES = ["tier_histogram", "cluster_order", "clone_clusters", "cluster_member_pairs", "scan_stats", "file_overview_counts"]
+LINKED_QUERIES = ["tier_histogram", "cluster_order", "clone_clusters", "cluster_member_pairs", "scan_stats", "file_overview_counts", "superseded_pairs"]
 
 
 @pytest.mark.parametrize("name", LINKED_QUERIES)
