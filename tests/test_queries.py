@@ -191,3 +191,47 @@ def test_blocks_score_as_sets_do(spark, monkeypatch):
     plain = sets.dropDuplicates(["id"]).withColumnRenamed("id", "frag_id")
     wanted = pairs.scored(candidates, plain).select("left_id", "right_id", "similarity").collect()
     assert rounded(pairs.scored_in_blocks(candidates, sets).collect()) == rounded(wanted) and len(wanted) == len(met)
+
+
+def _matched(manifest, found):
+    """match_pairs, by trying all with all."""
+
+    def iou(a, b, c, d):
+        shared = max(min(b, d) - max(a, c) + 1, 0)
+        return shared / ((b - a + 1) + (d - c + 1) - shared)
+
+    out = set()
+    for e, tier, f, s, t, g, u, v in manifest:
+        for p, *sides in found:
+            for h, a, b, k, c, d in (sides, sides[3:] + sides[:3]):
+                if f is not None and g is not None and (f, g) == (h, k) and iou(s, t, a, b) >= 0.5 and iou(u, v, c, d) >= 0.5:
+                    out.add((e, tier, p))
+    return out
+
+
+@pytest.mark.parametrize("repeated, most", [(0, 1000), (9, 1000), (9, 3)])
+def test_matches_are_sorted_out_only_where_ids_repeat(spark, repeated, most, monkeypatch):
+    """Both ways round, one file on both sides, null files, repeated ids; without these no result is shuffled, whose rows grow with the square of the input's."""
+    import random
+
+    from dupeloom.operators import evaluate
+
+    monkeypatch.setattr(evaluate, "AT_ONCE", most, raising=False)
+    deal = random.Random(5)
+
+    def sides():
+        for _ in range(2):
+            start = deal.randint(1, 8)
+            yield from (deal.choice([*"aabbc", None]), start, start + deal.randint(0, 9))
+
+    manifest = [(f"e{i}", deal.choice("xy"), *sides()) for i in range(120)]
+    found = [(f"p{i}", *sides()) for i in range(120)]
+    manifest += [(r[0], r[1], *sides()) for r in manifest[:repeated]] + manifest[20 : 20 + repeated]
+    found += [(r[0], *sides()) for r in found[:repeated]] + found[30 : 30 + repeated]
+    columns = lambda a, b: ", ".join(f"{s}_file string, {s}_start int, {s}_end int" for s in (a, b))
+    df = evaluate.match_pairs(spark.createDataFrame(manifest, f"entry_id string, tier string, {columns('source', 'target')}"), spark.createDataFrame(found, f"pair_id string, {columns('left', 'right')}"))
+    rows = [tuple(r) for r in df.collect()]
+    wanted = _matched(manifest, found)
+    assert sorted(rows) == sorted(wanted) and len(wanted) > 100
+    if not repeated:
+        assert "Aggregate" not in df._jdf.queryExecution().optimizedPlan().toString()
