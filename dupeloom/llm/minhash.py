@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import cut, free_name
+from .common import alone, cut, free_name
 
 TREES, DEPTH = 16, 8
 #: Places in a tree's order within which members of a region are candidates; a region of more than one more is crowded.
@@ -44,6 +44,8 @@ REACH = 3
 MIDDLES, NEAREST, CROWD = 3, 8, 4096
 #: Shingles of a block's sets (8 bytes each); a shingle that so many sets of a block hold is counted by a matrix product.
 MOST_SHINGLES, FREQUENT = 1 << 21, 48
+#: Rows of a matrix of pairs that are worked out at once, and the most shared shingles that are held as pairs of members.
+ROWS, MOST_MET = 512, 1 << 20
 #: Classes up to which a list of them is sent to the texts, not the texts to it.
 FEW = 1 << 18
 SLOTS = TREES * DEPTH
@@ -66,6 +68,7 @@ class WordHashes(dict):
         return out
 
 
+@alone
 @lru_cache(maxsize=1)
 def _worker() -> tuple[WordHashes, np.ndarray]:
     rng = np.random.default_rng(20_240_601)
@@ -141,10 +144,14 @@ def _candidates(threshold: float, least_depth: int, most_bits: int):
 
     def in_crowd(at: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         signs = np.unpackbits(sketches[at], axis=1).astype(np.float32) * 2 - 1
-        alike = signs @ signs.T
-        np.fill_diagonal(alike, -np.inf)
         k = min(NEAREST, len(at) - 1)
-        return np.repeat(at, k), at[np.argpartition(-alike, k - 1, axis=1)[:, :k].ravel()]
+        near = []
+        for i in range(0, len(at), ROWS):
+            apart = signs[i : i + ROWS] @ -signs.T
+            own = np.arange(len(apart))
+            apart[own, i + own] = np.inf
+            near.append(at[np.argpartition(apart, k - 1, axis=1)[:, :k].ravel()])
+        return np.repeat(at, k), np.concatenate(near)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _in_runs(batches, least_depth):
@@ -245,30 +252,46 @@ class _Block:
         return np.concatenate([self.sets[self.first[i] : self.first[i + 1]] for i in rows.tolist()]), np.repeat(np.arange(len(rows)), self.sizes[rows])
 
 
+def _slices(weights: np.ndarray, most: int, longest: int) -> Iterator[slice]:
+    """Slices that follow one another, of at most ``longest`` places and of a weight of at most ``most``, or of one place."""
+    total, at = np.cumsum(weights), 0
+    while at < len(total):
+        end = int(np.searchsorted(total, most + (total[at - 1] if at else 0), "right"))
+        yield slice(at, at := max(at + 1, min(end, at + longest)))
+
+
 def _shared(x: _Block, rows: np.ndarray, y: _Block, columns: np.ndarray) -> np.ndarray:
     """How many shingles each of some members of ``x`` shares with each of some of ``y``."""
     terms, owner = y.terms(columns)
     order = np.argsort(terms, kind="stable")
     terms, owner = terms[order], owner[order]
-    known, first, df = np.unique(terms, return_index=True, return_counts=True)
+    first = np.flatnonzero(np.append(True, terms[1:] != terms[:-1]))
+    known, df = terms[first], np.diff(np.append(first, len(terms)))
+    del terms, order
     asked, asker = x.terms(rows)
     at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
     hit = known[at] == asked
     at, asker = at[hit], asker[hit]
     often = df[at] >= FREQUENT
+
+    def having(some: np.ndarray) -> np.ndarray:
+        """The members that have each of some shingles, one shingle's after the other's."""
+        times = df[some]
+        return owner[np.repeat(first[some] - np.cumsum(times) + times, times) + np.arange(times.sum())]
+
     few, who = at[~often], asker[~often]
-    times = df[few]
-    flat = np.repeat(who * len(columns), times) + owner[np.repeat(first[few], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-    out = np.bincount(flat, minlength=len(rows) * len(columns)).reshape(len(rows), len(columns)).astype(np.float32)
+    out = np.zeros((len(rows), len(columns)), np.float32)
+    for part in _slices(df[few], MOST_MET, len(few)):
+        flat = np.repeat(who[part] * len(columns), df[few[part]]) + having(few[part])
+        out += np.bincount(flat, minlength=out.size).reshape(out.shape)
     frequent = np.unique(at[often])
-    for i in range(0, len(frequent), 2048):
-        part = frequent[i : i + 2048]
+    for part in (frequent[s] for s in _slices(df[frequent], MOST_MET, 2048)):
         left, right = np.zeros((len(rows), len(part)), np.float32), np.zeros((len(part), len(columns)), np.float32)
         place = np.minimum(np.searchsorted(part, at), len(part) - 1)
         mine = part[place] == at
         left[asker[mine], place[mine]] = 1
         mine = np.repeat(np.arange(len(part)), df[part])
-        right[mine, owner[np.repeat(first[part], df[part]) + np.arange(len(mine)) - np.repeat(np.cumsum(df[part]) - df[part], df[part])]] = 1
+        right[mine, having(part)] = 1
         out += left @ right
     return out
 
@@ -278,8 +301,8 @@ def _joining(x: _Block, y: _Block, percent: int, most_bits: int) -> np.ndarray:
     roots, of = np.unique(np.concatenate([x.roots, y.roots]), return_inverse=True)
     of_x, of_y = of[: len(x.roots)], of[len(x.roots) :]
     label = np.arange(len(roots))
-    for k in range(0, len(x.roots), 512):
-        some = np.arange(k, min(k + 512, len(x.roots)))
+    for k in range(0, len(x.roots), ROWS):
+        some = np.arange(k, min(k + ROWS, len(x.roots)))
         may = (x.signs[some] @ y.signs.T >= SLOTS - 2 * most_bits) & (label[of_x[some]][:, None] != label[of_y][None, :])
         small, large = np.minimum(x.sizes[some][:, None], y.sizes[None, :]), np.maximum(x.sizes[some][:, None], y.sizes[None, :])
         may &= 100 * small >= percent * large
@@ -352,7 +375,7 @@ def _between(percent: int, most_bits: int):
 
 
 def _across(crowd: DataFrame, percent: int, most_bits: int) -> DataFrame:
-    """root_a, root_b that join the roots between which a pair of a region links, or may link where ``crowd`` (region, root, class, n, sketch, shingles) has no shingles.
+    """root_a, root_b, some more than once, that join the roots between which a pair of a region links, or may link where ``crowd`` (region, root, class, n, sketch, shingles) has no shingles.
 
     The blocks that tasks make of a region are put together, in their order, to groups of about CROWD rows and
     MOST_SHINGLES, however many tasks there were; groups of a region that hold different roots meet.
@@ -361,11 +384,13 @@ def _across(crowd: DataFrame, percent: int, most_bits: int) -> DataFrame:
     ordered = crowd.repartitionByRange(parts, "region", "root", "class").sortWithinPartitions("region", "root", "class").select("region", "root", "n", "sketch", "shingles")
     crossed = cut(ordered.mapInArrow(_crossed(percent, most_bits), _CROSSED))
     blocks = crossed.where("block is not null")
+    # a row for a block or for two groups: as many tasks as run at once write them, not all that a shuffle has
+    few = lambda d: cut(d.coalesce(max(1, d.sparkSession.sparkContext.defaultParallelism)))
     weight = F.greatest(F.length("members") / (32 * CROWD), F.coalesce(F.length("shingles"), F.lit(0)) / (8 * MOST_SHINGLES))
     before = Window.partitionBy("region").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     weighed = blocks.select("region", "block", "low", "high", weight.alias("weight"))
-    placed = cut(weighed.select("region", "block", "low", "high", F.floor(F.coalesce(F.sum("weight").over(before), F.lit(0.0))).cast("long").alias("part")))
-    groups = cut(placed.groupBy("region", "part").agg(F.min("low").alias("low"), F.max("high").alias("high")))
+    placed = few(weighed.select("region", "block", "low", "high", F.floor(F.coalesce(F.sum("weight").over(before), F.lit(0.0))).cast("long").alias("part")))
+    groups = few(placed.groupBy("region", "part").agg(F.min("low").alias("low"), F.max("high").alias("high")))
     # groups of one root meet those of others; mixed ones meet all and themselves; so none of the same root alone are paired
     mixed, pure = groups.where("low < high"), groups.where("low = high").select("region", "part", F.col("low").alias("root"))
     as_x, as_y = F.col("part").alias("x"), F.col("part").alias("y")
@@ -374,12 +399,12 @@ def _across(crowd: DataFrame, percent: int, most_bits: int) -> DataFrame:
     runs = pure.select("region", "root").distinct()
     apart = runs.select("region", F.col("root").alias("root_x")).join(runs.select("region", F.col("root").alias("root_y")), "region").where("root_x < root_y")
     of_pure = apart.join(pure.select("region", F.col("root").alias("root_x"), as_x), ["region", "root_x"]).join(pure.select("region", F.col("root").alias("root_y"), as_y), ["region", "root_y"])
-    met = cut(of_mixed.unionByName(with_pure).unionByName(of_pure.select("region", "x", "y")))
+    met = few(of_mixed.unionByName(with_pure).unionByName(of_pure.select("region", "x", "y")))
     side = lambda n, c: met.where("x < y" if n else "true").join(placed.select("region", F.col("part").alias(c), "block"), ["region", c]).select("region", "x", "y", F.lit(n).alias("side"), "block")
     sent = side(0, "x").unionByName(side(1, "y")).join(blocks.select("block", "members", "shingles"), "block")
     in_order = sent.repartition(parts, "region", "x", "y").sortWithinPartitions("region", "x", "y", "side", "block").select("region", "x", "y", "side", "members", "shingles")
     far = in_order.mapInArrow(_between(percent, most_bits), _JOINED)
-    return cut(crossed.where("root_a is not null").select("root_a", "root_b").unionByName(far).distinct())
+    return crossed.where("root_a is not null").select("root_a", "root_b").unionByName(far)
 
 
 def _in_runs(batches: Iterator[pa.RecordBatch], least_depth: int, most: int = 20_000) -> Iterator[pa.Table]:

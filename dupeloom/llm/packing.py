@@ -22,12 +22,13 @@ from pyspark.sql import functions as F
 
 from .bytebpe import byte_letters
 from .chunked import ChunkTable, packed
-from .common import cut
+from .common import alone, cut
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", uid long, bucket long, bin long, offset long, room long, bins long, bound long"
 
 
+@alone
 @lru_cache(maxsize=2)
 def tokenizer_of(path: str) -> tuple[ChunkTable, Callable[[str | None], bytes]]:
     """(chunk table, encoder of whole texts) of a Python worker: the ids that ``tokenizers`` gives.
