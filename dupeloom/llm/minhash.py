@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.components import connected_components
+from ..operators.components import connected_components, cut_few
 from .common import alone, cut, free_name
 
 TREES, DEPTH = 16, 8
@@ -473,6 +473,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, least_
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
     rows = cut(base.mapInArrow(_shingled(shingle), _SHINGLED))
     classes = cut(rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least_id"), F.min("row").alias("row"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("trees").alias("trees")))
+    n_classes = classes.count()  # what has a row for each class is written by so many tasks
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     forest = classes.select(F.posexplode("trees").alias("tree", "key"), "class", "n", "sketch")
     ordered = forest.repartitionByRange(parts, "tree", "key", "class").sortWithinPartitions("tree", "key", "class")
@@ -490,22 +491,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, least_
 
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     sets = sets_of(ends(pairs), False)
-    roots = cut(connected_components(confirmed(pairs, sets), "a", "b").select(F.col("node").alias("class"), "root"))
-    of_root = cut(classes.select("class", "least_id", "n", "sketch").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")))
+    roots = cut_few(connected_components(confirmed(pairs, sets), "a", "b").select(F.col("node").alias("class"), "root"), n_classes)
+    of_root = cut_few(classes.select("class", "least_id", "n", "sketch").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")), n_classes)
     crowd = found.where("class is not null").select("region", "class").join(of_root, "class")
     may_link = _across(crowd.select("region", "root", "class", "n", "sketch", F.lit(None).cast("binary").alias("shingles")), percent, most_bits)
-    groups = cut(connected_components(may_link, "root_a", "root_b").select(F.col("node").alias("root"), F.col("root").alias("region")))
+    groups = cut_few(connected_components(may_link, "root_a", "root_b").select(F.col("node").alias("root"), F.col("root").alias("region")), n_classes)
     open_ = cut(of_root.join(groups, "root").select("region", "root", "class", "n", "sketch"))
-    more = cut(open_.select("class").join(sets, "class", "left_anti"))
+    more = cut_few(open_.select("class").join(sets, "class", "left_anti"), n_classes)
     n_more = more.count()
     if n_more:
         sets = sets.unionByName(sets_of(more, n_more <= FEW))
     links = _across(open_.join(sets, "class"), percent, most_bits)
-    last = cut(connected_components(links, "root_a", "root_b").select(F.col("node").alias("root"), F.col("root").alias("last")))
+    last = cut_few(connected_components(links, "root_a", "root_b").select(F.col("node").alias("root"), F.col("root").alias("last")), n_classes)
     rooted = of_root.join(last, "root", "left").select("class", "least_id", F.coalesce("last", "root").alias("root"))
     of_class = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).where("class is not null")
-    rooted = cut(rooted.join(of_class, "class"))
-    heads = cut(rooted.groupBy("root").agg(F.min("first").alias("head")))  # minima are taken before rows meet
+    rooted = cut_few(rooted.join(of_class, "class"), n_classes)
+    heads = cut_few(rooted.groupBy("root").agg(F.min("first").alias("head")), n_classes)  # minima are taken before rows meet
     labelled = cut(rooted.select("class", "root").join(heads, "root").select("class", "head"))
     found = rows.drop("sketch", "trees", "digest").join(labelled, "class", "left")
     empty = F.col("class").isNull()

@@ -1,6 +1,7 @@
 """What the pipeline's stages hold at once, and how many files their rounds write."""
 
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -10,6 +11,7 @@ import pytest
 from dupeloom.llm import minhash
 from dupeloom.llm.minhash import connected_components, shingle_set
 from dupeloom.llm.packing import tokenizer_of
+from dupeloom.operators import components
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -75,3 +77,43 @@ def test_rounds_of_few_edges_are_written_by_few_tasks(spark):
     finally:
         for k, v in was.items():
             spark.conf.set(k, v)
+
+
+def files_of(spark, work):
+    """The files that ``work`` leaves in the checkpoint folder, which is a local one."""
+    components.ensure_checkpoint_dir(spark)
+    top = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = {*top.rglob("*")}
+    kept = work()  # else Spark's cleaner may take them
+    return [p for p in top.rglob("*") if p.is_file() and p not in before], kept
+
+
+def test_a_cut_makes_one_file_for_each_task(spark):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    files, out = files_of(spark, lambda: components.cut(spark.range(100, numPartitions=5)))
+    assert len(files) == 5  # each one more is a process that shares the executor's memory until it begins
+    assert out.count() == 100 and out.agg({"id": "sum"}).first()[0] == 4950
+    assert conf.get("fs.file.impl") is None and conf.get("fs.file.impl.disable.cache") is None
+    with pytest.raises(Exception, match="(?i)divi"):
+        components.cut(spark.sql("select raise_error('divided') as x"))
+    assert conf.get("fs.file.impl") is None
+    conf.set("fs.file.impl", "org.apache.hadoop.fs.LocalFileSystem")
+    try:
+        files, out = files_of(spark, lambda: components.cut(spark.range(100, numPartitions=5)))
+        assert len(files) == 10 and out.count() == 100 and conf.get("fs.file.impl").endswith(".LocalFileSystem")
+    finally:
+        conf.unset("fs.file.impl")
+
+
+def test_what_has_a_row_for_each_class_is_written_by_few_tasks(spark):
+    was = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        docs = spark.range(60).selectExpr("id as doc_id", "concat('a b c d e f g h i j k l m n o p q r s t u v w x y z ', id div 2) as text")
+        files, out = files_of(spark, lambda: minhash.near_duplicates(docs, 3, 85).collect())
+        assert len(out) == 60 and {r["component_id"] for r in out} == {0}
+        assert len(files) <= 200
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
