@@ -37,8 +37,8 @@ END, START = xxhash.xxh64_intdigest(b"\n"), xxhash.xxh64_intdigest(b" ")
 FLUSH, BLOCK = 2_000_000, 600_000
 #: Text for which there is a bucket, the fewest and the most buckets, and entries that are held before they are merged.
 BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS, HELD = 8 << 20, 16, 1 << 16, 4_000_000
-#: Tokens whose levels a task looks up together if the filter has more than one part.
-TOGETHER = 3_000_000
+#: Tokens whose levels a task looks up together if the filter has more than one part, and n-grams that are looked up at once.
+TOGETHER, ASKED = 3_000_000, 1 << 16
 #: Of what was never counted, one in 200 is taken for counted: (1 - exp(-5 / 12)) ** 5.
 BITS_PER_ENTRY, PROBES = 12, 5
 #: Weight of the prior in a pair's probability (of the powers of two times 25, about the best for held-out texts of the test tables), and what the count of an unseen word is taken for.
@@ -170,6 +170,9 @@ class Filter:
 
     def levels(self, kind: int, hashes: np.ndarray) -> np.ndarray:
         """The level of each hash: 0 if it is not in these segments."""
+        return np.concatenate([np.zeros(0, np.uint8), *(self._levels(kind, hashes[i : i + ASKED]) for i in range(0, len(hashes), ASKED))])
+
+    def _levels(self, kind: int, hashes: np.ndarray) -> np.ndarray:
         where = (kind - 1) * self.buckets + _bucket_of(hashes, self.buckets)
         out = np.zeros(len(hashes), np.uint8)
         here = np.flatnonzero(self.sizes[where])
@@ -235,7 +238,8 @@ class _Asked:
         before = _before(tokens)
         before[first] = START
         self.first, self.pairs = first, pair_hashes(before, tokens)
-        self.words, self.back = np.unique(tokens, return_inverse=True)
+        self.words, back = np.unique(tokens, return_inverse=True)
+        self.back = back.astype(np.uint32)
         self.own, self.pair, self.start = np.zeros(len(self.words), np.uint8), np.zeros(len(tokens), np.uint8), 0
 
     def ask(self, part: Filter) -> None:
@@ -277,32 +281,38 @@ def _all_asked(blocks: Iterator[tuple], parts: list[Broadcast]) -> Iterator[tupl
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the batches with about BLOCK tokens, their tokens, and where each text's begin."""
+    """Slices of the batches, without the texts, with about BLOCK tokens, their tokens, and where each text's begin."""
     for batch in batches:
         held, start, n = [], 0, 0
         texts = batch.column(text_at)
+        batch = batch.select([i for i in range(batch.num_columns) if i != text_at])
         for i in range(batch.num_rows):
             held.append(token_hashes(texts[i].as_py()))
             n += len(held[-1])
             if n >= BLOCK or i == batch.num_rows - 1:
                 sizes = np.asarray([len(x) for x in held])
-                yield batch.slice(start, i + 1 - start), np.concatenate(held), np.cumsum(sizes) - sizes
+                block = batch.slice(start, i + 1 - start), np.concatenate(held), np.cumsum(sizes) - sizes
                 held, start, n = [], i + 1, 0
+                yield block
 
 
 def _block_rows(block: int, ids: list, held: list, tokens: np.ndarray, first: np.ndarray, levels: tuple[np.ndarray, ...], hot: tuple[np.ndarray, np.ndarray], buckets: int, below: float) -> pa.RecordBatch:
     """Rows of _SCORED of a block: one for each text, with its score and what the hot words give to the base score, and one for each bucket that is asked for the rest."""
     hot_hashes, hot_counts = hot
-    own, before, pair = levels[0], expected_count(levels[1], SELDOM), expected_count(levels[2], 0.0)
-    prior = (expected_count(own, SELDOM) + 0.1) / below if below > 0 else np.ones(len(own))
-    chance = np.log10((pair + PRIOR * prior) / (np.maximum(before, pair) + PRIOR))
+    before, pair = expected_count(levels[1], SELDOM), expected_count(levels[2], 0.0)
+    prior = (expected_count(levels[0], SELDOM) + 0.1) / below if below > 0 else np.ones(len(tokens))
+    chance = np.add.reduceat(np.log10((pair + PRIOR * prior) / (np.maximum(before, pair) + PRIOR)), first)
+    del before, pair, prior  # a block's numbers are let go once they are summed
     ends = np.concatenate([first[1:], [len(tokens)]])
-    owner = np.repeat(np.arange(len(first)), ends - first)
     at = np.minimum(np.searchsorted(hot_hashes, tokens), max(0, len(hot_hashes) - 1))
     is_hot = hot_hashes[at] == tokens if len(hot_hashes) else np.zeros(len(tokens), np.bool_)
-    known = np.where(is_hot, np.log10((hot_counts[at] + 0.1) / below), 0.0) if len(hot_hashes) else np.zeros(len(tokens))
+    known = np.add.reduceat(np.where(is_hot, np.log10((hot_counts[at] + 0.1) / below), 0.0) if len(hot_hashes) else np.zeros(len(tokens)), first)
+    n_known = np.add.reduceat(is_hot.astype(np.int64), first)
+    del at
+    owner = np.repeat(np.arange(len(first), dtype=np.uint32), ends - first)
     cold = np.flatnonzero(~is_hot)
     order = cold[np.lexsort((owner[cold], tokens[cold]))]
+    del cold, is_hot
     new = np.flatnonzero(np.concatenate([[True], (tokens[order][1:] != tokens[order][:-1]) | (owner[order][1:] != owner[order][:-1])])) if len(order) else np.zeros(0, np.int64)
     times, order = np.diff(np.concatenate([new, [len(order)]])), order[new]
     places = np.searchsorted(_bucket_of(tokens[order], buckets), np.arange(buckets + 1))
@@ -317,9 +327,9 @@ def _block_rows(block: int, ids: list, held: list, tokens: np.ndarray, first: np
             pa.array(ids + none(m), pa.int64()),
             pa.array(held + none(m), pa.bool_()),
             pa.array([*(ends - first).tolist(), *none(m)], pa.int64()),
-            pa.array([*np.add.reduceat(chance, first).tolist(), *none(m)], pa.float64()),
-            pa.array([*np.add.reduceat(known, first).tolist(), *none(m)], pa.float64()),
-            pa.array([*np.add.reduceat(is_hot.astype(np.int64), first).tolist(), *none(m)], pa.int64()),
+            pa.array([*chance.tolist(), *none(m)], pa.float64()),
+            pa.array([*known.tolist(), *none(m)], pa.float64()),
+            pa.array([*n_known.tolist(), *none(m)], pa.int64()),
             pa.array([*none(n), *some], pa.int32()),
             pa.array(none(n) + cut_out(tokens[order], "<u8"), pa.binary()),
             pa.array(none(n) + cut_out(owner[order], "<u4"), pa.binary()),

@@ -8,7 +8,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from dupeloom.llm import minhash
+from dupeloom.llm import lm, minhash
 from dupeloom.llm.minhash import connected_components, shingle_set
 from dupeloom.llm.packing import tokenizer_of
 from dupeloom.operators import components
@@ -44,6 +44,25 @@ def test_blocks_meet_in_bounded_memory():
     assert peak_mb(lambda: list(minhash._candidates(0.8, 3, 30)(iter([crowd])))) < 100
 
 
+def test_a_block_of_texts_is_scored_in_bounded_memory():
+    rng = np.random.default_rng(6)
+    pool = np.unique(rng.integers(1, 1 << 62, 40_000, dtype=np.uint64))
+    tokens, first = pool[(len(pool) * rng.random(lm.BLOCK) ** 3).astype(np.int64)], np.arange(0, lm.BLOCK, 300)
+    asked = lm._Asked(tokens, first)
+    grams = {1: np.unique(tokens, return_counts=True), 2: np.unique(asked.pairs, return_counts=True)}
+    filter_ = lm.Filter({(kind, 0): lm.bloom_segment(*of).tobytes() for kind, of in grams.items()}, 1)
+    hot = tuple(x[::2] for x in grams[1])
+    ids = list(range(len(first)))
+
+    def scored():
+        block = lm._Asked(tokens, first)
+        block.ask(filter_)
+        return lm._block_rows(0, ids, [False] * len(ids), tokens, first, block.levels(), hot, 1, 1e6)
+
+    assert (lm.expected_count(filter_.levels(2, grams[2][0]), 0.0) >= 1).all()  # in slices as in one
+    assert peak_mb(scored) < 50
+
+
 @pytest.mark.parametrize("most", [1, 50, 1 << 20])
 def test_shared_shingles_are_counted_in_slices(monkeypatch, most):
     monkeypatch.setattr(minhash, "MOST_MET", most, raising=False)
